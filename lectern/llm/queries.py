@@ -8,11 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.dedup import OP9_SQL, op9_exact_dedup
 from lectern.llm.mix import op3_mix_sources
+from lectern.llm.neardup import op6_ngram_jaccard
+from lectern.llm.pack import op7_tiered_packing
+from lectern.llm.repetition import op8_repetition_rules
 from lectern.llm.shard import op2_rendezvous_shards
+from lectern.llm.tokens import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rendezvous_shards": op2_rendezvous_shards,
     "op3_mix_sources": op3_mix_sources,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_tiered_packing": op7_tiered_packing,
+    "op8_repetition_rules": op8_repetition_rules,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
