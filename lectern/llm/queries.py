@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm.chat import op1_chat_format
 from lectern.llm.dedup import OP9_SQL, op9_exact_dedup
 from lectern.llm.mix import op3_mix_sources
 from lectern.llm.neardup import op6_ngram_jaccard
@@ -13,10 +14,15 @@ from lectern.llm.pack import op7_tiered_packing
 from lectern.llm.repetition import op8_repetition_rules
 from lectern.llm.shard import op2_rendezvous_shards
 from lectern.llm.tokens import op10_token_counts
+from lectern.llm.toxicity import op4_toxicity
+from lectern.llm.urls import op5_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_rendezvous_shards": op2_rendezvous_shards,
     "op3_mix_sources": op3_mix_sources,
+    "op4_toxicity": op4_toxicity,
+    "op5_url_filter": op5_url_filter,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_tiered_packing": op7_tiered_packing,
     "op8_repetition_rules": op8_repetition_rules,
