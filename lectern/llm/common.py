@@ -77,3 +77,22 @@ def bands_for(threshold: float, recall: float, most: int = 256) -> tuple[int, in
         if bands * rows <= most and rows * bands <= 110:
             best = (bands, rows)
     return best
+
+
+def rows_kept(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``df`` whose (doc_id, text_sha256) ``found`` has as kept, with all their columns; of rows that repeat both, one.
+
+    Rows are found again by their key alone where it occurs once; only the others are told apart by
+    their text's digest.  Null is a key like any other.
+    """
+    keys = found.groupBy(F.col("doc_id").alias("_key")).agg(F.count(F.lit(1)).alias("_times"), F.max("kept").alias("_any")).where("_any")
+    same = df[key].eqNullSafe(F.col("_key"))
+    once = df.join(keys.where("_times = 1").select("_key"), same, "left_semi")
+    stays = found.where("kept").select(F.col("doc_id").alias("_key"), F.col("text_sha256").alias("_digest")).distinct()
+    again = (
+        df.join(keys.where("_times > 1").select("_key"), same, "left_semi")
+        .withColumn("_found", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+        .join(stays, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_found") == F.col("_digest")), "left_semi")
+        .dropDuplicates([key, "_found"]).drop("_found")
+    )
+    return once.unionByName(again)

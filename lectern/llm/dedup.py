@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import saved
+from lectern.llm.common import rows_kept, saved
 
 PREFIX_CHARS = 256
 
@@ -50,24 +50,8 @@ def exact_copies(df: DataFrame, key: str = "doc_id", text: str = "text", prefix_
 
 
 def without_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that :func:`exact_copies` keeps, with all their columns.
-
-    Rows are found again by their key; only where a key repeats (or is null and repeats) are its rows
-    told apart by their text's digest, and of equal ones any one stays.
-    """
-    found = exact_copies(df, key, text, digests=True)
-    keys = found.groupBy(F.col("doc_id").alias("_key")).agg(F.count(F.lit(1)).alias("_times"), F.max("kept").alias("_kept"))
-    single = keys.where("_times = 1 and _kept").select("_key")
-    repeated = keys.where("_times > 1 and _kept").select("_key")
-    rows = df.join(single, df[key].eqNullSafe(F.col("_key")), "left_semi")
-    stays = found.where("kept").select(F.col("doc_id").alias("_key"), F.col("text_sha256").alias("_digest"))
-    again = (
-        df.join(repeated, df[key].eqNullSafe(F.col("_key")), "left_semi")
-        .withColumn("_found", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-        .join(stays, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_found") == F.col("_digest")), "left_semi")
-        .dropDuplicates([key, "_found"]).drop("_found")
-    )
-    return rows.unionByName(again)
+    """The rows of ``df`` that :func:`exact_copies` keeps, with all their columns."""
+    return rows_kept(df, saved(exact_copies(df, key, text, digests=True)), key, text)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ def split_blocks(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 
 def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, shards: int = 16, seed: int = 20) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, copies, shards.
+    """One row per input row: doc_id, source, size, source_size, target, taken, copies, shards.
 
     A source goes through its rows in a hashed order, whole rounds first; the last round stops before
     the target is passed, and the one row that best fills the gap is added.  So a source misses its
@@ -107,7 +107,7 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     placed = begun.join(wanted, "source_key")
     running = F.sum("size").over(Window.partitionBy("source_key", "_fine").orderBy("_hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     taken = saved(
-        rows.drop("source").join(placed, ["source_key", "_fine"])
+        rows.join(placed, ["source_key", "_fine"])
         .withColumn("_extra", (F.col("_begun") + running <= F.col("_rest")) & (F.col("size") > 0))
         .drop("_begun")
     )
@@ -132,7 +132,7 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     return (
         taken.join(plan, "source_key").withColumn("copies", copies)
         .select(
-            "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
+            "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
             (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies",
             F.transform(F.expr("sequence(0, 3)") if cap == 3 else F.sequence(F.lit(0), F.lit(cap)), lambda e: F.struct(e.alias("e"), shard(e).alias("shard"))).alias("_dealt"),
         )
@@ -141,11 +141,12 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     )
 
 
-def mixed_rows(df: DataFrame, key: str = "doc_id", seed: int = 20, **options) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it, with _shard and _order: write by shard, sorted by order, for a local shuffle.  Keys must be unique and not null."""
-    mix = mix_sources(df, key=key, seed=seed, **options).where("copies > 0").select(F.col("doc_id").alias("_key"), F.posexplode("shards").alias("_copy", "_shard"))
-    return df.join(mix, df[key] == F.col("_key")).withColumn("_order", F.xxhash64(F.lit(seed + 1), "_shard", "_key", "_copy")).drop("_key", "_copy")
+def mixed_rows(df: DataFrame, key: str = "doc_id", source: str = "source", seed: int = 20, **options) -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it, with _shard and _order: write by shard, sorted by order, for a local shuffle.  Rows are found again by key and source, null being like any other; such as share both are taken alike."""
+    mix = mix_sources(df, key=key, source=source, seed=seed, **options).where("copies > 0").select(F.col("doc_id").alias("_key"), F.col("source").alias("_source"), "shards").dropDuplicates(["_key", "_source"])
+    taken = df.join(mix, df[key].eqNullSafe(F.col("_key")) & df[source].eqNullSafe(F.col("_source")))
+    return taken.select("*", F.posexplode("shards").alias("_copy", "_shard")).withColumn("_order", F.xxhash64(F.lit(seed + 1), "_shard", "_key", "_copy")).drop("_key", "_source", "_copy", "shards")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copies")
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copies", "source")

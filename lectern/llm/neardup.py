@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, bands_for, gapless, saved
+from lectern.llm.common import WORD, bands_for, gapless, rows_kept, saved
 
 FIND = re.compile(WORD).findall
 #: Texts that are hashed together, by characters.
@@ -144,11 +144,12 @@ def _verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links, n_texts.
+    """One row per input row: doc_id, class_id, n_links, n_texts, kept, text_sha256.
 
     Rows link when the Jaccard similarity of their sets of n-word grams is at least ``threshold``.
     n_links counts the other rows that a row links to, n_texts the other n-gram sets among them;
-    rows that hang together by links share class_id, the least doc_id of them.  Words are as they
+    rows that hang together by links share class_id, the least doc_id of them, and of these the row with the
+    least id and digest is kept.  Words are as they
     are in the text; a text of one to n - 1 words is one gram; null and empty texts link to nothing
     and are classes of their own.  Repeated rows link to each other.  An empty table gives none.
 
@@ -161,6 +162,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     bands, rows = bands_for(threshold, recall)
     kind = df.select(F.col(key)).schema[0].dataType.simpleString()
     docs = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    digested = docs.withColumn("text_sha256", F.sha2("_text", 256))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -173,10 +175,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
                 if full:
                     for i, h in zip(full, band_hashes([sets[i] for i in full], bands, rows), strict=True):
                         v[i], found[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).hexdigest(), h
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[lo:hi].reset_index(drop=True), "v": pd.Series(v, dtype=object), "bands": pd.Series(found, dtype=object)})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[lo:hi].reset_index(drop=True), "text_sha256": batch["text_sha256"].iloc[lo:hi].reset_index(drop=True), "v": pd.Series(v, dtype=object), "bands": pd.Series(found, dtype=object)})
 
-    signed = saved(docs.mapInPandas(sign, f"doc_id {kind}, v string, bands array<bigint>"))
-    texts = saved(signed.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands")))
+    signed = saved(digested.mapInPandas(sign, f"doc_id {kind}, text_sha256 string, v string, bands array<bigint>"))
+    texts = saved(signed.where("v is not null").groupBy("v").agg(F.min(F.struct("doc_id", "text_sha256")).alias("first"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands")))
     met = texts.select("v", F.posexplode("bands").alias("band", "hash"))
     buckets = met.groupBy("band", "hash").agg(F.min("v").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     candidates = components(met.join(buckets, ["band", "hash"]).select(F.col("v").alias("a"), "b"))
@@ -208,20 +210,28 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     )
     links = verified.groupBy("v").agg(F.sum("texts").alias("texts"), F.sum("near").alias("near"))
     labels = components(verified.select(F.col("v").alias("a"), F.col("root").alias("b")))
-    named = labels.join(texts.select("v", "least"), "v")
-    classes = named.groupBy("label").agg(F.min("least").alias("class_id")).join(labels, "label").select("v", "class_id")
-    facts = texts.select("v", "least", "rows").join(links, "v", "left").join(classes, "v", "left")
+    named = labels.join(texts.select("v", "first"), "v")
+    classes = named.groupBy("label").agg(F.min("first").alias("class_first")).join(labels, "label").select("v", "class_first")
+    facts = texts.select("v", "first", "rows").join(links, "v", "left").join(classes, "v", "left")
+    head = F.coalesce("class_first", "first")
     alone = F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))  # texts without words must not meet in one task
     return (
-        signed.select("doc_id", F.coalesce("v", alone).alias("v")).join(facts, "v", "left")
+        signed.select("doc_id", "text_sha256", F.coalesce("v", alone).alias("v")).join(facts, "v", "left")
         .select(
             "doc_id",
-            F.coalesce("class_id", "least", "doc_id").alias("class_id"),
+            F.when(head.isNull(), F.col("doc_id")).otherwise(head["doc_id"]).alias("class_id"),
             F.coalesce(F.col("rows") - 1 + F.coalesce("near", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
             F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"),
+            (head.isNull() | (head["doc_id"].eqNullSafe(F.col("doc_id")) & (head["text_sha256"] == F.col("text_sha256")))).alias("kept"),
+            "text_sha256",
         )
     )
 
 
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that :func:`near_duplicates` keeps, with all their columns."""
+    return rows_kept(df, saved(near_duplicates(df, key, text, **options)), key, text)
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links", "n_texts")

@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.common import WORD
 
@@ -113,22 +115,14 @@ def measure(texts: list[str], window: int, least: int) -> np.ndarray:
     return out
 
 
-def repetition_rules(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 8, least: int = 5, most_covered: float = 0.3, longest: int = 200, least_words: int = 20) -> DataFrame:
-    """One row per input row: the key as doc_id, the COUNTS, base_failed and kept.
+def _measured(df: DataFrame, carried: Column, text: str, window: int, least: int) -> DataFrame:
+    """``carried`` as _row beside COUNTS."""
+    rows = df.select(carried.alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    schema = T.StructType([T.StructField("_row", rows.schema["_row"].dataType), *[T.StructField(c, T.LongType()) for c in COUNTS]])
 
-    repeat_words is how many words the union of all maximal repeated runs of ``least`` words or more
-    covers, n_maximal how many begin a run that can't be extended to the left, longest_repeat the
-    longest one.  A text is kept unless it fails the base rules (fewer than ``least_words`` words,
-    or over ``most_covered`` of its words in ``window``-word windows that occur twice), or its
-    maximal repeats cover over ``most_covered`` of it, or one is over ``longest`` words long.
-    Null and empty texts have no words and fail.  Repeated rows stay; an empty table gives none.
-    """
-    kind = df.select(F.col(key)).schema[0].dataType.simpleString()
-    schema = f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, parts, begin, size = batch["_text"].tolist(), [], 0, 0
+            texts, parts, begin, size = batch.column(1).to_pylist(), [], 0, 0
             for i, t in enumerate(texts):
                 size += len(t) // 5
                 if size > WORDS_AT_ONCE:
@@ -136,17 +130,37 @@ def repetition_rules(df: DataFrame, key: str = "doc_id", text: str = "text", win
                     begin, size = i + 1, 0
             parts.append(measure(texts[begin:], window, least))
             counts = np.concatenate(parts)
-            yield pd.DataFrame({"doc_id": batch["doc_id"]} | {c: counts[:, i] for i, c in enumerate(COUNTS)})
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(counts[:, i]) for i in range(len(COUNTS))]], ["_row", *COUNTS])
 
+    return rows.mapInArrow(run, schema)
+
+
+def _judged(measured: DataFrame, most_covered: float, longest: int, least_words: int) -> DataFrame:
     share = lambda c: F.col(c) * 1000 > F.col("n_words") * round(1000 * most_covered)
-    failed = (F.col("n_words") < least_words) | share("n_repeat_words")
     return (
-        df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInPandas(run, schema)
-        .withColumn("base_failed", failed)
+        measured.withColumn("base_failed", (F.col("n_words") < least_words) | share("n_repeat_words"))
         .withColumn("kept", ~(F.col("base_failed") | share("repeat_words") | (F.col("longest_repeat") > longest)))
     )
 
 
+def repetition_rules(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 8, least: int = 5, most_covered: float = 0.3, longest: int = 200, least_words: int = 20) -> DataFrame:
+    """One row per input row: the key as doc_id, the COUNTS, base_failed and kept.
+
+    repeat_words is how many words the union of all maximal repeated runs of ``least`` words or more
+    covers, n_maximal how many begin a run that can't be extended to the left, longest_repeat the
+    longest one.  A text is kept unless it fails the base rules (fewer than ``least_words`` words,
+    or over ``most_covered`` of its words in ``window``-word windows that occur twice), or its
+    maximal repeats cover over ``most_covered`` of it, or one is over ``longest`` words long.
+    Null and empty texts have no words and fail.  Repeated rows stay; an empty table gives none.
+    """
+    return _judged(_measured(df, F.col(key), text, window, least), most_covered, longest, least_words).withColumnRenamed("_row", "doc_id")
+
+
+def without_repetition(df: DataFrame, text: str = "text", window: int = 8, least: int = 5, most_covered: float = 0.3, longest: int = 200, least_words: int = 20) -> DataFrame:
+    """The rows of ``df`` that :func:`repetition_rules` keeps, with all their columns; they pass through the tasks, so nothing is joined."""
+    return _judged(_measured(df, F.struct(*[df[c] for c in df.columns]), text, window, least), most_covered, longest, least_words).where("kept").select("_row.*")
+
+
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repetition_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "repeat_words", "longest_repeat")
