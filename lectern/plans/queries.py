@@ -1,4 +1,4 @@
 """All registered queries of the course-knowledge operators."""
 
-from lectern.plans import ingest  # noqa: F401
+from lectern.plans import ingest, relational  # noqa: F401
 from lectern.plans.base import QUERIES, SQL  # noqa: F401
