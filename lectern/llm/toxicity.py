@@ -208,17 +208,18 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def learn(df: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", learned: int = LEARNED) -> dict:
-    """A model from a table of texts and labels (0 or 1; others and null teach nothing).
+def learn(df: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", learned: int = LEARNED) -> dict:
+    """A model from a table of texts and one of labels by the same key (0 or 1; others and null teach nothing).
 
-    At most ``learned`` rows of each label are used: those whose ids hash lowest.  Only their ids
-    are sorted; sentences are cut where the texts are, and one task, whose input is so bounded, fits.
+    At most ``learned`` labels of each kind are used: those whose ids hash lowest.  Only ids are
+    sorted, and the chosen ones, so bounded, are sent to where the texts are; sentences are cut
+    there, and one task, whose input is so bounded, fits.
     """
-    rows = df.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     order = F.xxhash64(F.col(key).cast("string"))
-    ids = [rows.where(F.col(label) == y).select(F.col(key).alias("_id"), order.alias("_order")).orderBy("_order", "_id").limit(learned) for y in (0, 1)]
-    chosen = ids[0].union(ids[1])
-    sample = rows.join(F.broadcast(chosen), F.col(key) == F.col("_id")).select(F.col("_order"), F.col(label).cast("int").alias("_y"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    ids = [rows.where(F.col(label) == y).select(F.col(key).alias("_id"), order.alias("_order"), F.col(label).cast("int").alias("_y")).orderBy("_order", "_id").limit(learned) for y in (0, 1)]
+    chosen = F.broadcast(ids[0].union(ids[1]))
+    sample = df.select(F.col(key), F.col(text)).join(chosen, F.col(key) == F.col("_id")).select("_order", "_y", F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -267,6 +268,6 @@ def score(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = lambda c: F.crc32(F.encode(F.col(c).cast("string"), "UTF-8")) % 4 == 2
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held("doc_id")).select(F.col("doc_id").alias("_labelled"), "toxic")
-    model = learn(docs.join(labels, docs["doc_id"] == F.col("_labelled")))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held("doc_id")).select("doc_id", "toxic")
+    model = learn(docs, labels)
     return score(docs, model).select("doc_id", held("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
