@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.text import KEYWORD, dominant, filled, first_distinct, normal_judgement, split_answers
+from lectern.operators.lineage import once, settled
 from lectern.operators.search import sparse_embeddings
 
 REFERENCE = "struct<chunk_id:string,source_type:string,chapter:string,page:int>"
@@ -39,13 +40,13 @@ def plan_blueprints(params: DataFrame, contexts: DataFrame) -> DataFrame:
     got = params.join(gather_contexts(contexts, "exam_id"), "exam_id", "left")
     empty = F.array().cast("array<struct<rank:int,chunk_id:string,source_type:string,chapter:string,page:int,content:string>>")
     found = first_distinct(F.flatten(F.transform(F.col("contexts"), lambda c: F.regexp_extract_all(c["content"], F.lit(KEYWORD), F.lit(0)))), 20)
-    got = got.withColumn("contexts", F.coalesce("contexts", empty)).withColumn("knowledge_points", found)
-    got = got.withColumn("knowledge_points", F.when(F.size("knowledge_points") > 0, F.col("knowledge_points")).otherwise(F.array("chapter_range")))
+    got = once(once(got, contexts=F.coalesce("contexts", empty)), knowledge_points=found)
+    got = once(got, knowledge_points=F.when(F.size("knowledge_points") > 0, F.col("knowledge_points")).otherwise(F.array("chapter_range")))
     n = F.size("knowledge_points")
     group = lambda g: F.struct(
         g["question_type"].alias("question_type"), g["count"].alias("count"), g["score_each"].alias("score_each"), (g["count"] * g["score_each"]).alias("total_score"),
         F.slice("knowledge_points", 1, F.greatest(F.lit(1), F.least(n, g["count"]))).alias("knowledge_points"), dominant(F.col("difficulties")).alias("difficulty"))
-    out = got.withColumn("question_groups", F.transform(F.filter(F.array_sort("groups"), lambda g: g["count"] > 0), group))
+    out = once(got, question_groups=F.transform(F.filter(F.array_sort("groups"), lambda g: g["count"] > 0), group))
     return out.withColumn("total_score", F.aggregate("question_groups", F.lit(0), lambda a, g: a + g["total_score"])).drop("groups", "difficulties")
 
 
@@ -67,7 +68,7 @@ def _fill(rows: DataFrame) -> DataFrame:
     """Questions from rows (exam_id, g: group, index, offset: place among the points, at: place among the references, pos, contexts, chapter_range)."""
     points, refs = F.col("g.knowledge_points"), references_of(F.col("contexts"))
     point = F.when(F.size(points) > 0, F.element_at(points, F.pmod("offset", F.greatest(F.size(points), F.lit(1))).cast("int") + 1)).otherwise(F.col("chapter_range"))
-    rows = rows.withColumn("_point", point).withColumn("_q", _question(F.col("g.question_type"), F.col("index"), F.col("_point")))
+    rows = once(rows, _point=point).withColumn("_q", _question(F.col("g.question_type"), F.col("index"), F.col("_point")))
     return rows.select(
         "exam_id", F.col("pos").cast("int").alias("pos"), F.col("g.question_type").alias("question_type"), F.col("_point").alias("knowledge_point"), F.col("g.difficulty").alias("difficulty"), F.col("g.score_each").alias("score"),
         "_q.*", F.array(F.element_at(refs, F.pmod("at", F.size(refs)).cast("int") + 1)).alias("references"),
@@ -163,15 +164,18 @@ def with_errors(df: DataFrame, flags: list[tuple[str, str]]) -> DataFrame:
 
 
 def repair_loop(rows: DataFrame, key: str, validate: Callable[[DataFrame], DataFrame], repair: Callable[[DataFrame, DataFrame], DataFrame], rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(rows, report): validate, repair the keys that fail, validate again, ``rounds`` times at most; the report has repair_attempts.  One plan, without actions in between."""
-    report = validate(rows).withColumn("repair_attempts", F.lit(0))
+    """(rows, report): validate, repair the keys that fail, validate again, ``rounds`` times at most; the report has repair_attempts.
+
+    Each round's rows and report are checkpointed: otherwise plan and work would double with every round.
+    """
+    rows = settled(rows)
+    report = settled(validate(rows).withColumn("repair_attempts", F.lit(0)))
     for attempt in range(1, rounds + 1):
         failing = report.where("not passed").select(key)
         fixed = repair(rows.join(failing, key, "left_semi"), failing)
-        rows = rows.join(failing, key, "left_anti").unionByName(fixed)
-        tried = failing.withColumn("_tried", F.lit(attempt))
-        before = report.select(key, F.col("repair_attempts").alias("_before")).join(tried, key, "left").select(key, F.coalesce("_tried", "_before").alias("repair_attempts"))
-        report = validate(rows).join(before, key)
+        rows = settled(rows.join(failing, key, "left_anti").unionByName(fixed))
+        again = validate(rows.join(failing, key, "left_semi")).withColumn("repair_attempts", F.lit(attempt))
+        report = settled(report.where("passed").unionByName(again))
     return rows, report
 
 
