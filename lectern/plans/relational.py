@@ -20,11 +20,11 @@ def a02_admit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.admit_documents(uploads, courses).select("o_orderkey", "file_name", "error_message", "accepted")
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, concat_ws(' | ', l_linestatus, CASE WHEN l_quantity > 25 THEN l_returnflag END, l_partkey::varchar) AS line FROM lineitem)
-SELECT l_orderkey AS document_id, string_agg(line, chr(10) ORDER BY l_linenumber) AS content FROM r GROUP BY ALL""")
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, concat_ws(' | ', l_linestatus, CASE WHEN l_quantity > 25 THEN l_returnflag END, l_partkey::varchar) AS line FROM lineitem)
+SELECT l_orderkey AS document_id, string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, l_extendedprice) AS content FROM r GROUP BY ALL""")
 def a05_flatten_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = Tables(spark, sf_dir).lineitem.select(
-        F.col("l_orderkey").alias("document_id"), F.lit("Sheet1").alias("sheet"), F.col("l_linenumber").alias("row"),
+        F.col("l_orderkey").alias("document_id"), F.lit("Sheet1").alias("sheet"), F.struct("l_linenumber", "l_partkey", "l_extendedprice").alias("row"),
         F.posexplode(F.array("l_linestatus", F.when(F.col("l_quantity") > 25, F.col("l_returnflag")), F.col("l_partkey").cast("string"))).alias("col", "value"),
     )
     return T.flatten_cells(cells, "document_id").select("document_id", "content")
