@@ -237,3 +237,27 @@ def render_exams(blueprints: DataFrame, questions: DataFrame) -> DataFrame:
     top = lambda title: F.array(line("title", F.concat("course_name", F.lit(f" - {title}"))), line("text", F.concat(F.lit("Chapter range: "), "chapter_range")), line("text", F.concat(F.lit("Total score: "), F.col("total_score").cast("string"))))
     papers = [F.struct(F.lit(role).alias("role"), F.concat(top(title), F.flatten(F.transform("_qs", body))).alias("lines")) for role, (title, body) in parts.items()]
     return numbered(rows.select("exam_id", F.explode(F.array(*papers)).alias("_p")).select("exam_id", "_p.role", "_p.lines"), "exam_id", "role")
+
+
+def questions_in_order(questions: DataFrame) -> DataFrame:
+    """Add order_no: a question's place in its exam by time of creation, then position."""
+    return questions.withColumn("order_no", F.row_number().over(Window.partitionBy("exam_id").orderBy("created_at", "pos")))
+
+
+def question_type_counts(questions: DataFrame) -> DataFrame:
+    return questions.groupBy("exam_id", "question_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def score_check(blueprints: DataFrame, questions: DataFrame) -> DataFrame:
+    """(exam_id, planned, actual, score_valid): whether groups, questions and the blueprint have the same total."""
+    actual = questions.groupBy("exam_id").agg(F.sum("score").alias("_s"))
+    planned = F.aggregate("question_groups", F.lit(0), lambda a, g: a + g["total_score"])
+    out = blueprints.select("exam_id", planned.alias("planned"), "total_score").join(actual, "exam_id", "left").withColumn("actual", F.coalesce("_s", F.lit(0)))
+    return out.select("exam_id", "planned", "actual", ((F.col("planned") == F.col("actual")) & (F.col("planned") == F.col("total_score"))).alias("score_valid"))
+
+
+def uncovered_points(blueprints: DataFrame, questions: DataFrame) -> DataFrame:
+    """Questions whose point their blueprint doesn't have; a blueprint without points covers everything."""
+    points = blueprints.select("exam_id", F.explode("knowledge_points").alias("knowledge_point"))
+    asked = questions.join(points.select("exam_id").distinct(), "exam_id", "left_semi")
+    return asked.join(points, ["exam_id", "knowledge_point"], "left_anti")

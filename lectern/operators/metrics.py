@@ -101,7 +101,7 @@ def evaluate_retrieval(results: DataFrame, cases: DataFrame) -> DataFrame:
 
 def eval_cases(lessons: DataFrame, questions: DataFrame, slides: DataFrame, exports: DataFrame) -> DataFrame:
     """Artifacts as (case_kind, item_id, citation_chunk_ids, ok, file_path) rows; title slides don't count, references without a chunk are dropped."""
-    ids = lambda refs: F.filter(F.transform(F.coalesce(refs, F.array().cast("array<struct<chunk_id:string>>")), lambda r: r["chunk_id"]), lambda x: x.isNotNull() & (x != ""))
+    ids = lambda refs: F.filter(F.coalesce(F.transform(refs, lambda r: r["chunk_id"]), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
     row = lambda df, kind, item, cited=None, ok=None, path=None: df.select(F.lit(kind).alias("case_kind"), item.cast("string").alias("item_id"), (F.lit(None) if cited is None else cited).cast("array<string>").alias("citation_chunk_ids"), (F.lit(None) if ok is None else ok).cast("boolean").alias("ok"), (F.lit(None) if path is None else path).cast("string").alias("file_path"))
     shown = slides.where("slide_type <> 'title'")
     return (
