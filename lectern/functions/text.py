@@ -137,6 +137,7 @@ def contains_all_terms(content: Column, terms: Column) -> Column:
 
 def error_category(kind: Column, module: Column, message: Column, validation: Column | None = None) -> Column:
     """The class of a failed call, by ordered rules on the exception's class name, module and message."""
+    # The tokens looked for and the classes.
     name, module, message = (F.lower(F.coalesce(c, F.lit(""))) for c in (kind, module, message))
     has = lambda c, *tokens: reduce(lambda a, b: a | b, [F.contains(c, F.lit(t)) for t in tokens])
     is_validation = name == "validationerror" if validation is None else validation
@@ -195,6 +196,7 @@ def is_future(deadline: Column, now: Column) -> Column:
 def time_allocation(duration: Column) -> Column:
     """Array of (activity, minutes) for a session."""
     intro, practice = F.greatest(F.lit(5), F.floor(duration / 9)).cast("int"), F.greatest(F.lit(5), F.floor(duration / 4)).cast("int")
+    # The activities.
     parts = (("导入与目标说明", intro), ("核心概念讲解", duration - intro - practice - 5), ("课堂练习与互动", practice), ("总结与作业说明", F.lit(5)))
     return F.array(*[F.struct(F.lit(a).alias("activity"), m.cast("int").alias("minutes")) for a, m in parts])
 

@@ -13,6 +13,7 @@ from lectern.operators.lineage import once, settled
 from lectern.operators.search import sparse_embeddings
 
 REFERENCE = "struct<chunk_id:string,source_type:string,chapter:string,page:int>"
+# Fixed values.
 CHOICES = ("single_choice", "multiple_choice")
 TYPES = ("single_choice", "multiple_choice", "judgement", "short_answer")
 
@@ -51,7 +52,7 @@ def plan_blueprints(params: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def _question(kind: Column, index: Column, point: Column) -> Column:
-    """The template question of a type: text, options, answer, explanation."""
+    """The template question of a type: text, options, answer, explanation.  The wording is fixed."""
     text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     option = lambda k, v: F.struct(F.lit(k).alias("key"), (v if isinstance(v, Column) else F.lit(v)).alias("value"))
     made = lambda said, options, answer, why: F.struct(text("Question ", index.cast("string"), " about ", point, said).alias("question_text"), options.alias("options"), (answer if isinstance(answer, Column) else F.lit(answer)).alias("correct_answer"), why.alias("explanation"))
@@ -153,6 +154,7 @@ def validate_exams(blueprints: DataFrame, questions: DataFrame, threshold: float
     names = ("option_valid", "answer_valid", "explanation_valid", "citation_valid", "knowledge_coverage_valid")
     out = out.select("exam_id", yes("question_count_valid"), ((F.col("_planned") == F.coalesce("_score", F.lit(0))) & (F.col("_planned") == F.col("total_score"))).alias("score_valid"), *[yes(n) for n in names], F.coalesce("duplicate_rate", F.lit(0.0)).alias("duplicate_rate"))
     out = out.withColumn("duplicate_valid", F.col("duplicate_rate") <= bound)
+    # Names and messages of the checks.
     flags = [(c, f"{c} failed") for c in ("question_count_valid", "score_valid", *names)] + [("duplicate_valid", "duplicate_rate exceeds threshold")]
     return with_errors(out, flags)
 
@@ -228,6 +230,7 @@ def render_exams(blueprints: DataFrame, questions: DataFrame) -> DataFrame:
     options = lambda q: F.transform(F.coalesce(q["options"], F.array().cast("array<struct<key:string,value:string>>")), lambda o: line("bullet", F.concat(o["key"], F.lit(". "), o["value"])))
     head = lambda q, i: F.concat(F.array(line("text", F.concat((i + 1).cast("string"), F.lit(". ("), q["question_type"], F.lit(", "), q["score"].cast("string"), F.lit(" pts) "), q["question_text"]))), options(q))
     answer = lambda q: F.array(line("text", F.concat(F.lit("Answer: "), q["correct_answer"])))
+    # Roles, titles and line formats.
     parts = {
         "student_exam": ("Student Exam", lambda q, i: F.concat(head(q, i), F.array(line("text", F.lit("Answer: ______________________________"))))),
         "teacher_answer": ("Teacher Answer Key", lambda q, i: F.concat(head(q, i), answer(q))),

@@ -9,6 +9,7 @@ from lectern.functions.text import filled, keywords, slice_points, target_sessio
 from lectern.operators.lineage import once
 from lectern.operators.exams import gather_contexts, line, no_reference, numbered, reference_line, references_of, with_errors
 
+# Fixed values.
 SLIDE_TYPES = ("title", "objectives", "content", "activity", "summary", "references")
 BOUND = ("objectives", "content", "activity")
 _CONTEXTS = "array<struct<rank:int,chunk_id:string,source_type:string,chapter:string,page:int,content:string>>"
@@ -102,6 +103,7 @@ def validate_lessons(lessons: DataFrame) -> DataFrame:
     covered = some("knowledge_points") & F.forall("sessions", lambda s: some(s["key_points"]))
     cited = F.forall("sessions", lambda s: some(s["references"]))
     message = lambda ok, m: F.when(~ok, F.array(F.lit(m))).otherwise(F.array().cast("array<string>"))
+    # The messages of the checks.
     errors = F.concat(
         message(count, "session_count_valid failed"), message(plans, "session_plan count does not match expected sessions"),
         F.transform(wrong, lambda p: F.concat(F.lit("time allocation invalid for session "), p["session_index"].cast("string"))),
