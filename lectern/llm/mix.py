@@ -104,19 +104,21 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
         .drop("source")
     )
     begun = slices.select("source_key", "_fine", F.coalesce(F.sum("_words").over(Window.partitionBy("source_key").orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_begun"))
-    placed = begun.join(wanted, "source_key")
+    placed = saved(begun.join(wanted, "source_key"))
+    # What holds for a source reaches its rows by slice, so a source with a third of all rows meets in no task.
+    by_slice = lambda df: placed.select("source_key", "_fine").join(df, "source_key")
     running = F.sum("size").over(Window.partitionBy("source_key", "_fine").orderBy("_hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     taken = saved(
         rows.join(placed, ["source_key", "_fine"])
         .withColumn("_extra", (F.col("_begun") + running <= F.col("_rest")) & (F.col("size") > 0))
         .drop("_begun")
     )
-    gaps = taken.groupBy("source_key").agg(
+    gaps = saved(taken.groupBy("source_key").agg(
         (F.first("_rest") - F.sum(F.when(F.col("_extra"), F.col("size")).otherwise(0))).alias("_gap"),
         F.max(F.when(F.col("_extra"), F.col("_fine"))).alias("_last"),
-    )
+    ))
     fits = (
-        taken.where("not _extra and size > 0 and _rest > 0").join(gaps.select("source_key", "_gap"), "source_key")
+        taken.where("not _extra and size > 0 and _rest > 0").join(by_slice(gaps.select("source_key", "_gap")), ["source_key", "_fine"])
         .where(F.abs(F.col("_gap") - F.col("size")) < F.col("_gap"))
         .groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("_gap") - F.col("size")).alias("off"), "_hash", "doc_id")).alias("_fill"))
     )
@@ -130,7 +132,7 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     block = F.floor(F.col("_fine") / SLICES).cast("int")
     shard = lambda e: F.least(F.size(F.filter(F.col("ends"), lambda x: x <= e * BLOCKS + block)), F.lit(shards - 1))
     return (
-        taken.join(plan, "source_key").withColumn("copies", copies)
+        taken.join(by_slice(plan), ["source_key", "_fine"]).withColumn("copies", copies)
         .select(
             "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
             (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies",
