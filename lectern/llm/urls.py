@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: At most so many URLs that a rule judges are learned from, chosen by hash.
 LEARNED = 20_000
+SALTS = 256
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 FEATURES = ("n_url", "n_host", "n_path", "depth", "labels", "digits", "hyphens", "entropy", "parameters", "escapes", "suffix_rate", "suffix_share")
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -67,7 +68,9 @@ def judge_urls(df: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_i
     block = F.when(F.col("_rule.verdict") == "block", 1.0).when(F.col("_rule.verdict").isNotNull(), 0.0)
     suffixes = rows.groupBy("_suffix").agg(
         ((F.coalesce(F.sum(block), F.lit(0.0)) + 1) / (F.count(block) + 2)).alias("suffix_rate"), F.log1p(F.count(F.lit(1))).alias("suffix_share"))
-    rows = rows.withColumn("label", block).join(suffixes, "_suffix")
+    # Few suffixes hold most rows: each is dealt out in SALTS parts.
+    rows = rows.withColumn("label", block).withColumn("_salt", F.pmod(F.xxhash64("_url"), F.lit(SALTS)).cast("int"))
+    rows = rows.join(suffixes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_suffix", "_salt"])
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     labelled = rows.where("label is not null")
     sample = labelled.select("features", "label", F.xxhash64("_url").alias("_order")).orderBy("_order").limit(learned).select("features", "label").coalesce(1).cache()
