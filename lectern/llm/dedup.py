@@ -23,15 +23,17 @@ def exact_copies(df: DataFrame, key: str = "doc_id", text: str = "text", prefix_
     rows = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_length", F.octet_length("_text"))
     lengths = rows.groupBy("_length").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_length")
     rows = rows.withColumn("_begins", F.xxhash64(F.left("_text", F.lit(prefix_chars))))
+    # Counted before it meets the lengths: a group of copies is one row by then.
     begins = (
-        rows.select("_length", "_begins").join(lengths, "_length", "left_semi")
-        .groupBy("_length", "_begins").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_length", "_begins", F.lit(True).alias("_candidate"))
+        rows.groupBy("_length", "_begins").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        .join(lengths, "_length", "left_semi").select("_length", "_begins", F.lit(True).alias("_candidate"))
     )
     hashed = saved(
         rows.join(begins, ["_length", "_begins"], "left")
         .select("doc_id", F.monotonically_increasing_id().alias("_row"), F.when(F.col("_candidate"), F.sha2("_text", 256)).alias("_hash"), *whole)
     )
-    groups = (
+    # Saved, so that the join below deals both sides out itself and can split a hash that many rows share.
+    groups = saved(
         hashed.where("_hash is not null").groupBy("_hash")
         .agg(F.count(F.lit(1)).alias("_size"), F.max(F.struct("doc_id", "_row")).alias("_keep"))
         .where("_size > 1")
