@@ -85,9 +85,11 @@ def rows_kept(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame
     Rows are found again by their key alone where it occurs once; only the others are told apart by
     their text's digest.  Null is a key like any other.
     """
-    keys = found.groupBy(F.col("doc_id").alias("_key")).agg(F.count(F.lit(1)).alias("_times"), F.max("kept").alias("_any")).where("_any")
+    keys = saved(found.groupBy(F.col("doc_id").alias("_key")).agg(F.count(F.lit(1)).alias("_times"), F.max("kept").alias("_any")).where("_any"))
     same = df[key].eqNullSafe(F.col("_key"))
     once = df.join(keys.where("_times = 1").select("_key"), same, "left_semi")
+    if keys.where("_times > 1").isEmpty():  # else the texts would be shuffled a second time for nothing
+        return once
     stays = found.where("kept").select(F.col("doc_id").alias("_key"), F.col("text_sha256").alias("_digest")).distinct()
     again = (
         df.join(keys.where("_times > 1").select("_key"), same, "left_semi")

@@ -88,7 +88,8 @@ def components(edges: DataFrame) -> DataFrame:
     labels = saved(both.groupBy(F.col("a").alias("v")).agg(F.least("a", F.min("b")).alias("label")))
     while True:
         near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(near, F.col("v") == F.col("a")).select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        # Saved, so that the join by label deals both sides out itself and can split a label that many vertices share.
+        spread = saved(labels.join(near, F.col("v") == F.col("a")).select("v", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         jump = spread.select(F.col("v").alias("w"), F.col("label").alias("next"))
         moved = saved(spread.join(jump, F.col("label") == F.col("w")).select("v", F.least("label", "next").alias("label"), (F.least("label", "next") != F.col("old")).alias("moved")))
         labels = moved.select("v", "label")
@@ -180,10 +181,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     signed = saved(digested.mapInPandas(sign, f"doc_id {kind}, text_sha256 string, v string, bands array<bigint>"))
     texts = saved(signed.where("v is not null").groupBy("v").agg(F.min(F.struct("doc_id", "text_sha256")).alias("first"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands")))
     met = texts.select("v", F.posexplode("bands").alias("band", "hash"))
-    buckets = met.groupBy("band", "hash").agg(F.min("v").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    # What is grouped by a key and then joined by it is saved between, so that the join can split a key that many rows share.
+    buckets = saved(met.groupBy("band", "hash").agg(F.min("v").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
     candidates = components(met.join(buckets, ["band", "hash"]).select(F.col("v").alias("a"), "b"))
     placed = saved(gapless(candidates, "label", ["v"], "_at"))
-    many = placed.groupBy("label").agg(F.max("_at").alias("_last"))
+    many = saved(placed.groupBy("label").agg(F.max("_at").alias("_last")))
     members = (
         placed.join(many, "label").join(texts.select("v", "least", "rows"), "v")
         .select("v", "label", "least", "rows", F.floor(F.col("_at") / BLOCK).cast("int").alias("block"), F.floor(F.col("_last") / BLOCK).cast("int").alias("blocks"))
@@ -211,8 +213,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     links = verified.groupBy("v").agg(F.sum("texts").alias("texts"), F.sum("near").alias("near"))
     labels = components(verified.select(F.col("v").alias("a"), F.col("root").alias("b")))
     named = labels.join(texts.select("v", "first"), "v")
-    classes = named.groupBy("label").agg(F.min("first").alias("class_first")).join(labels, "label").select("v", "class_first")
-    facts = texts.select("v", "first", "rows").join(links, "v", "left").join(classes, "v", "left")
+    classes = saved(named.groupBy("label").agg(F.min("first").alias("class_first"))).join(labels, "label").select("v", "class_first")
+    facts = saved(texts.select("v", "first", "rows").join(links, "v", "left").join(classes, "v", "left"))
     head = F.coalesce("class_first", "first")
     alone = F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))  # texts without words must not meet in one task
     return (
