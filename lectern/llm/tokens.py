@@ -166,7 +166,8 @@ def count_tokens(df: DataFrame, cache: str, key: str = "doc_id", text: str = "te
             yield pd.DataFrame({"content_digest": batch["content_digest"], "tokenizer_digest": version, "n_tokens": np.array(found, dtype=np.int64)})
 
     misses.mapInPandas(encode, schema).write.mode("append").parquet(cache)
-    counts = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.first("n_tokens").alias("n_tokens"))
+    # Saved, so that the join below deals both sides out itself and can split a digest that many rows share.
+    counts = saved(spark.read.schema(schema).parquet(cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.first("n_tokens").alias("n_tokens")))
     return rows.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
