@@ -137,10 +137,11 @@ def vector_stats(collections: DataFrame, segments: DataFrame, entries: DataFrame
     return collections.join(n, "collection_id", "left").select("collection_id", "dimension", F.coalesce("_n", F.lit(0)).alias("entry_count"))
 
 
-def eav_to_rows(entries: DataFrame, metadata: DataFrame, key: str, value: str, wanted: str) -> DataFrame:
-    """(entry_id, text) of the entries whose metadata has ``wanted`` under ``key``; the text is under ``value``."""
+def eav_to_rows(entries: DataFrame, metadata: DataFrame, key: str, value: str, wanted: str | None = None) -> DataFrame:
+    """(entry_id, text) of the entries whose metadata has ``wanted``, or anything if it is None, under ``key``; the text is under ``value``."""
     pick = lambda k, name: metadata.where(F.col("key") == k).select("entry_id", F.col("string_value").alias(name))
-    return entries.select("entry_id").join(pick(key, "_k").where(F.col("_k") == wanted), "entry_id").join(pick(value, "text"), "entry_id").select("entry_id", "text")
+    named = pick(key, "_k") if wanted is None else pick(key, "_k").where(F.col("_k") == wanted)
+    return entries.select("entry_id").join(named, "entry_id").join(pick(value, "text"), "entry_id").select("entry_id", "text")
 
 
 def count_match(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

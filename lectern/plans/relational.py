@@ -161,6 +161,14 @@ def c10_eav_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.eav_to_rows(docs, meta, "course_id", "document", "src3")
 
 
+@query("SELECT doc_id AS entry_id, text FROM documents")
+def c10_eav_to_rows_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of the entries of every course."""
+    docs = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("entry_id"), "source", "text")
+    meta = docs.select("entry_id", F.explode(F.create_map(F.lit("course_id"), F.col("source"), F.lit("document"), F.col("text"))).alias("key", "string_value"))
+    return T.eav_to_rows(docs, meta, "course_id", "document")
+
+
 @query("""WITH a AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY ALL), b AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY ALL)
 SELECT coalesce(a.k, b.k) AS course_id, coalesce(a.n, 0) AS left_count, coalesce(b.n, 0) AS right_count, coalesce(a.n, 0) = coalesce(b.n, 0) AS matches FROM a FULL JOIN b ON a.k = b.k""")
 def c11_count_match(spark: SparkSession, sf_dir: str) -> DataFrame:
