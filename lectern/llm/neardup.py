@@ -157,7 +157,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     Rows with equal n-gram sets are one text from the start.  Bands and rows are chosen so that a
     pair at the threshold meets in a band with probability ``recall``.  Texts that meet in a band
     hang together as candidates, through the band's least text, so no pairs are written out; each
-    candidate's whole n-gram set is then sent to its group once, and large groups are verified
+    candidate's whole n-gram set, of the row with its least id and digest, is then sent to its group once, and large groups are verified
     block against block.
     """
     bands, rows = bands_for(threshold, recall)
@@ -179,7 +179,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[lo:hi].reset_index(drop=True), "text_sha256": batch["text_sha256"].iloc[lo:hi].reset_index(drop=True), "v": pd.Series(v, dtype=object), "bands": pd.Series(found, dtype=object)})
 
     signed = saved(digested.mapInPandas(sign, f"doc_id {kind}, text_sha256 string, v string, bands array<bigint>"))
-    texts = saved(signed.where("v is not null").groupBy("v").agg(F.min(F.struct("doc_id", "text_sha256")).alias("first"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands")))
+    texts = saved(signed.where("v is not null").groupBy("v").agg(F.min(F.struct("doc_id", "text_sha256")).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands")))
     met = texts.select("v", F.posexplode("bands").alias("band", "hash"))
     # What is grouped by a key and then joined by it is saved between, so that the join can split a key that many rows share.
     buckets = saved(met.groupBy("band", "hash").agg(F.min("v").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
@@ -187,8 +187,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     placed = saved(gapless(candidates, "label", ["v"], "_at"))
     many = saved(placed.groupBy("label").agg(F.max("_at").alias("_last")))
     members = (
-        placed.join(many, "label").join(texts.select("v", "least", "rows"), "v")
-        .select("v", "label", "least", "rows", F.floor(F.col("_at") / BLOCK).cast("int").alias("block"), F.floor(F.col("_last") / BLOCK).cast("int").alias("blocks"))
+        placed.join(many, "label").join(texts.select("v", F.col("first.doc_id").alias("_id"), F.col("first.text_sha256").alias("_digest"), "rows"), "v")
+        .select("v", "label", "_id", "_digest", "rows", F.floor(F.col("_at") / BLOCK).cast("int").alias("block"), F.floor(F.col("_last") / BLOCK).cast("int").alias("blocks"))
     )
 
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +198,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
                 yield batch.iloc[lo:hi].assign(grams=[s.tobytes() for s in gram_sets(bodies[lo:hi], n)])
 
     grams = (
-        docs.join(members, docs["doc_id"].eqNullSafe(members["least"])).select("v", "label", "rows", "block", "blocks", "_text")
+        digested.join(members, digested["doc_id"].eqNullSafe(members["_id"]) & (digested["text_sha256"] == members["_digest"])).select("v", "label", "rows", "block", "blocks", "_text")
         .mapInPandas(gram, "v string, label string, rows bigint, block int, blocks int, grams binary")
         .dropDuplicates(["v"])
     )

@@ -161,6 +161,19 @@ def test_near_duplicates_of_odd_rows(odd):
     assert one_of_each(odd).count() == 6 and near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_that_share_a_key(spark):
+    words = lambda g, x: " ".join([f"w{g}_{j}" for j in range(60)] + [x])
+    rows = [(key, words(g, x)) for g in range(25) for key, x in ((1, "a"), (1, "b"), (None, "c"))] + [(1, f"alone {g} of five words") for g in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    made = {i: t for i, (_, t) in enumerate(rows)}
+    links = Counter(x for pair in brute_links(made) for x in pair)
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = near_duplicates(df).collect()
+    assert {(r.doc_id, r.text_sha256): (r.n_links, r.n_texts) for r in got} == {(k, digest(t)): (links[i], links[i]) for i, (k, t) in enumerate(rows)}
+    assert {links[i] for i in range(75)} == {2} and len(got) == len(rows)
+    assert {(r.doc_id, r.text) for r in one_of_each(df).collect()} == {(k, t) for k, t in rows if k is None or t.startswith("alone")}
+
+
 def check_packing(rows, texts, exact=True):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for r in rows[:: max(1, len(rows) // 200)]:
