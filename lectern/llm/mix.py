@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,6 +81,11 @@ def split_blocks(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return ended.groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("node", "_end"))).alias("_ends")).select("source_key", F.col("_ends._end").alias("ends"))
 
 
+def _digest(text: str) -> Column:
+    """What tells rows of one key and source apart; null stays null."""
+    return F.sha2(F.col(text), 256)
+
+
 def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, shards: int = 16, seed: int = 20) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken, copies, shards.
 
@@ -86,12 +93,20 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     the target is passed, and the one row that best fills the gap is added.  So a source misses its
     target by less than a row, and no row is taken more than ``cap`` times.  ``shards`` has the
     output shard of each copy: a source's run of blocks (hash ranges of its rows) is cut at the exact
-    quotas of the splitting tree.  Null text: size 0.  Null source: a source of its own.  Rows that
-    repeat a key are treated alike.  An empty table gives none.
+    quotas of the splitting tree.  Null text: size 0.  Null source: a source of its own.  Rows are told
+    apart by key, text and, where these are equal too, a number.  An empty table gives none.
     """
-    hashed = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
+    return _dealt(df, key, text, source, weights, cap, shards, seed).drop("_digest", "_number")
+
+
+def _dealt(df: DataFrame, key: str, text: str, source: str, weights: tuple[int, ...], cap: int, shards: int, seed: int) -> DataFrame:
+    """The rows of :func:`mix_sources` with _digest and _number, which with doc_id and source name a row."""
+    hashed = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "_digest", "_number")
+    # Equal rows are counted before they are numbered, so however many they are they need no sort.
     rows = saved(
-        df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+        df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _digest(text).alias("_digest"))
+        .groupBy("doc_id", "source", "size", "_digest").agg(F.count(F.lit(1)).alias("_equal"))
+        .select("doc_id", "source", "size", "_digest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_equal") - 1)).alias("_number"))
         .withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
         .withColumn("_hash", hashed).withColumn("_fine", F.shiftrightunsigned("_hash", 52).cast("int"))
     )
@@ -107,7 +122,7 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     placed = saved(begun.join(wanted, "source_key"))
     # What holds for a source reaches its rows by slice, so a source with a third of all rows meets in no task.
     by_slice = lambda df: placed.select("source_key", "_fine").join(df, "source_key")
-    running = F.sum("size").over(Window.partitionBy("source_key", "_fine").orderBy("_hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("size").over(Window.partitionBy("source_key", "_fine").orderBy("_hash", "doc_id", "_digest", "_number").rowsBetween(Window.unboundedPreceding, 0))
     taken = saved(
         rows.join(placed, ["source_key", "_fine"])
         .withColumn("_extra", (F.col("_begun") + running <= F.col("_rest")) & (F.col("size") > 0))
@@ -120,21 +135,21 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     fits = (
         taken.where("not _extra and size > 0 and _rest > 0").join(by_slice(gaps.select("source_key", "_gap")), ["source_key", "_fine"])
         .where(F.abs(F.col("_gap") - F.col("size")) < F.col("_gap"))
-        .groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("_gap") - F.col("size")).alias("off"), "_hash", "doc_id")).alias("_fill"))
+        .groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("_gap") - F.col("size")).alias("off"), "_hash", "doc_id", "_digest", "_number")).alias("_fill"))
     )
     quotas = wanted.join(gaps.select("source_key", "_last"), "source_key").select(
         "source_key", (F.col("_rounds").cast("long") * BLOCKS + F.coalesce(F.floor(F.col("_last") / SLICES) + 1, F.lit(0))).cast("long").alias("quota"))
-    plan = fits.select("source_key", F.col("_fill._hash").alias("_fill_hash"), F.col("_fill.doc_id").alias("_fill_id"))
+    plan = fits.select("source_key", "_fill")
     plan = quotas.select("source_key").join(plan, "source_key", "left").join(split_blocks(quotas, shards, seed), "source_key", "left")
     plan = saved(plan)
-    filled = F.coalesce((F.col("_fill_hash") == F.col("_hash")) & F.col("_fill_id").eqNullSafe(F.col("doc_id")), F.lit(False))
+    filled = F.col("_fill").isNotNull() & reduce(lambda a, c: a & F.col(f"_fill.{c}").eqNullSafe(F.col(c)), ("_hash", "_digest", "_number"), F.col("_fill.doc_id").eqNullSafe(F.col("doc_id")))
     copies = (F.col("_rounds") + F.when(F.col("_extra") | filled, 1).otherwise(0)).cast("int")
     block = F.floor(F.col("_fine") / SLICES).cast("int")
     shard = lambda e: F.least(F.size(F.filter(F.col("ends"), lambda x: x <= e * BLOCKS + block)), F.lit(shards - 1))
     return (
         taken.join(by_slice(plan), ["source_key", "_fine"]).withColumn("copies", copies)
         .select(
-            "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
+            "doc_id", "source", "size", "_digest", "_number", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
             (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies",
             F.transform(F.expr("sequence(0, 3)") if cap == 3 else F.sequence(F.lit(0), F.lit(cap)), lambda e: F.struct(e.alias("e"), shard(e).alias("shard"))).alias("_dealt"),
         )
@@ -143,11 +158,30 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     )
 
 
-def mixed_rows(df: DataFrame, key: str = "doc_id", source: str = "source", seed: int = 20, **options) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it, with _shard and _order: write by shard, sorted by order, for a local shuffle.  Rows are found again by key and source, null being like any other; such as share both are taken alike."""
-    mix = mix_sources(df, key=key, source=source, seed=seed, **options).where("copies > 0").select(F.col("doc_id").alias("_key"), F.col("source").alias("_source"), "shards").dropDuplicates(["_key", "_source"])
-    taken = df.join(mix, df[key].eqNullSafe(F.col("_key")) & df[source].eqNullSafe(F.col("_source")))
-    return taken.select("*", F.posexplode("shards").alias("_copy", "_shard")).withColumn("_order", F.xxhash64(F.lit(seed + 1), "_shard", "_key", "_copy")).drop("_key", "_source", "_copy", "shards")
+def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, shards: int = 16, seed: int = 20) -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it, with _shard and _order: write by shard, sorted by order, for a local shuffle.
+
+    Rows are found again by key, source and the text's digest, null being like any other; those that
+    share all three are numbered, which takes a second pass over them alone.
+    """
+    mix = saved(
+        _dealt(df, key, text, source, weights, cap, shards, seed)
+        .select(F.col("doc_id").alias("_key"), F.col("source").alias("_source"), F.col("_digest").alias("_sha"), "_number", "copies", "shards")
+    )
+    names = ["_key", "_source", "_sha"]
+    digested = df.withColumn("_own", _digest(text))
+    same = digested[key].eqNullSafe(F.col("_key")) & digested[source].eqNullSafe(F.col("_source")) & F.col("_own").eqNullSafe(F.col("_sha"))
+    repeated = saved(mix.where("_number = 1").select(names))
+    again = not repeated.isEmpty()  # else the texts would be shuffled a second time for nothing
+    equal = reduce(lambda a, c: a & F.col(f"m.{c}").eqNullSafe(F.col(f"r.{c}")), names[1:], F.col("m._key").eqNullSafe(F.col("r._key")))
+    once = mix.alias("m").join(repeated.alias("r"), equal, "left_anti") if again else mix
+    taken = digested.join(once.where("copies > 0"), same).drop("_own", "copies")
+    if again:
+        others = [c for c, kind in df.dtypes if c not in (key, text, source) and "map<" not in kind]
+        numbered = digested.join(repeated, same, "left_semi").withColumn("_at", F.row_number().over(Window.partitionBy(key, source, "_own").orderBy(F.xxhash64(*others) if others else F.lit(0))) - 1)
+        more = numbered.join(mix.where("copies > 0"), numbered[key].eqNullSafe(F.col("_key")) & numbered[source].eqNullSafe(F.col("_source")) & F.col("_own").eqNullSafe(F.col("_sha")) & (F.col("_at") == F.col("_number")))
+        taken = taken.unionByName(more.drop("_own", "_at", "copies"))
+    return taken.select("*", F.posexplode("shards").alias("_copy", "_shard")).withColumn("_order", F.xxhash64(F.lit(seed + 1), "_shard", "_key", "_sha", "_number", "_copy")).drop(*names, "_number", "_copy", "shards")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

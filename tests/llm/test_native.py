@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import pytest
@@ -110,6 +111,21 @@ def test_mix_takes_odd_rows(odd):
     assert {r.text for r in out} <= {r[1] for r in ODD}
 
 
+def test_mix_tells_rows_of_one_key_apart(spark):
+    rows = [(None, "w " * (5 + i % 4) + f"n{i}", "en", "a", i) for i in range(300)] + [(1, "w " * 6 + f"k{i}", "en", "b", i) for i in range(300)]
+    rows += [(2, "same " * 7, "en", "c", i % 5) for i in range(200)] + [(10 + i, f"v{i} " * 9, "en", "d", i) for i in range(150)]
+    df = spark.createDataFrame(rows, DOCS)
+    mix = mix_sources(df).collect()
+    target, taken = check_mix(mix, rows_of := df.collect())
+    largest = {s: max(r.size for r in mix if r.source == s) for s in target}
+    assert all(abs(taken[s] - t) < largest[s] for s, t in target.items())
+    out = [mixed_rows(d).collect() for d in (df, df.repartition(7))]
+    assert sorted(map(str, out[0])) == sorted(map(str, out[1]))
+    assert len(out[0]) == sum(r.copies for r in mix) and {s: sum(len(r.text.split()) for r in out[0] if r.source == s) for s in taken} == taken
+    times = Counter((r.doc_id, r.text, r.source, r.n_chars) for r in out[0])
+    assert all(times[d.doc_id, d.text, d.source, d.n_chars] <= 3 * (40 if d.source == "c" else 1) for d in rows_of)
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = {"sa": 256 * 3, "sb": 17, "sc": 0, "sd": 1000}
     ends = {r.source_key: r.ends for r in split_blocks(spark.createDataFrame(list(quotas.items()), "source_key string, quota bigint"), 8, 1).collect()}
