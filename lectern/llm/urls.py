@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: At most so many URLs that a rule judges are learned from, chosen by hash.
+#: At most so many distinct URLs that a rule judges are learned from, half of either verdict, chosen by hash.
 LEARNED = 20_000
 SALTS = 256
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -57,7 +57,8 @@ def judge_urls(df: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_i
     """One row per input row: the ``keep`` columns, host, path, rule, verdict, block_score.
 
     A URL that a rule fits gets the rule's verdict, and all such URLs are the labelled ones; the
-    others get that of boosted trees learned from at most ``learned`` of them.  block_score is the
+    others get that of boosted trees learned from at most ``learned`` of them, at most half of either
+    verdict; a URL that many rows hold counts once.  block_score is the
     trees' probability of block for any URL.  Suffix statistics (the last two host labels' share of
     blocks, smoothed, and of all URLs, both logged counts) are taken over all rows.  Null URLs have
     empty parts and all features 0.  Where no rule fits any row the trees say allow, where
@@ -69,11 +70,17 @@ def judge_urls(df: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_i
     suffixes = rows.groupBy("_suffix").agg(
         ((F.coalesce(F.sum(block), F.lit(0.0)) + 1) / (F.count(block) + 2)).alias("suffix_rate"), F.log1p(F.count(F.lit(1))).alias("suffix_share"))
     # Few suffixes hold most rows: each is dealt out in SALTS parts.
-    rows = rows.withColumn("label", block).withColumn("_salt", F.pmod(F.xxhash64("_url"), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("label", block)
+    # A URL has one label and one set of features, so the sample is drawn of URLs; only the drawn ones are given their features.
+    urls = rows.where("label is not null").select("_url", "label").distinct().select("_url", "label", F.xxhash64("_url").alias("_order"))
+    drawn = [urls.where(F.col("label") == y).orderBy("_order", "_url").limit(learned // 2) for y in (0.0, 1.0)]
+    drawn = drawn[0].union(drawn[1]).select("_url", "label").withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))})
+    drawn = F.broadcast(lexical(drawn, "_url", "host", "path"))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_url"), F.lit(SALTS)).cast("int"))
     rows = rows.join(suffixes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_suffix", "_salt"])
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    labelled = rows.where("label is not null")
-    sample = labelled.select("features", "label", F.xxhash64("_url").alias("_order")).orderBy("_order").limit(learned).select("features", "label").coalesce(1).cache()
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    rows = assembler.transform(rows)
+    sample = assembler.transform(suffixes.join(drawn, "_suffix")).orderBy(F.xxhash64("_url"), "_url").select("features", "label").coalesce(1).cache()
     seen = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(seen) == 2:
         trees = GBTClassifier(maxIter=12, maxDepth=4, maxBins=64, stepSize=0.3, seed=5).fit(sample)

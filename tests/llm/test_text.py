@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lectern.llm import toxicity, urls
@@ -286,6 +287,15 @@ def test_odd_urls(spark):
     assert urls.judge_urls(df.limit(0)).count() == 0
 
 
+def test_a_hot_url_does_not_fill_the_sample(spark):
+    made = [f"http://a{i}.com/en/{i * i}?x={i}" for i in range(40)] + [f"http://b{i}.example.com/en/7{i}" for i in range(40)]
+    first = spark.createDataFrame([(u,) for u in made], "url string").orderBy(F.xxhash64("url")).first().url
+    rows = [(i, u) for i, u in enumerate([*made, *[first] * 100, "http://q.shop/fr/1"])]
+    got = urls.judge_urls(spark.createDataFrame(rows, "page_id int, url string"), learned=40).collect()
+    assert len(got) == len(rows) and len({r.block_score for r in got}) > 1
+    assert all((r.block_score >= 0.5) == (r.verdict == "block") for r in got if r.rule)
+
+
 def test_toxicity_finds_gapped_words(spark):
     rng = np.random.default_rng(0)
     part = ["ba", "ne", "tu", "ri", "so", "lem", "kan", "dor", "vi", "pel"]
