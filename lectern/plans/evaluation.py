@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions import text as X
 from lectern.operators import exams as E
 from lectern.operators import lessons as L
 from lectern.operators import metrics as M
 from lectern.plans.base import Tables, query
+from lectern.plans.ingest import benchmark_search
 from lectern.plans.teaching import DAMAGED_SQL, EXAM_SQL, SLIDE_SQL, _damaged, _lessons, exam_blueprints
 
 
@@ -61,3 +63,24 @@ def i05_evaluate_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = docs.select(F.col("source").alias("query_id")).distinct().select("query_id", F.col("query_id").alias("query"), F.array(F.lit("The"), F.lit("and")).alias("terms"))
     r = M.evaluate_retrieval(results, cases)
     return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
+
+
+def _benchmark_cases(t: Tables) -> DataFrame:
+    """Every benchmark text as a case; its first two keywords are the terms of a relevant chunk."""
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), X.keywords(F.col("text"), 2).alias("terms"))
+
+
+@query()
+def b07_labels_of_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of what a search over the chunks of all documents retrieves."""
+    t = Tables(spark, sf_dir)
+    out = M.relevance_labels(benchmark_search(t), _benchmark_cases(t))
+    return out.select("query_id", F.size("retrieved").cast("long").alias("n_retrieved"), F.size("expected").cast("long").alias("n_expected"), F.exists("expected", lambda x: x.startswith("__missing__:")).alias("missing"))
+
+
+@query()
+def i05_evaluate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval over the chunks of all documents, labels and metrics."""
+    t = Tables(spark, sf_dir)
+    r = M.evaluate_retrieval(benchmark_search(t), _benchmark_cases(t))
+    return r.select(*[F.round(c, 6).alias(c) for c in r.columns])

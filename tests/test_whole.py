@@ -52,3 +52,18 @@ def test_search_reaches_all_documents(spark, small):
 def test_rows_of_all_courses_are_whole(spark, small):
     folder, docs, _ = small
     assert {(r.entry_id, r.text) for r in QUERIES["c10_eav_to_rows_of_all"](spark, folder).collect()} == {(d[0], d[1]) for d in docs}
+
+
+def test_labels_and_metrics_of_a_search_of_all_documents(spark, small):
+    folder, docs, items = small
+    texts = {d[0]: d[1] for d in docs}
+    hits = {i: [all(w in texts[d] for w in list(dict.fromkeys(re.findall("[A-Za-z][A-Za-z0-9_-]{2,20}", texts[i])))[:2]) for _, d, _ in rows] for i, rows in nearest(docs, items).items()}
+    assert any(0 < sum(h) < 8 for h in hits.values())
+    got = {r.query_id: (r.n_retrieved, r.n_expected, r.missing) for r in QUERIES["b07_labels_of_search"](spark, folder).collect()}
+    assert got == {i: (8, max(1, sum(h)), not any(h)) for i, h in hits.items()}
+    r = QUERIES["i05_evaluate_search"](spark, folder).first()
+    gain = lambda h: sum(x / np.log2(n + 2) for n, x in enumerate(h))
+    assert r.hit_at_k == r.recall_at_k == np.mean([any(h) for h in hits.values()])
+    assert abs(r.mrr - np.mean([1 / (h.index(True) + 1) if any(h) else 0 for h in hits.values()])) < 2e-6
+    assert abs(r.ndcg - np.mean([gain(h) / gain([1] * sum(h)) if any(h) else 0 for h in hits.values()])) < 2e-6
+    assert abs(r.context_precision - np.mean([sum(h) / 8 for h in hits.values()])) < 2e-6
