@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.tokens import byte_bpe_50k
+from lectern.llm.tokens import byte_bpe_50k, byte_ids
 
 #: Reserved ids, above those of byte_bpe_50k, and how they read in the formatted text.
 TURN, BODY, END = 50257, 50258, 50259
@@ -53,7 +53,7 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     turns = df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = byte_bpe_50k().encode_ordinary
+        encode = lambda text: byte_ids(text).tolist()
         last, position, tokens, chars = run, 0, 0, 0
         for batch in batches:
             rows = []

@@ -48,15 +48,29 @@ def byte_bpe_50k():
     return byte_encoding(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),))
 
 
+#: Runs of white space that long go to the tokenizers library; the ranks form's pattern backtracks through a run and runs out of stack on a million.
+LONG_RUN = 50_000
+_SPACES = re.compile(r"\s+")
+
+
+def byte_ids(text: str, specials: bool = False) -> np.ndarray:
+    """byte_bpe_50k ids of any text; ``specials``: a special string in it counts as its special id, else it is taken as ordinary text."""
+    if len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in _SPACES.finditer(text)):
+        return np.array(library_tokenizer(tokenizer_path("byte_bpe_50k.json"), not specials).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    own = byte_bpe_50k()
+    return own.encode_to_numpy(text, allowed_special=own.special_tokens_set if specials else set(), disallowed_special=())
+
+
 @functools.cache
-def library_tokenizer(path: str):
-    """The tokenizer of a .json file, without truncation or padding."""
+def library_tokenizer(path: str, ordinary: bool = False):
+    """The tokenizer of a .json file, without truncation or padding; ``ordinary``: special strings in texts are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
     found.no_truncation()
     found.no_padding()
+    found.encode_special_tokens = ordinary
     return found
 
 
