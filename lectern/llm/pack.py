@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import gapless, saved
-from lectern.llm.tokens import byte_bpe_50k
+from lectern.llm.tokens import byte_ids
 
 END_ID = 1
+#: Context sizes, each with sequences of its own.
+TIERS = (128, 512, 2048)
+#: The plan's time grows with the square of the longest tier.
+LONGEST = 1 << 13
 PIECES = "doc_id {key}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -26,13 +30,10 @@ def cut(df: DataFrame, window: int, key: str = "doc_id", text: str = "text") ->
     kind = df.select(F.col(key)).schema[0].dataType.simpleString()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = byte_bpe_50k()
-        specials = tokenizer.special_tokens_set
         for batch in batches:
             docs, rows = [], []
             for doc, body in zip(batch["doc_id"], batch["_text"], strict=True):
-                ids = tokenizer.encode_to_numpy(body, allowed_special=specials)
-                ids = np.append(ids, END_ID).astype("<u4")
+                ids = np.append(byte_ids(body, specials=True), END_ID).astype("<u4")
                 for at in range(0, len(ids), window):
                     piece = ids[at : at + window]
                     docs.append(doc)
@@ -46,95 +47,125 @@ def cut(df: DataFrame, window: int, key: str = "doc_id", text: str = "text") ->
 class Layout:
     """Where the n-th piece of each length goes, planned on how many pieces each length has.
 
-    Pieces of the longest tier open sequences; a gap is filled with the longest piece that fits,
-    which is from the same tier or a shorter one; a sequence nothing fits into any more is closed.
-    Sequences that are composed alike are planned together, so the plan depends on the number of
-    lengths (at most the window), not of pieces.
+    A piece's tier is the least context size that holds it.  The longest tier is packed first, into
+    sequences of its own size: a sequence is opened with the longest piece of the tier, and its gap
+    is filled with the longest piece that fits, of the same tier or else of a shorter one.  Then the
+    next tier is packed, with what the longer ones left, into sequences of its own, shorter size.
+    Only a sequence of the longest size may stay unfilled, as it is padded to that size in any
+    case; where a shorter one can't be filled, its first pieces are held back, and in the end those
+    held back fill sequences of the longest size.  Sequences that are composed alike are planned
+    together, so the plan depends on the number of lengths (at most the longest tier), not of pieces.
     """
 
-    def __init__(self, counts: dict[int, int], window: int, group: int = 64):
-        left = {n: c for n, c in counts.items() if c > 0}
-        lengths = sorted(left, reverse=True)
-        made: list[tuple[int, tuple[int, ...]]] = []
-        for first in lengths:
-            while left[first]:
-                parts, gap, times = [first], window - first, left[first]
-                used = {first: 1}
-                while gap:
-                    fits = self._best(lengths, left, used, gap)
-                    if not fits:
-                        break
-                    used[fits] = used.get(fits, 0) + 1
-                    parts.append(fits)
-                    gap -= fits
-                times = min(left[n] // k for n, k in used.items())
-                for n, k in used.items():
-                    left[n] -= k * times
-                made.append((times, tuple(parts)))
-        self.window, self.sequences = window, sum(t for t, _ in made)
-        #: Alike sequences by cost (attention grows with the square of a piece); dealt to steps in a snake.
-        made.sort(key=lambda x: -sum(n * n for n in x[1]))
+    def __init__(self, counts: dict[int, int], tiers: tuple[int, ...] = TIERS, group: int = 64):
+        if not tiers or list(tiers) != sorted(set(tiers)) or any(t & (t - 1) for t in tiers) or not 1 <= tiers[-1] <= LONGEST:
+            raise ValueError(f"tiers must be ascending powers of two, {LONGEST} at most")
+        self.left = {n: c for n, c in counts.items() if c > 0}
+        self.mask = sum(1 << n for n in self.left)
+        self.made: list[tuple[int, int, tuple[int, ...]]] = []
+        longest, held = tiers[-1], {}
+        for tier, shorter in zip(reversed(tiers), [*reversed(tiers[:-1]), 0], strict=True):
+            self._pack(tier, shorter, None if tier == longest else held)
+        for n, c in held.items():
+            self.left[n] = c
+            self.mask |= 1 << n
+        self._pack(longest, 0, None)
+        # Alike sequences by cost (attention grows with the square of a piece); dealt to steps in a snake.
+        self.made.sort(key=lambda x: -sum(n * n for n in x[2]))
+        self.sequences = sum(times for times, _, _ in self.made)
         self.steps = max(1, -(-self.sequences // group))
         rank: dict[int, int] = {}
         rows, begin = [], 0
-        for times, parts in made:
+        for times, size, parts in self.made:
             at, slots = 0, {}
             for n in parts:
                 slots.setdefault(n, []).append(at)
                 at += n
             for n, ats in slots.items():
                 for offset in ats:
-                    rows.append((n, rank.get(n, 0), begin, offset))
+                    rows.append((n, rank.get(n, 0), begin, offset, size))
                     rank[n] = rank.get(n, 0) + times
             begin += times
-        table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
-        self.keys, self.first, self.begin, self.offset = (table[:, 0] << 42) + table[:, 1], table[:, 1], table[:, 2], table[:, 3]
-        self.padding = sum(t * (0 if (s := sum(p)) & (s - 1) == 0 else window - s) for t, p in made)
-
-    @staticmethod
-    def _best(lengths: list[int], left: dict[int, int], used: dict[int, int], gap: int) -> int:
-        """The longest length that fits and is left; a pair that fills the gap whole goes before it."""
-        free = [n for n in lengths if n <= gap and left[n] > used.get(n, 0)]
-        if not free:
-            return 0
-        have = set(free)
-        for n in free[:64]:
-            if n == gap or (gap - n in have and (gap - n != n or left[n] > used.get(n, 0) + 1)):
+        table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
+        self.keys, self.first, self.begin, self.offset, self.size = (table[:, 0] << 42) + table[:, 1], table[:, 1], table[:, 2], table[:, 3], table[:, 4]
+
+    def _pack(self, size: int, above: int, held: dict[int, int] | None) -> None:
+        """Sequences of this size for the pieces over ``above``; with ``held``, only filled ones."""
+        own = ((1 << (size + 1)) - 1) & ~((1 << (above + 1)) - 1)
+        while self.mask & own:
+            first = (self.mask & own).bit_length() - 1
+            used, parts, gap = {first: 1}, [first], size - first
+            while gap and (n := self._best(used, gap)):
+                used[n] = used.get(n, 0) + 1
+                parts.append(n)
+                gap -= n
+            if gap and held is not None:
+                held[first] = held.get(first, 0) + self.left[first]
+                self._take(first, self.left[first])
+                continue
+            times = min(self.left[n] // k for n, k in used.items())
+            for n, k in used.items():
+                self._take(n, k * times)
+            self.made.append((times, size, tuple(parts)))
+
+    def _take(self, n: int, count: int) -> None:
+        self.left[n] -= count
+        if not self.left[n]:
+            self.mask &= ~(1 << n)
+
+    def _best(self, used: dict[int, int], gap: int) -> int:
+        """The longest length that fits and is left; a pair that fills the gap whole goes before it.  0 if none fits."""
+        free = self.mask & ((1 << (gap + 1)) - 1)
+        for n, k in used.items():
+            if self.left[n] <= k:
+                free &= ~(1 << n)
+        longest = free.bit_length() - 1 if free else 0
+        more = free
+        for _ in range(64):
+            n = more.bit_length() - 1
+            if n <= 0:
+                break
+            if n == gap or (free >> (gap - n) & 1 and (gap - n != n or self.left[n] > used.get(n, 0) + 1)):
                 return n
-        return free[0]
+            more &= ~(1 << n)
+        return longest
 
-    def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """sequence_id, offset, step."""
+    def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """sequence_id, offset, the sequence's size, step."""
         at = np.searchsorted(self.keys, (length << 42) + rank, side="right") - 1
         sequence = self.begin[at] + rank - self.first[at]
         turn, place = np.divmod(sequence, self.steps)
-        return sequence, self.offset[at], np.where(turn % 2, self.steps - 1 - place, place)
+        return sequence, self.offset[at], self.size[at], np.where(turn % 2, self.steps - 1 - place, place)
 
 
-def pack(df: DataFrame, window: int = 2048, key: str = "doc_id", text: str = "text", group: int = 64) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step.
+def pack(df: DataFrame, tiers: tuple[int, ...] = TIERS, key: str = "doc_id", text: str = "text", group: int = 64) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, sequence_size, step.
 
-    Documents are cut only where they are longer than the window.  A piece's tier is the least power
-    of two that holds it.  Steps take up to ``group`` sequences of about the same total cost.  Of a
-    corpus the driver gets one number for each length up to the window; the plan made from them is
-    as bounded.  Rows that repeat are packed each for itself; an empty table gives none.
+    ``tiers`` are ascending powers of two.  Documents are cut only where they are longer than the
+    last; a piece's tier is the least that holds it, and :class:`Layout` says how each tier is packed
+    and how shorter ones fill the gaps of longer.  Sequences of shorter sizes are full.  Steps take up
+    to ``group`` sequences of about the same total cost.  Of a corpus the driver gets one number for
+    each length up to the last tier; the plan made from them is as bounded.  Null text: empty, one
+    token.  Rows that repeat are packed each for itself; an empty table gives none.
     """
-    if not 1 <= window < 1 << 20:
-        raise ValueError("window must be between 1 and 2**20 - 1")
-    pieces = saved(cut(df, window, key, text))
-    layout = Layout({r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}, window, group)
+    tiers = tuple(tiers)
+    Layout({}, tiers, group)  # refuses tiers that can't be packed before anything is read
+    pieces = saved(cut(df, tiers[-1], key, text))
+    layout = Layout({r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}, tiers, group)
     ranked = gapless(pieces, "length", ["doc_id", "start", "ids_crc32"], "_rank")
     kind = pieces.schema["doc_id"].dataType.simpleString()
+    sizes = np.array(tiers)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             length = b["length"].to_numpy()
-            sequence, offset, step = layout.place(length, b.pop("_rank").to_numpy())
-            yield b.assign(sequence_id=sequence, offset=offset, tier=(1 << np.ceil(np.log2(length)).astype(np.int64)), step=step)
+            sequence, offset, size, step = layout.place(length, b.pop("_rank").to_numpy())
+            yield b.assign(sequence_id=sequence, offset=offset, tier=sizes[np.searchsorted(sizes, length)], sequence_size=size, step=step)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    return ranked.select(*names, "_rank").mapInPandas(place, PIECES.format(key=kind) + ", sequence_id bigint, offset bigint, tier bigint, step bigint")
+    return ranked.select(*names, "_rank").mapInPandas(place, PIECES.format(key=kind) + ", sequence_id bigint, offset bigint, tier bigint, sequence_size bigint, step bigint")
 
 
 def op7_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 128, 512 and 2,048 tokens, one row per piece; null text: empty, repeated rows each packed, no rows of an empty table."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
