@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm.common import shared_table
 from lectern.llm.dedup import without_copies
@@ -17,27 +18,31 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep."""
+    """Documents that the repetition rules keep.  Null and empty texts go; repeated rows are judged each; an empty table stays empty."""
     return without_repetition(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: that with the largest id."""
+    """One document of each group of equal texts: that with the largest id.  Null counts as empty; of rows that repeat id and text one stays."""
     return without_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that near-duplicate links hold together: that with the least id."""
+    """One document of each group that near-duplicate links hold together: that with the least id.  Texts without words link to nothing and stay; of rows that repeat id and text one stays."""
     return one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of its source's weight takes it."""
-    return mixed_rows(docs).select(*docs.columns)
+    """Each document as often as the mix of its source's weight takes it, shard by shard, shuffled within a shard.
+
+    Null is a source of its own; a text without words goes with its block; repeated rows are drawn each.
+    """
+    part = F.shiftrightunsigned("place", 52)  # a shard is written in parts, each in order
+    return mixed_rows(docs).withColumn("part", part).repartition("shard", "part").sortWithinPartitions("shard", "part", "place").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mix, each in its training sequence."""
+    """The pieces of the mix, each in its training sequence.  Null counts as empty, which is one token; repeated rows are packed each."""
     return pack(docs)
 
 

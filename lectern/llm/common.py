@@ -15,10 +15,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset a temporary one, but only if all runs in one process (tests)."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="lectern-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
@@ -31,9 +33,13 @@ def shared_table(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder: computed once, and readable after an executor is lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written to the shared folder and read again: computed once, readable after an executor is lost, and of known size where it is joined.
+
+    (A checkpoint keeps the size that was estimated for its plan, which grows with each join of a loop.)
+    """
+    path = shared_table(df.sparkSession, "saved")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def word_count(text: Column) -> Column:
@@ -68,33 +74,83 @@ def gapless(df: DataFrame, group: str, order: list[str], name: str, buckets: int
     return df.withColumn("_bucket", bucket).withColumn("_within", within).join(begins, [group, "_bucket"]).withColumn(name, (F.col("_begin") + F.col("_within")).cast("long")).drop("_bucket", "_within", "_begin")
 
 
-def bands_for(threshold: float, recall: float, most: int = 256) -> tuple[int, int]:
+def bands_for(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
     """(bands, rows): the most rows a band can have so that pairs at ``threshold`` share a band with probability ``recall`` within ``most`` hashes."""
-    best = (most, 1)
-    for rows in range(1, 33):
-        hit = threshold**rows
-        bands = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - hit))
-        if bands * rows <= most and rows * bands <= 110:
-            best = (bands, rows)
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("threshold must be above 0 and at most 1, recall between 0 and 1")
+    best = None
+    for rows in range(1, most + 1):
+        miss = math.log1p(-(threshold**rows)) if threshold < 1 else -math.inf  # of one band
+        bands = max(1, math.ceil(math.log(1 - recall) / miss)) if miss else math.inf
+        if bands * rows > most:
+            break
+        best = (bands, rows)
+    if best is None:
+        raise ValueError(f"{most} hashes can't reach a recall of {recall} at {threshold}")
     return best
 
 
-def rows_kept(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of ``df`` whose (doc_id, text_sha256) ``found`` has as kept, with all their columns; of rows that repeat both, one.
+#: Bits of the largest filter that is sent to every executor (32 MB), and of a filter for each key.
+FILTER_BITS, BITS_A_KEY = 1 << 28, 32
+
+
+def maybe_among(df: DataFrame, number: str, numbers: DataFrame, most_bits: int = FILTER_BITS) -> DataFrame:
+    """``df`` with _maybe: false only where column ``number`` (a 64-bit hash) isn't among those of ``numbers``, a saved table of one column.
+
+    The numbers go to every executor as a bitmap of BITS_A_KEY bits for each, ``most_bits`` at most,
+    so what is sent has a fixed bound.  Beyond a key for every second bit it would tell too little,
+    and _maybe is true everywhere: the caller's join decides in any case, the filter only spares it rows.
+    """
+    n = numbers.count()
+    if not n or 2 * n > most_bits:
+        return df.withColumn("_maybe", F.lit(n > 0))
+    bits = min(most_bits, max(1 << 15, 1 << (BITS_A_KEY * n - 1).bit_length()))
+    at = lambda c: F.col(c).bitwiseAND(F.lit(bits - 1))
+    page, place = F.shiftright("_at", 15).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 15) - 1))
+    pages = (
+        numbers.toDF("_number").select(at("_number").alias("_at")).groupBy(page.alias("_page"))
+        .agg(F.bitmap_construct_agg(place).alias("_bits"))  # a page has 2**15 bits
+    )
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1
+    found = df.withColumn("_at", at(number)).withColumn("_page", page).join(F.broadcast(pages), "_page", "left")
+    return found.withColumn("_maybe", F.coalesce(hit, F.lit(False))).select(*df.columns, "_maybe")
+
+
+def hash_of(key: Column) -> Column:
+    """A 64-bit hash of a key of any plain type; null has one too."""
+    return F.xxhash64(key.cast("string"))
+
+
+def text_digest(text: Column) -> Column:
+    """Digest of a text; null counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def carried(df: DataFrame, key: str, **others: Column) -> DataFrame:
+    """``df`` as _row, a struct of all its columns, so that no name of it can clash; _key; _hash, its key's hash; and ``others``."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), df[key].alias("_key"), hash_of(df[key]).alias("_hash"), *[c.alias(n) for n, c in others.items()])
+
+
+def without_dropped(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns.
 
-    Rows are found again by their key alone where it occurs once; only the others are told apart by
-    their text's digest.  Null is a key like any other.
+    ``found`` has (doc_id, digest, kept) of at least the rows that have a fellow; what it lacks
+    stays.  A row is known by its key, null being one like any other, and its text's digest; of
+    rows that share both one stays, if any does (that whose other columns hash lowest).  A text is
+    shuffled only if its key may be that of a dropped row.
     """
-    keys = saved(found.groupBy(F.col("doc_id").alias("_key")).agg(F.count(F.lit(1)).alias("_times"), F.max("kept").alias("_any")).where("_any"))
-    same = df[key].eqNullSafe(F.col("_key"))
-    once = df.join(keys.where("_times = 1").select("_key"), same, "left_semi")
-    if keys.where("_times > 1").isEmpty():  # else the texts would be shuffled a second time for nothing
-        return once
-    stays = found.where("kept").select(F.col("doc_id").alias("_key"), F.col("text_sha256").alias("_digest")).distinct()
-    again = (
-        df.join(keys.where("_times > 1").select("_key"), same, "left_semi")
-        .withColumn("_found", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-        .join(stays, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_found") == F.col("_digest")), "left_semi")
-        .dropDuplicates([key, "_found"]).drop("_found")
+    dropped = saved(
+        found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.bool_or("kept").alias("_one"), F.bool_and("kept").alias("_all"))
+        .where("not _all").select("_id", "_digest", "_one")
     )
-    return once.unionByName(again)
+    rows = maybe_among(carried(df, key), "_hash", dropped.select(hash_of(F.col("_id"))))
+    doubt = rows.where("_maybe").withColumn("_own", text_digest(F.col(f"_row.`{text}`")))
+    same = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
+    stays = rows.where("not _maybe").select("_row.*").unionByName(doubt.join(dropped, same, "left_anti").select("_row.*"))
+    again = dropped.where("_one")
+    if again.isEmpty():
+        return stays
+    others = [F.col(f"_row.`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    one = doubt.groupBy("_key", "_own").agg(F.min_by("_row", F.xxhash64(*others)).alias("_row"))
+    return stays.unionByName(one.join(again, same, "left_semi").select("_row.*"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, bands_for, gapless, rows_kept, saved
+from lectern.llm.common import WORD, bands_for, hash_of, maybe_among, saved, text_digest, without_dropped
 
 FIND = re.compile(WORD).findall
 #: Texts that are hashed together, by characters.
@@ -79,27 +79,35 @@ def _texts_at_once(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, label) of the vertices of the edges (a, b): label is the least vertex of v's component.
+    """(v, label) of the vertices of the edges (a, b): label is the least vertex of v's component.  Vertices are of any type that has an order.
 
-    Least labels spread along the edges and then jump to their own label's label, so the number of
-    rounds follows the logarithm of the longest chain.  Each round is saved in the shared folder.
+    Each round every vertex goes to the least of its neighbourhood and from there to the least of that
+    one's, and the graph is contracted accordingly.  Where the order of vertices has nothing to do
+    with the edges, as with digests, at most about half of them are left, so the rounds follow the
+    logarithm of the largest component, long chains included.
     """
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = saved(both.groupBy(F.col("a").alias("v")).agg(F.least("a", F.min("b")).alias("label")))
+    edges = saved(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    labels = None
     while True:
-        near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("near"))
-        # Saved, so that the join by label deals both sides out itself and can split a label that many vertices share.
-        spread = saved(labels.join(near, F.col("v") == F.col("a")).select("v", F.col("label").alias("old"), F.least("label", "near").alias("label")))
-        jump = spread.select(F.col("v").alias("w"), F.col("label").alias("next"))
-        moved = saved(spread.join(jump, F.col("label") == F.col("w")).select("v", F.least("label", "next").alias("label"), (F.least("label", "next") != F.col("old")).alias("moved")))
-        labels = moved.select("v", "label")
-        if moved.where("moved").isEmpty():
+        # What is joined by a key that many rows share is saved, so that the join deals both sides out itself and can split it.
+        least = saved(edges.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")))
+        step = saved(least.join(least.select(F.col("a").alias("w"), F.col("to").alias("next")), F.col("to") == F.col("w")).select(F.col("a").alias("w"), "next"))
+        if labels is None:
+            labels = step.toDF("v", "label")
+        else:
+            labels = saved(labels.join(step, F.col("label") == F.col("w"), "left").select("v", F.coalesce("next", "label").alias("label")))
+        edges = (
+            edges.join(step, F.col("a") == F.col("w")).select(F.col("next").alias("a"), "b")
+            .join(step, F.col("b") == F.col("w")).select("a", F.col("next").alias("b")).where("a <> b").distinct()
+        )
+        edges = saved(edges)
+        if edges.isEmpty():
             return labels
 
 
 def _verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """The links among the texts of one block, or between those of two: for each text with any, the other texts and rows that it links to and the least text it hangs together with."""
-    group = group.sort_values("v", ignore_index=True)
+    group = group.sort_values("v", ignore_index=True)  # bytes sort as Spark sorts them
     sets = [np.frombuffer(x, dtype=np.uint64) for x in group["grams"]]
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -144,8 +152,29 @@ def _verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"v": v[has], "texts": texts[has], "near": near[has], "root": v[root[has]]})
 
 
+def _in_blocks(edges: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs) of candidates (v, label) and their buckets, edges (a: member, b: the bucket's least text, hash).
+
+    members: v, block.  A component of up to BLOCK texts is a block.  In a larger one the texts of the
+    same least bucket are dealt by hash into blocks of about BLOCK, so that alike texts lie together.
+    pairs: low, high of blocks, each with itself, and any two with texts in the same bucket.
+    """
+    sizes = saved(candidates.groupBy("label").agg(F.count(F.lit(1)).alias("_size")))
+    # Saved where a key that many rows share is joined, so that the join deals both sides out itself and can split it.
+    least = saved(edges.groupBy(F.col("a").alias("v")).agg(F.min("hash").alias("home")))
+    large = saved(candidates.join(sizes.where(F.col("_size") > BLOCK), "label").join(least, "v").select("v", "home"))
+    homes = saved(large.groupBy("home").agg(F.count(F.lit(1)).alias("_n")))
+    part = F.pmod(F.xxhash64("v"), F.ceil(F.col("_n") / BLOCK))
+    dealt = saved(large.join(homes, "home").select("v", F.unhex(F.md5(F.concat_ws(":", F.col("home").cast("string"), part.cast("string")))).alias("block")))
+    members = saved(candidates.join(sizes.where(F.col("_size") <= BLOCK), "label").select("v", F.col("label").alias("block")).unionByName(dealt))
+    met = saved(edges.join(dealt, F.col("a") == F.col("v")).select("hash", "block").distinct())
+    other = met.select(F.col("hash").alias("_hash"), F.col("block").alias("high"))
+    crossed = met.join(other, (F.col("hash") == F.col("_hash")) & (F.col("block") < F.col("high"))).select(F.col("block").alias("low"), "high").distinct()
+    return members, members.select(F.col("block").alias("low"), F.col("block").alias("high")).distinct().unionByName(crossed)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links, n_texts, kept, text_sha256.
+    """One row per input row: doc_id, class_id, n_links, n_texts, kept, digest.
 
     Rows link when the Jaccard similarity of their sets of n-word grams is at least ``threshold``.
     n_links counts the other rows that a row links to, n_texts the other n-gram sets among them;
@@ -156,14 +185,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
 
     Rows with equal n-gram sets are one text from the start.  Bands and rows are chosen so that a
     pair at the threshold meets in a band with probability ``recall``.  Texts that meet in a band
-    hang together as candidates, through the band's least text, so no pairs are written out; each
-    candidate's whole n-gram set, of the row with its least id and digest, is then sent to its group once, and large groups are verified
-    block against block.
+    hang together as candidates, through the band's least text, so no pairs are written out.
+    Components are cut into blocks (:func:`_in_blocks`); each candidate's whole n-gram set, of the
+    row with its least id and digest, is sent once for each block that its own is verified against,
+    which is every one that a band connects it with.  A text is shuffled only if its key may be a
+    candidate's.
     """
     bands, rows = bands_for(threshold, recall)
     kind = df.select(F.col(key)).schema[0].dataType.simpleString()
     docs = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    digested = docs.withColumn("text_sha256", F.sha2("_text", 256))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -175,21 +205,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
                 found: list = [None] * (hi - lo)
                 if full:
                     for i, h in zip(full, band_hashes([sets[i] for i in full], bands, rows), strict=True):
-                        v[i], found[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).hexdigest(), h
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[lo:hi].reset_index(drop=True), "text_sha256": batch["text_sha256"].iloc[lo:hi].reset_index(drop=True), "v": pd.Series(v, dtype=object), "bands": pd.Series(found, dtype=object)})
+                        v[i], found[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), h
+                part = batch.iloc[lo:hi].reset_index(drop=True)
+                yield pd.DataFrame({"doc_id": part["doc_id"], "digest": part["digest"], "v": pd.Series(v, dtype=object), "bands": pd.Series(found, dtype=object)})
 
-    signed = saved(digested.mapInPandas(sign, f"doc_id {kind}, text_sha256 string, v string, bands array<bigint>"))
-    texts = saved(signed.where("v is not null").groupBy("v").agg(F.min(F.struct("doc_id", "text_sha256")).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands")))
-    met = texts.select("v", F.posexplode("bands").alias("band", "hash"))
+    signed = saved(docs.withColumn("digest", text_digest(F.col("_text"))).mapInPandas(sign, f"doc_id {kind}, digest string, v binary, bands array<bigint>"))
+    texts = saved(signed.where("v is not null").groupBy("v").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands")))
+    met = texts.select(F.col("v").alias("a"), F.explode("bands").alias("hash"))  # each band hashes with keys of its own
     # What is grouped by a key and then joined by it is saved between, so that the join can split a key that many rows share.
-    buckets = saved(met.groupBy("band", "hash").agg(F.min("v").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
-    candidates = components(met.join(buckets, ["band", "hash"]).select(F.col("v").alias("a"), "b"))
-    placed = saved(gapless(candidates, "label", ["v"], "_at"))
-    many = saved(placed.groupBy("label").agg(F.max("_at").alias("_last")))
-    members = (
-        placed.join(many, "label").join(texts.select("v", F.col("first.doc_id").alias("_id"), F.col("first.text_sha256").alias("_digest"), "rows"), "v")
-        .select("v", "label", "_id", "_digest", "rows", F.floor(F.col("_at") / BLOCK).cast("int").alias("block"), F.floor(F.col("_last") / BLOCK).cast("int").alias("blocks"))
-    )
+    buckets = saved(met.groupBy("hash").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    edges = saved(maybe_among(met, "hash", buckets.select("hash")).where("_maybe").join(buckets, "hash").select("a", "b", "hash"))
+    members, pairs = _in_blocks(edges, components(edges.select("a", "b")))
+    # Each end of a pair of blocks, and what is sent there.
+    ends = saved(pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high")))))
+    firsts = saved(members.join(texts.select("v", "first", "rows"), "v").select("v", "block", "rows", F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest")))
 
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -197,43 +226,42 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
             for lo, hi in _texts_at_once(bodies):
                 yield batch.iloc[lo:hi].assign(grams=[s.tobytes() for s in gram_sets(bodies[lo:hi], n)])
 
+    wanted = maybe_among(docs.withColumn("_hash", hash_of(F.col("doc_id"))), "_hash", firsts.select(hash_of(F.col("_id")))).where("_maybe").withColumn("digest", text_digest(F.col("_text")))
     grams = (
-        digested.join(members, digested["doc_id"].eqNullSafe(members["_id"]) & (digested["text_sha256"] == members["_digest"])).select("v", "label", "rows", "block", "blocks", "_text")
-        .mapInPandas(gram, "v string, label string, rows bigint, block int, blocks int, grams binary")
+        wanted.select("doc_id", "digest", "_text").join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("v", "rows", "block", "_text")
+        .mapInPandas(gram, "v binary, rows bigint, block binary, grams binary")
         .dropDuplicates(["v"])
     )
-    sent = (
-        grams.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks"))))
-        .withColumn("low", F.least("block", "_other")).withColumn("high", F.greatest("block", "_other"))
-    )
-    verified = saved(
-        sent.select("v", "label", "rows", "block", "low", "high", "grams").groupBy("label", "low", "high")
-        .applyInPandas(lambda g: _verify(g, threshold), "v string, texts bigint, near bigint, root string")
-    )
+    sent = grams.join(ends, "block").select("v", "rows", "block", "low", "high", "grams")
+    verified = saved(sent.groupBy("low", "high").applyInPandas(lambda g: _verify(g, threshold), "v binary, texts bigint, near bigint, root binary"))
     links = verified.groupBy("v").agg(F.sum("texts").alias("texts"), F.sum("near").alias("near"))
     labels = components(verified.select(F.col("v").alias("a"), F.col("root").alias("b")))
     named = labels.join(texts.select("v", "first"), "v")
     classes = saved(named.groupBy("label").agg(F.min("first").alias("class_first"))).join(labels, "label").select("v", "class_first")
     facts = saved(texts.select("v", "first", "rows").join(links, "v", "left").join(classes, "v", "left"))
     head = F.coalesce("class_first", "first")
-    alone = F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))  # texts without words must not meet in one task
-    return (
-        signed.select("doc_id", "text_sha256", F.coalesce("v", alone).alias("v")).join(facts, "v", "left")
-        .select(
-            "doc_id",
-            F.when(head.isNull(), F.col("doc_id")).otherwise(head["doc_id"]).alias("class_id"),
-            F.coalesce(F.col("rows") - 1 + F.coalesce("near", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
-            F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"),
-            (head.isNull() | (head["doc_id"].eqNullSafe(F.col("doc_id")) & (head["text_sha256"] == F.col("text_sha256")))).alias("kept"),
-            "text_sha256",
-        )
+    worded = signed.where("v is not null").join(facts, "v").select(
+        "doc_id", head["doc_id"].alias("class_id"), (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"),
+        (head["doc_id"].eqNullSafe(F.col("doc_id")) & (head["digest"] == F.col("digest"))).alias("kept"), "digest",
     )
+    none = F.lit(0).cast("long")
+    wordless = signed.where("v is null").select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_texts"), F.lit(True).alias("kept"), "digest")
+    return worded.unionByName(wordless)
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that :func:`near_duplicates` keeps, with all their columns."""
-    return rows_kept(df, saved(near_duplicates(df, key, text, **options)), key, text)
+    """The rows of ``df`` that :func:`near_duplicates` keeps, with all their columns, whatever their names.
+
+    Texts without words link to nothing and stay.  Of rows that share key and text one stays, that
+    whose other columns hash lowest.  Only texts whose key may be that of a dropped row are shuffled.
+    """
+    found = saved(near_duplicates(df, key, text, **options))
+    copies = found.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_n"), F.bool_or("kept").alias("kept"))
+    # Of a kept pair of key and text that several rows have, the others are dropped.
+    more = copies.where("kept and _n > 1").select("doc_id", "digest", F.lit(False).alias("kept"))
+    return without_dropped(df, found.where("n_links > 0").select("doc_id", "digest", "kept").unionByName(more), key, text)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and links of all documents; a null or empty text is a class of its own, repeated rows link to each other, no rows of an empty table."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links", "n_texts")

@@ -8,9 +8,9 @@ from collections import Counter
 import duckdb
 import pytest
 
-from lectern.llm.common import bands_for, gapless
+from lectern.llm.common import bands_for, gapless, maybe_among, saved
 from lectern.llm.dedup import OP9_SQL, exact_copies, op9_exact_dedup, without_copies
-from lectern.llm.mix import mix_sources, mixed_rows, op3_mix_sources, split_blocks
+from lectern.llm.mix import _drawn, _numbered, _taken, mix_sources, mixed_rows, op3_mix_sources, split_blocks
 from lectern.llm.shard import op2_rendezvous_shards, shard_documents
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -108,7 +108,10 @@ def test_mix_takes_odd_rows(odd):
     check_mix(mix_sources(odd).collect(), odd.collect())
     assert mix_sources(odd.limit(0)).count() == 0
     out = mixed_rows(odd).collect()
-    assert {r.text for r in out} <= {r[1] for r in ODD}
+    assert {r.row.text for r in out} <= {r[1] for r in ODD}
+    counts = sorted((str(r.doc_id), r.size, r.copies) for r in mix_sources(odd).collect() for _ in range(r.copies))
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sorted((str(r.row.doc_id), size(r.row.text)) for r in out) == [c[:2] for c in counts]
 
 
 def test_mix_tells_rows_of_one_key_apart(spark):
@@ -121,11 +124,41 @@ def test_mix_tells_rows_of_one_key_apart(spark):
     assert all(abs(taken[s] - t) < largest[s] for s, t in target.items())
     out = [mixed_rows(d).collect() for d in (df, df.repartition(7))]
     assert sorted(map(str, out[0])) == sorted(map(str, out[1]))
-    assert len(out[0]) == sum(r.copies for r in mix) and {s: sum(len(r.text.split()) for r in out[0] if r.source == s) for s in taken} == taken
-    times = Counter((r.doc_id, r.text, r.source, r.n_chars) for r in out[0])
+    rows = [r.row for r in out[0]]
+    assert len(rows) == sum(r.copies for r in mix) and {s: sum(len(r.text.split()) for r in rows if r.source == s) for s in taken} == taken
+    times = Counter((r.doc_id, r.text, r.source, r.n_chars) for r in rows)
     assert all(times[d.doc_id, d.text, d.source, d.n_chars] <= 3 * (40 if d.source == "c" else 1) for d in rows_of)
 
 
+def test_mix_reruns_agree_where_ids_repeat(spark):
+    rows = [(i // 4, " ".join(f"t{i}_{j}" for j in range(1 + i * 7 % 25)), "en", "xyz"[i % 3], i) for i in range(400)]
+    df = spark.createDataFrame(rows, DOCS)
+    outs = [mix_sources(d).collect() for d in (df, df.repartition(5), df.repartition(3, "text"), df.orderBy("n_chars", ascending=False).coalesce(1))]
+    target, taken = check_mix(outs[0], df.collect())
+    assert all(sorted(map(str, o)) == sorted(map(str, outs[0])) for o in outs)
+    assert all(abs(taken[s] - t) < 25 for s, t in target.items())
+
+
+def test_mix_draws_whole_blocks_by_quota(spark):
+    """Rows of one block go to the same shards, but for the part of a block that ends a source; each shard's draws are a run of the quota."""
+    rows = [(i, "w " * (1 + i % 9), "en", "ab"[i % 5 > 0], i) for i in range(6000)]
+    numbered = _numbered(spark.createDataFrame(rows, DOCS), "doc_id", "text", "source", 20)
+    sources, blocks = _drawn(numbered, (1, 2, 3), 3, 8, 20)
+    of = {r.source_key: r for r in sources.collect()}
+    drawn = {(r.source_key, r._block): r._shards or [] for r in blocks.collect()}
+    assert len(drawn) > 490 and {s for s, _ in drawn} == set(of)  # a block without rows is none
+    for r in _taken(numbered, sources, blocks).collect():
+        src, whole = of[r.source_key], drawn[r.source_key, r._block]
+        partly = (r._block == src._part and r._place <= src._until) or r._place == src._fill
+        assert r.shards == whole + [src._part_shard] * partly
+    for s in of:
+        dealt = Counter(x for (k, _), shards in drawn.items() if k == s for x in shards)
+        assert max(dealt.values()) - min(dealt[i] for i in range(8)) < 40
+    mean = sum(len(x) for x in drawn.values()) / 8
+    totals = Counter(x for shards in drawn.values() for x in shards)
+    assert all(abs(totals[i] - mean) <= 3 for i in range(8))
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = {"sa": 256 * 3, "sb": 17, "sc": 0, "sd": 1000}
     ends = {r.source_key: r.ends for r in split_blocks(spark.createDataFrame(list(quotas.items()), "source_key string, quota bigint"), 8, 1).collect()}
@@ -150,7 +183,7 @@ def test_exact_dedup_of_odd_rows(odd):
     for r in ODD:
         groups.setdefault(r[1] or "", []).append(r[0])
     for r in rows:
-        text = next(t for t in groups if hashlib.sha256(t.encode()).hexdigest() == r.text_sha256)
+        text = next(t for t in groups if hashlib.sha256(t.encode()).hexdigest() == r.digest)
         assert r.group_size == len(groups[text]) and r.keep_id == max((x for x in groups[text] if x is not None), default=None)
     assert sum(r.kept for r in rows) == len(groups)
     kept = without_copies(odd).collect()
@@ -158,6 +191,28 @@ def test_exact_dedup_of_odd_rows(odd):
     assert without_copies(odd.limit(0)).count() == 0
 
 
+def test_exact_dedup_of_one_key_with_many_texts(spark):
+    rows = [(None if i % 2 else 1, f"text {i // 4}", "en", "s", i) for i in range(400)]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    kept = without_copies(df).collect()
+    assert sorted(r.text for r in kept) == sorted({r[1] for r in rows}) and {r.doc_id for r in kept} == {1}
+    again = without_copies(df.repartition(3)).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, again))
+
+
+@pytest.mark.parametrize("most_bits", [1 << 28, 1 << 15, 8])
+def test_filter_has_no_false_negatives(spark, most_bits):
+    numbers = saved(spark.range(900).selectExpr("xxhash64(id) as h"))
+    rows = maybe_among(spark.range(5000).selectExpr("id", "xxhash64(id) as n"), "n", numbers, most_bits).collect()
+    assert len(rows) == 5000 and all(r._maybe for r in rows if r.id < 900)
+    assert sum(r._maybe for r in rows) < (1200 if most_bits > 1 << 20 else 5001)
+    assert not any(r._maybe for r in maybe_among(spark.range(9).selectExpr("id as n"), "n", numbers.limit(0)).collect())
+
+
 def test_bands_reach_the_recall():
-    bands, rows = bands_for(0.8, 0.999)
-    assert 1 - (1 - 0.8**rows) ** bands >= 0.999
+    for threshold, recall, most in ((0.8, 0.999, 128), (0.3, 0.9, 128), (0.05, 0.9, 128), (0.5, 0.99, 128), (1.0, 0.999, 8), (0.99, 0.999, 128)):
+        bands, rows = bands_for(threshold, recall, most)
+        assert 1 - (1 - threshold**rows) ** bands >= recall and bands * rows <= most
+    for wrong in ((0.01, 0.999), (0.0, 0.9), (0.8, 1.0)):
+        with pytest.raises(ValueError):
+            bands_for(*wrong)

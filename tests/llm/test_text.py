@@ -17,9 +17,9 @@ from lectern.llm import toxicity, urls
 from lectern.llm.chat import CONTROL, escape, format_chats, op1_chat_format, read_back, unescape
 from lectern.llm.common import shared_table
 from lectern.llm.neardup import near_duplicates, one_of_each, op6_ngram_jaccard
-from lectern.llm.pack import Layout, op7_tiered_packing, pack
+from lectern.llm.pack import TIERS, Layout, op7_tiered_packing, pack
 from lectern.llm.repetition import longest_repeats, op8_repetition_rules, repetition_rules, without_repetition
-from lectern.llm.tokens import WordCounts, byte_bpe_50k, count_tokens, op10_token_counts
+from lectern.llm.tokens import WordCounts, byte_ids, count_tokens, library_tokenizer, op10_token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(1, "a b c"), (2, ""), (3, None), (3, None), (None, "a b c"), (4, "x" * 70_000), (5, "w1 w2 " * 12_000), (6, "中文 é\x85\u2028\x00 <|endoftext|> </s>"), (1, "a b c")]
@@ -156,6 +156,20 @@ def test_near_duplicates_in_large_groups(spark):
     assert one_of_each(df).count() == 1 + 50 + 1 + 2
 
 
+def test_near_duplicates_in_a_long_chain(spark):
+    """A component far larger than a block, in which only neighbours link: blocks that no band connects never meet."""
+    words = [f"c{i}" for i in range(1500 * 3 + 60)]
+    made = {i: " ".join(words[3 * i : 3 * i + 60]) for i in range(1500)}
+    df = spark.createDataFrame(list(made.items()), "doc_id bigint, text string")
+    check_links(near_duplicates(df).collect(), made)
+
+
+def test_near_duplicates_at_a_low_threshold(spark):
+    made = {i: " ".join(f"g{i // 3}_{j}" for j in range(i % 3 * 4, 40)) for i in range(30)}
+    rows = near_duplicates(spark.createDataFrame(list(made.items()), "doc_id bigint, text string"), threshold=0.3).collect()
+    assert {r.doc_id: r.n_links for r in rows} == dict.fromkeys(made, 2)
+
+
 def test_near_duplicates_of_odd_rows(odd):
     rows = near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and {r.n_links for r in rows if r.doc_id in (2, 3, 4)} == {0}
@@ -170,7 +184,7 @@ def test_near_duplicates_that_share_a_key(spark):
     links = Counter(x for pair in brute_links(made) for x in pair)
     digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
     got = near_duplicates(df).collect()
-    assert {(r.doc_id, r.text_sha256): (r.n_links, r.n_texts) for r in got} == {(k, digest(t)): (links[i], links[i]) for i, (k, t) in enumerate(rows)}
+    assert {(r.doc_id, r.digest): (r.n_links, r.n_texts) for r in got} == {(k, digest(t)): (links[i], links[i]) for i, (k, t) in enumerate(rows)}
     assert {links[i] for i in range(75)} == {2} and len(got) == len(rows)
     assert {(r.doc_id, r.text) for r in one_of_each(df).collect()} == {(k, t) for k, t in rows if k is None or t.startswith("alone")}
 
@@ -201,7 +215,32 @@ def test_packing(spark, sf_dir, texts):
     cost = Counter()
     for r in rows:
         cost[r.step] += r.length
+        assert r.length <= r.tier <= r.sequence_size and r.tier == min(t for t in TIERS if t >= r.length)
     assert max(cost.values()) < 1.5 * min(cost.values()) + 2048 * 8
+    check_tiers(rows)
+
+
+def check_tiers(rows):
+    """Shorter sequences are full, hold their own tier or shorter, and a long window that isn't full has nothing left that would fit."""
+    of = defaultdict(list)
+    for r in rows:
+        of[r.sequence_id].append(r)
+    for parts in of.values():
+        size, used = parts[0].sequence_size, sum(r.length for r in parts)
+        assert {r.sequence_size for r in parts} == {size} and used <= size and (used == size or size == max(TIERS))
+        assert size == max(TIERS) or max(r.tier for r in parts) == size
+    return {size: sum(p[0].sequence_size == size for p in of.values()) for size in TIERS}, of
+
+
+def test_packing_has_tiers(spark):
+    """Long documents get the longest windows, whose gaps short ones fill; the short ones that are left get windows of their own."""
+    rows = [(i, " the" * 1500) for i in range(30)] + [(100 + i, " the" * (200 + i % 60)) for i in range(300)] + [(1000 + i, " the" * (20 + i % 40)) for i in range(2000)]
+    made = pack(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    n, of = check_tiers(made)
+    assert all(n[t] for t in TIERS)
+    long = [p for p in of.values() if any(r.doc_id < 100 for r in p)]
+    assert len(long) == 30 and all(sum(r.length for r in p) == 2048 and min(r.tier for r in p) < 2048 for p in long)
+    assert check_packing(made, dict(rows)) < 0.01
 
 
 def test_packing_of_odd_rows(odd):
@@ -212,10 +251,10 @@ def test_packing_of_odd_rows(odd):
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), min_size=1, max_size=30))
 @settings(max_examples=100, deadline=None)
 def test_layout_places_every_piece_once(counts):
-    layout = Layout(counts, 64)
+    layout = Layout(counts, (8, 16, 64), 5)
     seen = defaultdict(list)
     for n, c in counts.items():
-        s, o, _ = layout.place(np.full(c, n), np.arange(c))
+        s, o, _, _ = layout.place(np.full(c, n), np.arange(c))
         for a, b in zip(s.tolist(), o.tolist(), strict=True):
             seen[a].append((b, n))
     assert sorted(seen) == list(range(layout.sequences))
@@ -224,6 +263,12 @@ def test_layout_places_every_piece_once(counts):
         assert [a for a, _ in parts] == np.cumsum([0, *[n for _, n in parts]])[:-1].tolist() and sum(n for _, n in parts) <= 64
 
 
+def test_packing_refuses_tiers_that_it_cannot_plan(odd):
+    for tiers in ((), (100,), (512, 128), (128, 1 << 20)):
+        with pytest.raises(ValueError):
+            pack(odd, tiers)
+
+
 SPECIAL = st.text(alphabet=st.sampled_from("aAéÉß 'sdS19.,<|>\n\t\x0b\x85\xa0\u3000中İΣσςÖжЙ²½ſK\u0301") | st.characters(exclude_categories=["Cs"]), max_size=40)
 
 
@@ -233,10 +278,23 @@ def test_fast_tokenizers_are_the_library(text):
     words = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")) if not hasattr(test_fast_tokenizers_are_the_library, "w") else test_fast_tokenizers_are_the_library.w
     test_fast_tokenizers_are_the_library.w = words
     assert WordCounts(public_tokenizers.path("word_bpe_49k.json"))([text]) == [len(words.encode(text, add_special_tokens=False).ids)]
-    from lectern.llm.tokens import library_tokenizer
-
-    own = byte_bpe_50k()
-    assert own.encode(text, allowed_special=own.special_tokens_set) == library_tokenizer(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    for ordinary in (False, True):
+        assert byte_ids(text, specials=not ordinary).tolist() == library_tokenizer(public_tokenizers.path("byte_bpe_50k.json"), ordinary).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "x", "\u3000", "!"])
+def test_very_long_runs(spark, run):
+    text = f"begin <|endoftext|>{run * 1_200_000} end"
+    library = library_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    assert byte_ids(text, specials=True).tolist() == library.encode(text, add_special_tokens=False).ids
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id bigint, text string")
+    rows = pack(df).collect()
+    assert sum(r.length for r in rows if r.doc_id == 1) == len(byte_ids(text, specials=True)) + 1
+    turns = df.selectExpr("doc_id as conv_id", "1 as turn", "'assistant' as role", "text")
+    back = {r.conv_id: r for r in read_back(format_chats(turns)).collect()}
+    assert back[1].loss_chars == len(text) and back[1].loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    n = len(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids)
+    assert {r.doc_id: r.n_tokens for r in count_tokens(df, shared_table(spark, "cache")).collect()}[1] == n
 
 
 def test_token_counts_and_cache(spark, sf_dir, texts, odd):
