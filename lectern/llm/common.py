@@ -57,20 +57,22 @@ def unit_hash(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11) + F.lit(0.5)) / F.lit(float(2**53))
 
 
-def gapless(df: DataFrame, group: str, order: list[str], name: str, buckets: int = 256) -> DataFrame:
-    """Add ``name``: each row's position from 0 within its group, without gaps.
+def gapless(df: DataFrame, group: str, order: list[str], name: str, buckets: int = 256, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Add ``name``: each row's position from 0 within its group, without gaps; with ``weight``, the sum of it over the rows before.
 
     A group may hold any share of the rows: it is sorted in ``buckets`` parts, dealt by a hash of the
-    order columns, and a running sum over the parts' counts says where each part begins.
+    order columns, or of ``by``, the first of them, whose equal rows so stay together; a running sum
+    over the parts says where each begins.
     ``group`` must not be null.  ``df`` is read twice, so it should be cheap or saved.
     """
-    bucket = F.pmod(F.xxhash64(*order), F.lit(buckets)).alias("_bucket")
+    bucket = F.pmod(F.xxhash64(*(by or order)), F.lit(buckets)).alias("_bucket")
+    each = F.col(weight) if weight else F.lit(1)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begins = (
-        df.select(group, bucket).groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_begin", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("_n")
+        df.select(group, bucket, each.alias("_n")).groupBy(group, "_bucket").agg(F.sum("_n").alias("_n"))
+        .withColumn("_begin", before(F.col("_n"), Window.partitionBy(group).orderBy("_bucket"))).drop("_n")
     )
-    within = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)) - 1
+    within = before(each, Window.partitionBy(group, "_bucket").orderBy(*order))
     return df.withColumn("_bucket", bucket).withColumn("_within", within).join(begins, [group, "_bucket"]).withColumn(name, (F.col("_begin") + F.col("_within")).cast("long")).drop("_bucket", "_within", "_begin")
 
 
@@ -135,14 +137,14 @@ def carried(df: DataFrame, key: str, **others: Column) -> DataFrame:
 def without_dropped(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns.
 
-    ``found`` has (doc_id, digest, kept) of at least the rows that have a fellow; what it lacks
+    ``found`` has (doc_id, digest, kept) of at least all rows that have a fellow; what it lacks
     stays.  A row is known by its key, null being one like any other, and its text's digest; of
     rows that share both one stays, if any does (that whose other columns hash lowest).  A text is
     shuffled only if its key may be that of a dropped row.
     """
     dropped = saved(
-        found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.bool_or("kept").alias("_one"), F.bool_and("kept").alias("_all"))
-        .where("not _all").select("_id", "_digest", "_one")
+        found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.bool_or("kept").alias("_one"), F.count(F.lit(1)).alias("_n"))
+        .where("not _one or _n > 1").select("_id", "_digest", "_one")
     )
     rows = maybe_among(carried(df, key), "_hash", dropped.select(hash_of(F.col("_id"))))
     doubt = rows.where("_maybe").withColumn("_own", text_digest(F.col(f"_row.`{text}`")))

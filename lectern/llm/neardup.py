@@ -11,13 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, bands_for, hash_of, maybe_among, saved, text_digest, without_dropped
+from lectern.llm.common import WORD, bands_for, gapless, hash_of, maybe_among, saved, text_digest, without_dropped
 
 FIND = re.compile(WORD).findall
 #: Texts that are hashed together, by characters.
 CHARS_AT_ONCE = 3_000_000
-#: Texts of a block; pairs are verified block by block.
-BLOCK = 256
+#: Texts and n-grams of a block at most (a longer text is one by itself); pairs are verified block by block.
+BLOCK, BLOCK_GRAMS = 1024, 1 << 20
 COLUMNS_AT_ONCE = 8192
 
 
@@ -152,21 +152,23 @@ def _verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"v": v[has], "texts": texts[has], "near": near[has], "root": v[root[has]]})
 
 
-def _in_blocks(edges: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs) of candidates (v, label) and their buckets, edges (a: member, b: the bucket's least text, hash).
+def _in_blocks(edges: DataFrame, candidates: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs) of candidates (v, label), their numbers of grams (v, grams) and buckets, edges (a: member, b: the bucket's least text, hash).
 
-    members: v, block.  A component of up to BLOCK texts is a block.  In a larger one the texts of the
-    same least bucket are dealt by hash into blocks of about BLOCK, so that alike texts lie together.
+    members: v, block.  A component that fits is a block.  The texts of a larger one are laid out
+    by their least bucket, so that alike texts lie together, and cut into blocks.
     pairs: low, high of blocks, each with itself, and any two with texts in the same bucket.
     """
-    sizes = saved(candidates.groupBy("label").agg(F.count(F.lit(1)).alias("_size")))
+    weighed = saved(candidates.join(sizes, "v").withColumn("weight", F.greatest("grams", F.lit(BLOCK_GRAMS // BLOCK))).select("v", "label", "weight"))
+    whole = saved(weighed.groupBy("label").agg(F.sum("weight").alias("_all")))
     # Saved where a key that many rows share is joined, so that the join deals both sides out itself and can split it.
-    least = saved(edges.groupBy(F.col("a").alias("v")).agg(F.min("hash").alias("home")))
-    large = saved(candidates.join(sizes.where(F.col("_size") > BLOCK), "label").join(least, "v").select("v", "home"))
+    least = edges.groupBy(F.col("a").alias("v")).agg(F.min("hash").alias("home"))
+    large = saved(weighed.join(whole.where(F.col("_all") > BLOCK_GRAMS), "label").join(least, "v").select("v", "label", "weight", "home"))
     homes = saved(large.groupBy("home").agg(F.count(F.lit(1)).alias("_n")))
-    part = F.pmod(F.xxhash64("v"), F.ceil(F.col("_n") / BLOCK))
-    dealt = saved(large.join(homes, "home").select("v", F.unhex(F.md5(F.concat_ws(":", F.col("home").cast("string"), part.cast("string")))).alias("block")))
-    members = saved(candidates.join(sizes.where(F.col("_size") <= BLOCK), "label").select("v", F.col("label").alias("block")).unionByName(dealt))
+    large = saved(large.join(homes, "home").withColumn("_part", F.pmod(F.xxhash64("v"), F.ceil(F.col("_n") / 65_536))))  # so many of a bucket are sorted in one task
+    placed = gapless(large, "label", ["home", "_part", "v"], "_at", by=["home", "_part"], weight="weight")
+    dealt = saved(placed.select("v", F.unhex(F.md5(F.concat_ws(":", F.hex("label"), F.floor(F.col("_at") / BLOCK_GRAMS).cast("string")))).alias("block")))
+    members = saved(weighed.join(whole.where(F.col("_all") <= BLOCK_GRAMS), "label").select("v", F.col("label").alias("block")).unionByName(dealt))
     met = saved(edges.join(dealt, F.col("a") == F.col("v")).select("hash", "block").distinct())
     other = met.select(F.col("hash").alias("_hash"), F.col("block").alias("high"))
     crossed = met.join(other, (F.col("hash") == F.col("_hash")) & (F.col("block") < F.col("high"))).select(F.col("block").alias("low"), "high").distinct()
@@ -207,15 +209,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
                     for i, h in zip(full, band_hashes([sets[i] for i in full], bands, rows), strict=True):
                         v[i], found[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), h
                 part = batch.iloc[lo:hi].reset_index(drop=True)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "digest": part["digest"], "v": pd.Series(v, dtype=object), "bands": pd.Series(found, dtype=object)})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "digest": part["digest"], "v": pd.Series(v, dtype=object), "grams": [len(s) for s in sets], "bands": pd.Series(found, dtype=object)})
 
-    signed = saved(docs.withColumn("digest", text_digest(F.col("_text"))).mapInPandas(sign, f"doc_id {kind}, digest string, v binary, bands array<bigint>"))
-    texts = saved(signed.where("v is not null").groupBy("v").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands")))
+    signed = saved(docs.withColumn("digest", text_digest(F.col("_text"))).mapInPandas(sign, f"doc_id {kind}, digest string, v binary, grams bigint, bands array<bigint>"))
+    texts = saved(signed.where("v is not null").groupBy("v").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("grams").alias("grams"), F.first("bands").alias("bands")))
     met = texts.select(F.col("v").alias("a"), F.explode("bands").alias("hash"))  # each band hashes with keys of its own
     # What is grouped by a key and then joined by it is saved between, so that the join can split a key that many rows share.
     buckets = saved(met.groupBy("hash").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
     edges = saved(maybe_among(met, "hash", buckets.select("hash")).where("_maybe").join(buckets, "hash").select("a", "b", "hash"))
-    members, pairs = _in_blocks(edges, components(edges.select("a", "b")))
+    members, pairs = _in_blocks(edges, components(edges.select("a", "b")), texts.select("v", "grams"))
     # Each end of a pair of blocks, and what is sent there.
     ends = saved(pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high")))))
     firsts = saved(members.join(texts.select("v", "first", "rows"), "v").select("v", "block", "rows", F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest")))
@@ -255,11 +257,7 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **option
     Texts without words link to nothing and stay.  Of rows that share key and text one stays, that
     whose other columns hash lowest.  Only texts whose key may be that of a dropped row are shuffled.
     """
-    found = saved(near_duplicates(df, key, text, **options))
-    copies = found.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_n"), F.bool_or("kept").alias("kept"))
-    # Of a kept pair of key and text that several rows have, the others are dropped.
-    more = copies.where("kept and _n > 1").select("doc_id", "digest", F.lit(False).alias("kept"))
-    return without_dropped(df, found.where("n_links > 0").select("doc_id", "digest", "kept").unionByName(more), key, text)
+    return without_dropped(df, near_duplicates(df, key, text, **options).select("doc_id", "digest", "kept"), key, text)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm import toxicity, urls
+from lectern.llm import neardup, toxicity, urls
 from lectern.llm.chat import CONTROL, escape, format_chats, op1_chat_format, read_back, unescape
 from lectern.llm.common import shared_table
 from lectern.llm.neardup import near_duplicates, one_of_each, op6_ngram_jaccard
@@ -147,7 +147,9 @@ def test_near_duplicates(spark, sf_dir, texts):
     check_links(op6_ngram_jaccard(spark, sf_dir).collect(), texts)
 
 
-def test_near_duplicates_in_large_groups(spark):
+def test_near_duplicates_in_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 128)
+    monkeypatch.setattr(neardup, "BLOCK_GRAMS", 1 << 15)
     base = [f"w{i}" for i in range(120)]
     made = {i: " ".join(base[:k] + [f"x{i}"] + base[k + 1 :]) for i in range(600) for k in [i % 120]}
     made |= {1000 + i: " ".join(f"q{i}_{j}" for j in range(30)) for i in range(50)} | {2000: made[5], 2001: "a b", 2002: "a b", 2003: "", 2004: None}
@@ -156,8 +158,9 @@ def test_near_duplicates_in_large_groups(spark):
     assert one_of_each(df).count() == 1 + 50 + 1 + 2
 
 
-def test_near_duplicates_in_a_long_chain(spark):
+def test_near_duplicates_in_a_long_chain(spark, monkeypatch):
     """A component far larger than a block, in which only neighbours link: blocks that no band connects never meet."""
+    monkeypatch.setattr(neardup, "BLOCK_GRAMS", 1 << 13)
     words = [f"c{i}" for i in range(1500 * 3 + 60)]
     made = {i: " ".join(words[3 * i : 3 * i + 60]) for i in range(1500)}
     df = spark.createDataFrame(list(made.items()), "doc_id bigint, text string")
