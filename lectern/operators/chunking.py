@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +21,12 @@ def chunk_array(content: Column, title: Column, size: int = 1000, overlap: int =
     """
     none = F.lit(None).cast("string")
     state = lambda b, t, c, s, o: F.struct(b.alias("b"), t.alias("t"), c.alias("c"), s.alias("s"), o.alias("o"))
-    chunk = lambda a: F.array(F.struct(strip(a["b"]).alias("content"), a["c"].alias("chapter"), a["s"].alias("section"), a["t"].alias("title")))
+    chunk = lambda a: F.array(F.struct(a["b"].alias("content"), a["c"].alias("chapter"), a["s"].alias("section"), a["t"].alias("title")))
 
-    def step(a: Column, p: Column) -> Column:
+    def step(a: Column, x: Column) -> Column:
+        p, token = x["p"], x["token"]
         full = (F.length(a["b"]) + F.length(p) + 2 > size) & (a["b"] != "")
         left = F.when(full, F.right(a["b"], F.lit(overlap)) if overlap else F.lit("")).otherwise(a["b"])
-        token = heading(p)
         is_chapter = token.startswith("第") & (F.contains(token, F.lit("章")) | F.contains(token, F.lit("篇")))
         return state(
             strip(F.concat(left, F.lit("\n\n"), p)),
@@ -36,23 +38,24 @@ def chunk_array(content: Column, title: Column, size: int = 1000, overlap: int =
 
     empty = F.array().cast(f"array<{_CHUNK}>")
     return F.aggregate(
-        F.coalesce(paragraphs(content, size, overlap), F.array().cast("array<string>")), state(F.lit(""), title.cast("string"), none, none, empty), step,
+        F.transform(F.coalesce(paragraphs(content, size, overlap), F.array().cast("array<string>")), lambda p: F.struct(p.alias("p"), heading(p).alias("token"))), state(F.lit(""), title.cast("string"), none, none, empty), step,
         lambda a: F.when(a["b"] != "", F.concat(a["o"], chunk(a))).otherwise(a["o"]),
     )
 
 
-def chunk_sections(df: DataFrame, size: int = 1000, overlap: int = 150, points: int = 10) -> DataFrame:
+def chunk_sections(df: DataFrame, size: int = 1000, overlap: int = 150, points: int = 10, extractor: Callable[[Column, int], Column] = keywords) -> DataFrame:
     """Chunks of sections (course_id, document_id, source_type, section_pos, content, page, title, ...).
 
     Adds chunk_pos, chapter, section, title, content, knowledge_points and chunk_id, a digest of
-    the chunk's place, so that a task that runs again gives the same ids.  Other columns pass through.
+    the chunk's place, so that a task that runs again gives the same ids.  ``extractor`` makes at most
+    ``points`` knowledge points of a chunk's content.  Other columns pass through.
     """
     others = [c for c in df.columns if c not in ("content", "title")]
     chunks = df.select(*others, F.posexplode(chunk_array(F.col("content"), F.col("title"), size, overlap)).alias("chunk_pos", "_c"))
     return chunks.select(
         *others, "chunk_pos",
         F.sha2(F.concat_ws(":", F.col("document_id").cast("string"), F.col("section_pos").cast("string"), F.col("chunk_pos").cast("string")), 256).alias("chunk_id"),
-        "_c.chapter", "_c.section", "_c.title", "_c.content", keywords(F.col("_c.content"), points).alias("knowledge_points"),
+        "_c.chapter", "_c.section", "_c.title", "_c.content", extractor(F.col("_c.content"), points).alias("knowledge_points"),
     )
 
 

@@ -111,15 +111,44 @@ def repair_questions(blueprints: DataFrame, questions: DataFrame) -> DataFrame:
     return questions.unionByName(_fill(rows.withColumn("index", F.col("actual") + F.col("offset") + 1).withColumn("at", at).withColumn("pos", at + 1)))
 
 
-def duplicate_pairs(items: DataFrame, group: str = "exam_id", pos: str = "pos", text: str = "question_text", threshold: float = 0.85, dim: int = 256) -> DataFrame:
+def duplicate_pairs(items: DataFrame, group: str = "exam_id", pos: str = "pos", text: str = "question_text", threshold: float = 0.85, dim: int = 256, embeddings: str | None = None) -> DataFrame:
     """(group, i, j) of the items of a group, numbered from 1, whose embeddings' dot product reaches the threshold.
 
-    A join on (group, slot) of the sparse vectors: pairs that share no slot never meet.
+    ``embeddings`` names a column of vectors to take in place of the hashing embedding of the text.
+    An item's slots are ordered from rare to common.  Those behind which less than the threshold of
+    its length is left can't reach it alone, so two items meet only in the slots before, and only in
+    the first that they share.
     """
+    vectors = _slots(items, group, pos, text, dim, embeddings)
+    common = vectors.groupBy("slot").agg(F.count(F.lit(1)).alias("_n"))  # a row for each dimension
+    # Every item's vector as arrays in the order of its slots, which is the same for all.
+    listed = settled(
+        vectors.join(F.broadcast(common), "slot").groupBy(group, "_p")
+        .agg(F.array_sort(F.collect_list(F.struct("_n", "slot", "weight"))).alias("_v"))
+        .select(group, "_p", F.transform("_v", lambda x: x["slot"]).alias("_slots"), F.transform("_v", lambda x: x["weight"]).alias("_weights"), F.map_from_arrays(F.transform("_v", lambda x: x["slot"]), F.transform("_v", lambda x: x["weight"])).alias("_map"))
+    )
+    squares = F.transform("_weights", lambda w: w * w)
+    whole = F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)
+    # How much of the squared length lies behind each slot decides how many come before; vectors need not have length 1.
+    listed = listed.withColumn("_whole", whole)
+    longest = listed.groupBy(group).agg(F.max("_whole").alias("_longest"))
+    listed = listed.join(longest, group).withColumn("_least", F.lit(float(threshold) ** 2 * (1 - 1e-8)) / F.col("_longest"))
+    behind = F.aggregate(squares, F.struct(F.col("_whole").alias("left"), F.lit(0).alias("n")), lambda a, x: F.struct((a["left"] - x).alias("left"), F.when(a["left"] >= F.col("_least"), a["n"] + 1).otherwise(a["n"]).alias("n")))["n"]
+    rows = listed.select(group, "_p", "_map", F.slice("_slots", F.lit(1), behind).alias("_first"))
+    rows = rows.select("*", F.explode("_first").alias("slot"))
+    a = rows.select(group, "slot", F.col("_p").alias("i"), F.col("_map").alias("_a"), F.col("_first").alias("_x"))
+    b = rows.select(group, "slot", F.col("_p").alias("j"), F.col("_map").alias("_b"), F.col("_first").alias("_y"))
+    met = a.join(b, [group, "slot"]).where("i < j").where(F.element_at(F.array_intersect("_x", "_y"), 1) == F.col("slot"))
+    product = F.aggregate(F.map_keys("_a"), F.lit(0.0), lambda s, k: s + F.coalesce(F.element_at("_a", k) * F.element_at("_b", k), F.lit(0.0)))
+    return met.withColumn("similarity", product).where(F.round("similarity", 9) >= threshold).select(group, "i", "j", "similarity")
+
+
+def _slots(items: DataFrame, group: str, pos: str, text: str, dim: int, embeddings: str | None) -> DataFrame:
+    """(group, _p, slot, weight) rows of the items' vectors, without zeros."""
+    if embeddings:
+        return items.select(group, F.col(pos).alias("_p"), F.posexplode(F.col(embeddings)).alias("slot", "_w")).where("_w <> 0").select(group, "_p", "slot", F.col("_w").cast("double").alias("weight"))
     keyed = items.select(F.struct(group, pos).alias("_k"), F.col(text).alias("_t"))
-    s = sparse_embeddings(keyed, "_k", "_t", dim).select(F.col(f"_k.{group}").alias(group), F.col(f"_k.{pos}").alias("_p"), "slot", "weight")
-    pairs = s.select(group, "slot", F.col("_p").alias("i"), F.col("weight").alias("_a")).join(s.select(group, "slot", F.col("_p").alias("j"), F.col("weight").alias("_b")), [group, "slot"]).where("i < j")
-    return pairs.groupBy(group, "i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("similarity")).where(F.round("similarity", 9) >= threshold)
+    return sparse_embeddings(keyed, "_k", "_t", dim).select(F.col(f"_k.{group}").alias(group), F.col(f"_k.{pos}").alias("_p"), "slot", "weight")
 
 
 def duplicate_rate(items: DataFrame, pairs: DataFrame, group: str = "exam_id") -> DataFrame:
@@ -136,6 +165,7 @@ def validate_exams(blueprints: DataFrame, questions: DataFrame, threshold: float
     The rate of duplicates is compared with the similarity threshold unless another bound is given.
     """
     bound = threshold if max_duplicate_rate is None else max_duplicate_rate
+    blueprints, questions = settled(blueprints), settled(questions)  # several checks read them
     groups = _groups(blueprints)
     counts = count_mismatch(groups.select("exam_id", F.col("g.question_type").alias("question_type"), F.col("g.count").alias("count"), F.col("_g").alias("pos")), questions).groupBy("exam_id").agg(F.bool_and("valid").alias("question_count_valid"))
     q = questions.join(blueprints.select("exam_id", F.col("knowledge_points").alias("_points")), "exam_id")

@@ -9,13 +9,22 @@ from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that spark.checkpoint.dir names, or a temporary one where it is unset (tests)."""
+    """``df`` checkpointed in the folder that spark.checkpoint.dir names; where it is unset in a temporary one, but only if all runs in one process (tests)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan, dealt out to all cores if its files give fewer tasks than there are; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add or replace columns that are computed once per row.
 

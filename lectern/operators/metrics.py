@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import contains_all_terms
 from lectern.functions.vectors import let
+from lectern.operators.search import embed, search
 
 
 def mean(value: Column) -> Column:
@@ -95,10 +96,17 @@ def relevance_labels(results: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
-def evaluate_retrieval(results: DataFrame, cases: DataFrame) -> DataFrame:
+def evaluate_results(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """Labels and metrics of what was retrieved before: one row."""
     return retrieval_metrics(relevance_labels(results, cases))
 
 
+def evaluate_retrieval(chunks: DataFrame, cases: DataFrame, k: int = 8, digits: int | None = None) -> DataFrame:
+    """One row of metrics: each case (query_id, course_id, query, terms) is embedded and searched among the chunks of its course, what it finds is labelled, and the labels are measured."""
+    asked = embed(cases, "query").withColumns({"chapter": F.lit(""), "source_type": F.lit(""), "verified_only": F.lit(None).cast("boolean")})
+    return evaluate_results(search(chunks, asked, k, digits=digits), cases)
+
+
 def eval_cases(lessons: DataFrame, questions: DataFrame, slides: DataFrame, exports: DataFrame) -> DataFrame:
     """Artifacts as (case_kind, item_id, citation_chunk_ids, ok, file_path) rows; title slides don't count, references without a chunk are dropped."""
     ids = lambda refs: F.filter(F.coalesce(F.transform(refs, lambda r: r["chunk_id"]), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))

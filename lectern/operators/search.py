@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+import hashlib
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lectern.functions.text import hash_tokens, strip
-from lectern.functions.vectors import dense, distance_to_score, l2_squared, token_slot
+from lectern.functions.text import TOKEN, hash_tokens, strip
+from lectern.functions.vectors import distance_to_score, l2_squared, token_slot
 
 MOST = 20
-#: A queries table of at most so many rows is sent to every executor.
-QUERIES_SENT = 10_000
+#: A queries table of at most so many rows, and bytes of vectors, is sent to every task.
+QUERIES_SENT, BYTES_SENT = 4_000, 32 << 20
+_ASKED = ("query_id", "course_id", "chapter", "source_type", "verified_only", "embedding")
 
 
 def kb_filter(c: str = "c", q: str = "q") -> Column:
@@ -30,41 +37,126 @@ def sparse_embeddings(df: DataFrame, key: str, text: str, dim: int = 256) -> Dat
     return sums.select(key, "slot", (F.col("_w") / norm).alias("weight"))
 
 
-def embed(df: DataFrame, key: str = "chunk_id", text: str = "content", output: str = "embedding", dim: int = 256, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
+_TOKEN = re.compile(TOKEN)
+
+
+@functools.lru_cache(maxsize=1 << 18)
+def _slot(token: str) -> int:
+    """A token's slot from 1, negative for the negative sign."""
+    digest = hashlib.sha256(token.encode("utf-8", "surrogatepass")).digest()
+    return (1 + int.from_bytes(digest[:4], "big")) * (1 if digest[4] % 2 == 0 else -1)
+
+
+def hashing_vectors(texts: list[str], dim: int) -> np.ndarray:
+    """The hashing embeddings of a batch of texts, one row each."""
+    out = np.zeros((len(texts), dim))
+    for i, text in enumerate(texts):
+        codes = np.array([_slot(t) for t in _TOKEN.findall((text or "").lower())], dtype=np.int64)
+        out[i] = np.bincount((np.abs(codes) - 1) % dim, weights=np.sign(codes), minlength=dim)[:dim] if len(codes) else 0.0
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, norm, out=out, where=norm > 0)
+
+
+def embed(df: DataFrame, text: str = "content", output: str = "embedding", dim: int = 256, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
     """Add a vector: the hashing embedding, or what ``embedder`` makes of the text column (for example a pandas UDF).
 
-    The hashing embedding sums tokens by (key, slot) with map-side aggregation and joins the vectors back by key.
+    Either works within the rows, so nothing is shuffled; the hashing embedding takes Arrow batches.
     """
     if embedder:
         return df.withColumn(output, embedder(F.col(text)))
-    vectors = sparse_embeddings(df, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "weight"))).alias("_map"))
-    return df.join(vectors, key, "left").withColumn(output, dense(F.coalesce("_map", F.create_map().cast("map<int,double>")), dim)).drop("_map")
 
-
-def small_side(df: DataFrame, most: int = QUERIES_SENT) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def search(chunks: DataFrame, queries: DataFrame, k: int = 5, distance: Callable[[Column, Column], Column] = l2_squared) -> DataFrame:
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(hashing_vectors(texts.tolist(), dim)))
+
+    return df.withColumn(output, vectors(F.col(text)))
+
+
+def small_side(df: DataFrame, most: int = QUERIES_SENT, most_bytes: int = BYTES_SENT) -> bool:
+    """Whether a queries table is so small that it can be sent to every task: in rows and in bytes of its vectors."""
+    n, numbers = df.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
+    return n <= most and 8 * numbers <= most_bytes
+
+
+def _nearest(rows: pd.DataFrame, asked: pd.DataFrame, k: int, digits: int | None) -> pd.DataFrame:
+    """For each query the k nearest of the rows that pass its filter, by distance and then chunk_id: all columns of the rows, query_id, top_k and distance."""
+    found = []
+    vectors = np.stack(rows["embedding"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 0))
+    by_course = rows.groupby("course_id").indices
+    columns = {c: rows[c].to_numpy(dtype=object) for c in ("chapter", "source_type", "verified", "chunk_id")}
+    for q in asked.itertuples(index=False):
+        at = by_course.get(q.course_id)
+        if at is None:
+            continue
+        for name in ("chapter", "source_type"):
+            if (wanted := getattr(q, name)) is not None and wanted == wanted and wanted != "":
+                at = at[columns[name][at] == wanted]
+        if q.verified_only is not None and q.verified_only == q.verified_only:
+            at = at[columns["verified"][at] == q.verified_only]
+        if not len(at):
+            continue
+        gap = vectors[at] - q.embedding
+        distance = np.einsum("ij,ij->i", gap, gap)
+        if digits is not None:
+            distance = np.round(distance, digits)
+        if len(at) > k:  # all that tie with the k-th stay for the order by chunk_id
+            near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
+            at, distance = at[near], distance[near]
+        order = np.lexsort((columns["chunk_id"][at].astype(str), distance))[:k]
+        found.append(rows.iloc[at[order]].assign(query_id=q.query_id, top_k=q.top_k, distance=distance[order]))
+    return pd.concat(found, ignore_index=True) if found else rows.iloc[:0].assign(query_id=None, top_k=None, distance=None)
+
+
+def search(chunks: DataFrame, queries: DataFrame, k: int = 5, distance: Callable[[Column, Column], Column] | None = None, digits: int | None = None) -> DataFrame:
     """The k nearest chunks of each query that pass its filter, with rank and score.
 
     chunks: course_id, chunk_id, chapter, source_type, verified, embedding, ...; queries: query_id,
     course_id, chapter, source_type, verified_only, embedding, and optionally top_k (at most 20,
-    in place of ``k``).  Ties go by chunk_id.  A course without chunks gives no rows.
+    in place of ``k``).  Nearest by squared Euclidean distance, rounded to ``digits`` if given, or by
+    another ``distance``.  Ties go by chunk_id.  A course without chunks gives no rows.
+
+    A queries table of bounded rows and bytes is sent to the chunks: each task compares Arrow batches
+    of its chunks with it and passes on its own k nearest of each query, so however large a course
+    is, only those are shuffled.  A larger table, or another distance, is joined by course.
     """
     if not 1 <= k <= MOST:
         raise ValueError(f"k must be between 1 and {MOST}")
     own = "top_k" in queries.columns
-    joined = chunks.alias("c").join(small_side(queries).alias("q"), kb_filter())
-    found = joined.select("q.query_id", *[F.col("q.top_k")] * own, "c.*", distance(F.col("c.embedding"), F.col("q.embedding")).alias("distance")).drop("embedding")
+    if distance is None and small_side(queries := queries.select(*_ASKED, *["top_k"] * own)):
+        found = _compared(chunks, queries if own else queries.withColumn("top_k", F.lit(k)), MOST if own else k, digits)
+    else:
+        joined = chunks.alias("c").join(queries.alias("q"), kb_filter())
+        far = (distance or l2_squared)(F.col("c.embedding"), F.col("q.embedding"))
+        found = joined.select("q.query_id", (F.col("q.top_k") if own else F.lit(k)).alias("top_k"), "c.*", (far if digits is None else F.round(far, digits)).alias("distance")).drop("embedding")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
-    top = found.withColumn("rank", rank).where(F.col("rank") <= (MOST if own else k))
-    if own:
-        top = top.where(F.col("rank") <= F.col("top_k")).drop("top_k")
+    top = found.withColumn("rank", rank).where(F.col("rank") <= (MOST if own else k)).where(F.col("rank") <= F.col("top_k")).drop("top_k")
     return top.withColumn("score", distance_to_score(F.col("distance")))
 
 
+def _compared(chunks: DataFrame, queries: DataFrame, k: int, digits: int | None) -> DataFrame:
+    """The k nearest chunks of each query within each task."""
+    asked = queries.where("embedding is not null").toPandas()  # bounded by small_side
+    asked["embedding"] = [np.asarray(x, dtype=np.float64) for x in asked["embedding"]]
+    sent = chunks.sparkSession.sparkContext.broadcast(asked)
+    carried = [c for c in chunks.columns if c not in ("query_id", "top_k", "distance")]
+    chunks = chunks.select(carried).where("embedding is not null")
+    kinds = {f.name: f.dataType for f in queries.schema}
+    schema = T.StructType([f for f in chunks.schema if f.name != "embedding"])
+    schema = schema.add("query_id", kinds["query_id"]).add("top_k", kinds["top_k"]).add("distance", "double")
+    names = schema.names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for batch in batches:
+            near = _nearest(batch, sent.value, k, digits)[names]
+            best = near if best is None or not len(best) else pd.concat([best, near], ignore_index=True) if len(near) else best
+            best = best.sort_values(["query_id", "distance", "chunk_id"], kind="stable").groupby("query_id", sort=False).head(k)
+        if best is not None and len(best):
+            yield best
+
+    return chunks.mapInPandas(run, schema)
+
+
 def search_result(found: DataFrame) -> DataFrame:
     """What a search shows of its chunks: missing ids empty, unverified unless said."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.lineage import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -37,7 +39,7 @@ class Tables:
 
     def sections(self) -> DataFrame:
         """Documents as one section each: source is the course, lang the source type; lines are paragraphs."""
-        return self.documents.select(
+        return spread(self.documents.select("source", "doc_id", "lang", "text")).select(
             F.col("source").alias("course_id"), F.col("doc_id").alias("document_id"), F.col("lang").alias("source_type"), F.lit(0).alias("section_pos"),
             F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("title"), F.regexp_replace("text", "\n", "\n\n").alias("content"),
         )

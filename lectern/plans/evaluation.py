@@ -11,7 +11,7 @@ from lectern.operators import exams as E
 from lectern.operators import lessons as L
 from lectern.operators import metrics as M
 from lectern.plans.base import Tables, query
-from lectern.plans.ingest import benchmark_search
+from lectern.plans.ingest import benchmark_chunks, benchmark_search
 from lectern.plans.teaching import DAMAGED_SQL, EXAM_SQL, SLIDE_SQL, _damaged, _lessons, exam_blueprints
 
 
@@ -61,7 +61,7 @@ def i05_evaluate_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = Tables(spark, sf_dir).documents
     results = docs.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rank <= 8").select(F.col("source").alias("query_id"), "rank", F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
     cases = docs.select(F.col("source").alias("query_id")).distinct().select("query_id", F.col("query_id").alias("query"), F.array(F.lit("The"), F.lit("and")).alias("terms"))
-    r = M.evaluate_retrieval(results, cases)
+    r = M.evaluate_results(results, cases)
     return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
 
 
@@ -82,5 +82,5 @@ def b07_labels_of_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def i05_evaluate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval over the chunks of all documents, labels and metrics."""
     t = Tables(spark, sf_dir)
-    r = M.evaluate_retrieval(benchmark_search(t), _benchmark_cases(t))
+    r = M.evaluate_retrieval(benchmark_chunks(t), _benchmark_cases(t).withColumn("course_id", F.lit("all")), 8, digits=9)
     return r.select(*[F.round(c, 6).alias(c) for c in r.columns])

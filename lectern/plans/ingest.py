@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.functions import vectors as V
 from lectern.operators.chunking import chunk_documents, chunk_sections
+from lectern.operators.kb import build_kb
 from lectern.operators.search import context_query, embed, require_context, search, search_result, sparse_embeddings
 from lectern.plans.base import CHUNKS_SQL, Tables, query
 
@@ -205,17 +206,35 @@ def i03_knowledge_base_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     chunks = chunk_sections(t.sections().where("course_id = 'src0'")).withColumn("verified", F.lit(False))
     chunks = chunks.withColumn("chunk_id", F.concat_ws(":", F.col("document_id").cast("string"), F.col("chunk_pos").cast("string")))
-    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit("src0").alias("course_id"), F.lit("").alias("chapter"), F.lit("").alias("source_type"), F.lit(None).cast("boolean").alias("verified_only"), V.hashing_embedding(F.col("text")).alias("embedding"))
-    found = search(embed(chunks), queries, 8, lambda a, b: F.round(V.l2_squared(a, b), 9))
+    queries = embed(t.benchmark, "text").select(F.col("item_id").alias("query_id"), F.lit("src0").alias("course_id"), F.lit("").alias("chapter"), F.lit("").alias("source_type"), F.lit(None).cast("boolean").alias("verified_only"), "embedding")
+    found = search(embed(chunks), queries, 8, digits=9)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
-def benchmark_search(t: Tables, k: int = 8) -> DataFrame:
-    """Every document to chunks to vectors, all in one course, and every benchmark text as a query: the k nearest chunks of each."""
+@query(rf"""WITH RECURSIVE {CHUNKS_SQL}, n AS (SELECT doc_id, count(*) AS n, sum(length(content))::bigint AS n_chars FROM chunks WHERE doc_id % 17 <> 0 GROUP BY ALL)
+SELECT doc_id AS document_id, source AS course_id, CASE WHEN n IS NULL THEN 'failed' ELSE 'built' END AS parse_status, coalesce(n, 0) AS chunk_count,
+CASE WHEN doc_id % 17 = 0 THEN 'unreadable' WHEN n IS NULL THEN 'No text chunks were extracted from this document' END AS error_message, coalesce(n.n_chars, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END) AS n_chars
+FROM documents LEFT JOIN n USING (doc_id)""")
+def i03_build_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents built into a base that holds an old chunk of each second one; every 17th can't be read and keeps it."""
+    sections = Tables(spark, sf_dir).sections().withColumn("error", F.when(F.col("document_id") % 17 == 0, "unreadable"))
+    first, _ = build_kb(sections.limit(0))
+    old = sections.where("document_id % 2 = 0").select(*[(F.col(c) if c in ("course_id", "document_id") else F.lit("old").alias(c) if c == "content" else F.lit(None).cast(k).alias(c)) for c, k in first.dtypes])
+    chunks, report = build_kb(sections, old)
+    n_chars = chunks.groupBy("document_id").agg(F.sum(F.length("content")).alias("n_chars"))
+    return report.join(n_chars, "document_id", "left").select("document_id", "course_id", "parse_status", F.col("chunk_count").cast("long").alias("chunk_count"), "error_message", F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"))
+
+
+def benchmark_chunks(t: Tables) -> DataFrame:
+    """The chunks of every document with vectors, all in one course."""
     chunks = chunk_sections(t.sections()).withColumn("verified", F.lit(False)).withColumn("course_id", F.lit("all"))
-    chunks = chunks.withColumn("chunk_id", F.concat_ws(":", F.col("document_id").cast("string"), F.col("chunk_pos").cast("string")))
-    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit("all").alias("course_id"), F.lit("").alias("chapter"), F.lit("").alias("source_type"), F.lit(None).cast("boolean").alias("verified_only"), V.hashing_embedding(F.col("text")).alias("embedding"))
-    return search(embed(chunks), queries, k, lambda a, b: F.round(V.l2_squared(a, b), 9))
+    return embed(chunks.withColumn("chunk_id", F.concat_ws(":", F.col("document_id").cast("string"), F.col("chunk_pos").cast("string"))))
+
+
+def benchmark_search(t: Tables, k: int = 8) -> DataFrame:
+    """Every benchmark text as a query against the chunks of all documents: the k nearest of each."""
+    queries = embed(t.benchmark, "text").select(F.col("item_id").alias("query_id"), F.lit("all").alias("course_id"), F.lit("").alias("chapter"), F.lit("").alias("source_type"), F.lit(None).cast("boolean").alias("verified_only"), "embedding")
+    return search(benchmark_chunks(t), queries, k, digits=9)
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -28,38 +29,56 @@ def build_chunks(documents: DataFrame) -> DataFrame:
     return chunk_sections(rows)
 
 
+def read_kb(spark: SparkSession, table: str) -> DataFrame:
+    """The chunks of a table that :func:`stream_build_kb` keeps."""
+    return spark.read.parquet(table).where("chunk_id is not null")
+
+
+def _stored(spark: SparkSession, table: str, like: DataFrame) -> DataFrame | None:
+    """The table, or nothing if it isn't there yet."""
+    try:
+        return spark.read.schema(like.schema).parquet(table)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def stream_build_kb(stream: DataFrame, table: str, checkpoint: str, buckets: int = 64, available_now: bool = True) -> StreamingQuery:
-    """Keep ``table`` (a Parquet folder partitioned by bucket of document) at the chunks of the last version of each document.
+    """Keep ``table`` (a Parquet folder partitioned by bucket of document; see :func:`read_kb`) at the chunks of the last version of each document.
 
     A batch touches only the buckets that its documents fall in: their rows are read, replaced by
     version, written beside the old ones and put in their place by dynamic partition overwrite, so
-    a batch that is replayed gives the same table.
+    a batch that is replayed gives the same table.  A document whose last version has no chunk leaves
+    a row without chunk_id, which keeps its version.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = build_chunks(batch).withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")).persist()
+        last = latest_documents(batch)
+        chunks = build_chunks(batch)
+        said = {"course_id", "document_id", "source_type", "version"}
+        emptied = last.join(chunks.select("document_id").distinct(), "document_id", "left_anti").select(*[F.col(c) if c in said else F.lit(None).cast(k).alias(c) for c, k in chunks.dtypes])
+        new = chunks.unionByName(emptied).withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")).persist()
+        staged = f"{checkpoint}/staged/{batch_id}"
         try:
             touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
             if not touched:
                 return
-            try:
-                old = spark.read.schema(new.schema).parquet(table).where(F.col("bucket").isin(touched))
+            out = new
+            if (old := _stored(spark, table, new)) is not None:
+                old = old.where(F.col("bucket").isin(touched))
                 seen = new.groupBy("document_id").agg(F.max("version").alias("_v"))
                 kept = old.join(seen, "document_id", "left").where("_v is null or version > _v").drop("_v")
                 newer = old.groupBy("document_id").agg(F.max("version").alias("_v"))
                 fresh = new.join(newer, "document_id", "left").where("_v is null or version >= _v").drop("_v")
-                out = kept.unionByName(fresh).select(*new.columns)
-                staged = f"{checkpoint}/staged/{batch_id}"
-                out.write.mode("overwrite").parquet(staged)
+                kept.unionByName(fresh).select(*new.columns).write.mode("overwrite").parquet(staged)
                 out = spark.read.schema(new.schema).parquet(staged)
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                out = new
             out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
         finally:
             new.unpersist()
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
     writer = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{checkpoint}/stream")
     return (writer.trigger(availableNow=True) if available_now else writer).start()

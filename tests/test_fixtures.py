@@ -105,3 +105,43 @@ def test_usage(spark):
     assert whole.usage_source_counts == {"provider": 1, "deepseek_v3_tokenizer": 1, "unavailable": 1} and got["b"].total_tokens == 0
     none = usage_summary(df.where("prompt_name = 'b'")).collect()
     assert {r.total_tokens for r in none} == {None}
+
+
+def test_build_takes_hooks_and_keeps_what_fails(spark):
+    from lectern.operators.kb import build_kb
+
+    docs = spark.createDataFrame([("c", "a", "t", "alpha beta", None), ("c", "b", "t", "", None), ("c", "x", "t", "unread", "bad file")], "course_id string, document_id string, source_type string, content string, error string")
+    words = lambda content, most: F.slice(F.split(content, " "), 1, most)
+    first, _ = build_kb(docs.withColumn("content", F.lit("old")).withColumn("error", F.lit(None).cast("string")))
+    chunks, report = build_kb(docs, first.drop("embedding").withColumn("embedding", F.array(F.lit(0.0))), points=1, extractor=words, embedder=lambda text: F.array(F.length(text).cast("double")))
+    assert {(r.document_id, r.content): (r.knowledge_points, r.embedding) for r in chunks.collect() if r.document_id == "a"} == {("a", "alpha beta"): (["alpha"], [10.0])}
+    assert {r.document_id: r.content for r in chunks.collect()} == {"a": "alpha beta", "b": "old", "x": "old"}
+    assert {r.document_id: (r.parse_status, r.chunk_count, r.error_message) for r in report.collect()} == {"a": ("built", 1, None), "b": ("failed", 0, "No text chunks were extracted from this document"), "x": ("failed", 0, "bad file")}
+
+
+def test_duplicates_of_given_embeddings_are_the_brute_force(spark):
+    import numpy as np
+
+    from lectern.operators.exams import duplicate_pairs
+
+    rng = np.random.default_rng(3)
+    made = rng.normal(size=(60, 6)) * rng.integers(0, 2, (60, 6)) * rng.uniform(0.3, 1.5, (60, 1))
+    rows = [(i % 3, i // 3 + 1, "", [float(x) for x in v]) for i, v in enumerate(made)]
+    df = spark.createDataFrame(rows, "exam_id int, pos int, question_text string, vector array<double>")
+    want = {(g, a, b) for g, a, _, x in rows for h, b, _, y in rows if g == h and a < b and round(float(np.dot(x, y)), 9) >= 0.85}
+    assert {(r.exam_id, r.i, r.j) for r in duplicate_pairs(df, embeddings="vector").collect()} == want and len(want) > 5
+
+
+def test_written_back_slides(spark):
+    from lectern.operators.lessons import write_back
+
+    slide = "struct<slide_index:int,title:string,bullet_points:array<string>,speaker_notes:string>"
+    outlines = spark.createDataFrame([("l1", "c", "Course", "Chapter 1", [(1, "Intro", [f"p{i}" for i in range(12)], None), (2, "Core", ["a"], "say it")])], f"lesson_id string, course_id string, course_name string, chapter_range string, slides array<{slide}>")
+    session = "struct<session_index:int,session_title:string,teaching_objectives:array<string>,key_points:array<string>,teaching_process:array<struct<content:string>>>"
+    lessons = spark.createDataFrame([], f"lesson_id string, course_id string, course_name string, chapter_range string, sessions array<{session}>")
+    questions = spark.createDataFrame([], "question_id string, course_id string, question_type string, knowledge_point string, question_text string, correct_answer string, explanation string, options array<struct<key:string,value:string>>")
+    reviews = spark.createDataFrame([("r1", "ppt_outline", "l1", "c", "approved"), ("r2", "ppt_outline", "l1", "c", "rejected")], "review_id string, target_type string, target_id string, course_id string, review_status string")
+    rows = {r.chunk_id: r for r in write_back(reviews, lessons, outlines, questions).collect()}
+    assert set(rows) == {"review-r1-slide-1", "review-r1-slide-2"} and all(r.verified and r.source_type == "reviewed_ppt" for r in rows.values())
+    assert rows["review-r1-slide-1"].content == "\n".join(["Course", "Chapter 1", "Intro", *[f"p{i}" for i in range(12)]]) and len(rows["review-r1-slide-1"].knowledge_points) == 10
+    assert rows["review-r1-slide-2"].content == "Course\nChapter 1\nCore\na\nsay it"

@@ -23,8 +23,18 @@ def test_knowledge_base_stream_is_the_batch(spark, sf_dir, tmp_path):
         J.stream_build_kb(stream, table, str(tmp_path / "cp"), buckets=4).awaitTermination()
     columns = ["document_id", "chunk_pos", "content", "version"]
     want = J.build_chunks(everything[0].union(everything[1]).union(everything[2])).select(columns)
-    got = spark.read.parquet(table).select(columns)
+    got = J.read_kb(spark, table).select(columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert not list((tmp_path / "cp" / "staged").glob("*"))
+
+
+def test_an_emptied_document_loses_its_chunks(spark, tmp_path):
+    source, table = tmp_path / "in", str(tmp_path / "table")
+    for rows in ([("c", "a", "t", "hello world text", 1), ("c", "b", "t", "stays", 1)], [("c", "a", "t", "", 2)], [("c", "a", "t", "an old version", 1)]):
+        spark.createDataFrame(rows, DOCS).coalesce(1).write.mode("append").parquet(str(source))
+        J.stream_build_kb(spark.readStream.schema(DOCS).parquet(str(source)), table, str(tmp_path / "cp"), buckets=1).awaitTermination()
+        got = {(r.document_id, r.content) for r in J.read_kb(spark, table).collect()}
+        assert got == {("b", "stays")} | ({("a", "hello world text")} if rows[0][4:] == (1,) and len(rows) == 2 else set())
 
 
 def test_request_ledger_stream_is_the_batch(spark, sf_dir, tmp_path):
