@@ -11,26 +11,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.lineage import spread
+
 #: At most so many labelled documents of each label are learned from, chosen by a hash of their id.
 LEARNED = 3000
 LANDMARKS = 240
+#: The machine's clean examples: the worst strings of so many sentences of clean documents, and so many strings of theirs drawn at random.
+CLEAN_SENTENCES, CLEAN_STRINGS = 20_000, 8_000
 #: Subsequences of 3 characters within 5 and of 4 within 6; each character of the span weighs DECAY.
 SHAPES = [(0, *inner, span - 1) for size, most in ((3, 5), (4, 6)) for span in range(size, most + 1) for inner in combinations(range(1, span - 1), size - 2)]
 DECAY = 0.65
-WINDOW, STEP = 28, 18
+#: A longer word gives windows of WINDOW characters, so any 20 characters of it lie in one whole.
+WINDOW, STEP = 28, 8
 KEPT_WORDS = 300_000
 TABLE_BITS = 20
 
 _TOKEN = re.compile(r"[^\W_](?:\S*[^\W_])?")
-_SPELLED = re.compile(r"(?<!\S)[^\W\d_](?:\s[^\W\d_]){2,}(?!\S)")
+_SPELLED = re.compile(r"(?<!\w)[^\W\d_](?:[\W_]{1,3}[^\W\d_](?!\w)){2,}")
+_BETWEEN = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def strings(text: str) -> set[str]:
-    """The strings of a sentence or text that the kernel compares: lower-case words with what is inside them, and words spelled out letter by letter.  A very long word gives overlapping windows."""
+    """The strings of a sentence or text that the kernel compares: lower-case words with what is inside them, and words spelled out letter by letter with up to three other characters between.  A very long word gives overlapping windows."""
     text = text.lower()
     found = set(_TOKEN.findall(text))
-    found.update("".join(m.split()) for m in _SPELLED.findall(text))
+    found.update(_BETWEEN.sub("", m) for m in _SPELLED.findall(text))
     long = [w for w in found if len(w) > WINDOW]
     for w in long:
         found.discard(w)
@@ -122,11 +128,14 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, r
 def fit(documents: list[tuple[int, list[set[str]]]], landmarks: int = LANDMARKS, rounds: int = 4, seed: int = 4) -> dict:
     """A model from (label, the strings of each sentence) of documents.
 
-    A document's label says of a toxic one only that some sentence is toxic.  So sentences of clean
-    documents are clean, and of each toxic document the sentence with the highest scoring string is
-    taken as the toxic one, on the evidence of that string.  The first scores are log odds of
-    subsequences; then machine and choice are fitted in turn.  Documents whose choice occurs
-    in clean ones, or stays on the clean side, teach nothing.  A fifth of the documents is kept from
+    The examples are sentences; a sentence's score is that of its highest scoring string.  A
+    document's label says of a toxic one only that some sentence is toxic, so of each toxic
+    document the highest scoring sentence is taken as toxic, and of clean ones all sentences are
+    clean.  The first scores are log odds of subsequences and of the strings themselves; then the
+    choice of sentences and strings and the machine are fitted in turn.  A string that is no more
+    frequent in toxic documents than in clean ones is never evidence; one that a few clean
+    documents hold too can be.  Of clean documents at most CLEAN_SENTENCES sentences and
+    CLEAN_STRINGS strings, drawn at random, are examples.  A fifth of the documents is kept from
     the machine and fixes the slope from its margin to a probability.
     """
     rng = np.random.default_rng(seed)
@@ -158,19 +167,26 @@ def fit(documents: list[tuple[int, list[set[str]]]], landmarks: int = LANDMARKS,
     for i in range(0, len(words), 20_000):
         index, codes, weights, norm = features(words[i : i + 20_000])
         scores[i : i + len(norm)] = np.bincount(index, weights=odds[of(codes)] * weights, minlength=len(norm)) / norm
-    scores[good > 0] -= 1e3
+    evidence = np.log((bad + 0.5) / (len(toxic) + 1)) - np.log((good + 0.5) / (len(clean) + 1))
+    scores += evidence
+    spoken = [np.array([place[w] for w in said], dtype=np.int64) for i in clean for said in documents[i][1] if said]
+    spoken = [spoken[i] for i in np.sort(rng.choice(len(spoken), min(CLEAN_SENTENCES, len(spoken)), replace=False))]
+    ordinary = np.flatnonzero(good > 0)
+    drawn = rng.choice(ordinary, min(CLEAN_STRINGS, len(ordinary)), replace=False)
     threshold, model = -np.inf, None
     for turn in range(rounds):
         chosen = [m[np.argmax(scores[m])] for m in (members[i] for i in toxic) if len(m)]
-        chosen = [w for w in chosen if good[w] == 0 and scores[w] > threshold]
+        chosen = [w for w in chosen if evidence[w] > 0 and scores[w] > threshold]
         if not chosen:
             break
         positive, times = np.unique(chosen, return_counts=True)
-        ranked = np.flatnonzero(good > 0)
-        hard = ranked[np.argsort(-scores[ranked])[:4000]]
-        negative = np.union1d(hard, rng.choice(ranked, min(8000, len(ranked)), replace=False))
+        hard = np.setdiff1d([m[np.argmax(scores[m])] for m in spoken], positive)
+        negative = np.setdiff1d(np.union1d(hard, drawn), positive)
+        if not len(negative):
+            break
         marks = [words[i] for i in positive[np.argsort(-times, kind="stable")[: landmarks // 2]]]
-        marks += [words[i] for i in rng.choice(hard, min(len(hard), landmarks - len(marks)), replace=False)]
+        among = hard if len(hard) else negative
+        marks += [words[i] for i in rng.choice(among, min(len(among), landmarks - len(marks)), replace=False)]
         known, basis, among = kernel(marks, marks)
         values, vectors = np.linalg.eigh(among)
         solid = values > 1e-8 * values[-1]
@@ -266,7 +282,8 @@ def score(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    """Scores of all documents by a model of the labels that aren't held out; null and empty texts are as clean as can be, repeated rows are scored alike, no rows of an empty table."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     held = lambda c: F.crc32(F.encode(F.col(c).cast("string"), "UTF-8")) % 4 == 2
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held("doc_id")).select("doc_id", "toxic")
     model = learn(docs, labels)

@@ -1,6 +1,7 @@
 """Chat formatting, toxicity, URLs, near-duplicates, packing, repetition and token counts against brute force."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -375,6 +376,59 @@ def test_toxicity_finds_gapped_words(spark):
     assert min(got[i] for i in (0, 1, 2, 6)) > 0.3 > max(got[i] for i in (3, 4, 5))
 
 
+def plain_kernel(a, b):
+    """Common subsequences of 3 letters within 5 and of 4 within 6, each place weighing 0.65 per letter of its span, over both words' norms."""
+
+    def places(w):
+        w = f"\x02{w}\x03"
+        for size, most in ((3, 5), (4, 6)):
+            for at in itertools.combinations(range(len(w)), size):
+                if (span := at[-1] - at[0] + 1) <= most:
+                    yield (tuple(y - x for x, y in zip(at, at[1:], strict=False)), "".join(w[i] for i in at)), 0.65**span
+
+    def table(w):
+        out = defaultdict(float)
+        for (_, letters), weight in places(w):
+            out[letters] += weight
+        return out, sum(x * x for _, x in places(w)) ** 0.5 or 1e-6
+
+    (x, n), (y, m) = table(a), table(b)
+    return sum(v * y[k] for k, v in x.items() if k in y) / n / m
+
+
+@given(st.lists(st.text("abcé", min_size=1, max_size=9), min_size=2, max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_string_kernel_is_the_plain_one(words):
+    _, _, gram = toxicity.kernel(words, words[:2])
+    assert np.allclose(gram, [[plain_kernel(a, b) for b in words[:2]] for a in words], atol=1e-9)
+
+
+def test_toxicity_on_held_out_rows(spark, sf_dir):
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = toxicity.op4_toxicity(spark, sf).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
+    held = [(r.score, labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels]
+    bad, good = [s for s, y, _ in held if y], [s for s, y, _ in held if not y]
+    assert sum((b > g) + (b == g) / 2 for b in bad for g in good) / len(bad) / len(good) > 0.7
+    assert sum(p for _, y, p in held if y) > 0.5 * len(bad) and sum(p for _, y, p in held if not y) < 0.1 * len(good)
+
+
+def test_toxicity_survives_a_few_wrong_labels_and_spelled_words(spark):
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(["ba", "ne", "tu", "ri", "so", "lem", "kan", "dor"], rng.integers(1, 4)))
+    rows = []
+    for i in range(600):
+        words = [word() for _ in range(30)]
+        if i % 3 == 0 or i % 40 == 1:  # some clean documents quote an insult
+            words[int(rng.integers(0, 30))] = str(rng.choice(["idiot", "moron"]))
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    model = toxicity.learn(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id bigint, toxic int"))
+    probe = ["you m. o. r. o. n. there", "so i  d  i  o  t lem", "x" * 15 + "moron" + "y" * 15, "banetu solem ri"]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(probe)), "doc_id int, text string"), model).collect()}
+    assert min(got[0], got[1]) > 0.3 > got[3]
+
+
 def test_toxicity_without_labels(spark, odd):
     model = toxicity.learn(odd, spark.createDataFrame([], "doc_id bigint, toxic int"))
     rows = toxicity.score(odd, model).collect()
