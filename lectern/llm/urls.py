@@ -10,9 +10,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.common import saved
+
 #: At most so many distinct URLs that a rule judges are learned from, half of either verdict, chosen by hash.
 LEARNED = 20_000
-SALTS = 256
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 FEATURES = ("n_url", "n_host", "n_path", "depth", "labels", "digits", "hyphens", "entropy", "parameters", "escapes", "suffix_rate", "suffix_share")
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -59,28 +60,28 @@ def judge_urls(df: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_i
     A URL that a rule fits gets the rule's verdict, and all such URLs are the labelled ones; the
     others get that of boosted trees learned from at most ``learned`` of them, at most half of either
     verdict; a URL that many rows hold counts once.  block_score is the
-    trees' probability of block for any URL.  Suffix statistics (the last two host labels' share of
-    blocks, smoothed, and of all URLs, both logged counts) are taken over all rows.  Null URLs have
+    trees' probability of block for any URL.  Suffix statistics (of the last two host labels: the
+    share of blocks among the other labelled rows, smoothed, and the logged number of all) are taken over all rows.  Null URLs have
     empty parts and all features 0.  Where no rule fits any row the trees say allow, where
     all that fit say the same they say that.  Repeated rows stay; an empty table gives none.
     """
     rows = df.select(*keep, F.col(url).alias("_url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rows = lexical(rows.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules)), "_url", "host", "path")
     block = F.when(F.col("_rule.verdict") == "block", 1.0).when(F.col("_rule.verdict").isNotNull(), 0.0)
-    suffixes = rows.groupBy("_suffix").agg(
-        ((F.coalesce(F.sum(block), F.lit(0.0)) + 1) / (F.count(block) + 2)).alias("suffix_rate"), F.log1p(F.count(F.lit(1))).alias("suffix_share"))
-    # Few suffixes hold most rows: each is dealt out in SALTS parts.
+    # Saved, so that it is sent to every task if it is small, and else the join can split a suffix that many rows share.
+    suffixes = saved(rows.groupBy("_suffix").agg(F.coalesce(F.sum(block), F.lit(0.0)).alias("_blocked"), F.count(block).alias("_judged"), F.log1p(F.count(F.lit(1))).alias("suffix_share")))
+    # A labelled row doesn't count itself, or the trees would read its label back.
+    rate = ((F.col("_blocked") - F.coalesce("label", F.lit(0.0)) + 1) / (F.col("_judged") - F.when(F.col("label").isNotNull(), 1).otherwise(0) + 2)).alias("suffix_rate")
     rows = rows.withColumn("label", block)
     # A URL has one label and one set of features, so the sample is drawn of URLs; only the drawn ones are given their features.
     urls = rows.where("label is not null").select("_url", "label").distinct().select("_url", "label", F.xxhash64("_url").alias("_order"))
     drawn = [urls.where(F.col("label") == y).orderBy("_order", "_url").limit(learned // 2) for y in (0.0, 1.0)]
     drawn = drawn[0].union(drawn[1]).select("_url", "label").withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))})
-    drawn = F.broadcast(lexical(drawn, "_url", "host", "path"))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_url"), F.lit(SALTS)).cast("int"))
-    rows = rows.join(suffixes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_suffix", "_salt"])
+    drawn = F.broadcast(lexical(drawn, "_url", "host", "path"))  # at most ``learned`` rows
+    rows = rows.join(suffixes, "_suffix").select("*", rate)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     rows = assembler.transform(rows)
-    sample = assembler.transform(suffixes.join(drawn, "_suffix")).orderBy(F.xxhash64("_url"), "_url").select("features", "label").coalesce(1).cache()
+    sample = assembler.transform(suffixes.join(drawn, "_suffix").select("*", rate)).orderBy(F.xxhash64("_url"), "_url").select("features", "label").coalesce(1).cache()
     seen = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(seen) == 2:
         trees = GBTClassifier(maxIter=12, maxDepth=4, maxBins=64, stepSize=0.3, seed=5).fit(sample)
@@ -93,4 +94,5 @@ def judge_urls(df: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_i
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages; a null url has empty parts, repeated rows are judged alike, no rows of an empty table."""
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
