@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import gapless, unit_hash, utf8_bytes
+from lectern.llm.common import gapless, saved, unit_hash, utf8_bytes
 
 
 def shard_of(key: Column, weights: list[float]) -> Column:
@@ -33,16 +33,17 @@ def shard_documents(df: DataFrame, key: str = "doc_id", text: str = "text", weig
     weights = weights or [1.0] * 24
     grown = grown or [*weights, 1.0]
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(
+    rows = saved(df.select(  # numbers only; they are read twice
         F.col(key).alias("doc_id"),
         (utf8_bytes(F.col(text)) + 8).alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         F.lit("key").alias("law"),
         shard_of(F.col(key), weights).alias("shard"),
         shard_of(F.col(key), grown).alias("grown_shard"),
-    )
+    ))
     return gapless(rows, "shard", ["doc_id", "size", "text_crc32"], "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents by key; null text: no bytes, null ids share a shard, repeated rows have slots of their own, no rows of an empty table."""
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), weights=[1.0] * 24)
