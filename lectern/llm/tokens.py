@@ -12,10 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import saved, shared_table, utf8_bytes
+from lectern.operators.lineage import spread
 
 #: Rows that a task holds as Python texts at a time.
 TEXTS_AT_ONCE = 256
@@ -148,7 +150,7 @@ def counter(path: str):
 def count_tokens(df: DataFrame, cache: str, key: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit.
 
-    ``cache`` is a table (content_digest, tokenizer_digest, n_tokens).  A text's digest is looked up
+    ``cache`` is a table (content_digest, tokenizer_digest, n_tokens), in folders by tokenizer_digest.  A text's digest is looked up
     there under this tokenizer's; only distinct texts that it lacks are encoded, and their counts
     are appended to it.  The digest is of the text as it is (null counts as empty), as white space
     and case can matter to a tokenizer.  Repeated texts are encoded once; an empty table gives none.
@@ -157,13 +159,13 @@ def count_tokens(df: DataFrame, cache: str, key: str = "doc_id", text: str = "te
     """
     spark = df.sparkSession
     version = file_digest(tokenizer_path(tokenizer))
-    rows = df.select(F.col(key).alias("doc_id"), utf8_bytes(F.col(text)).alias("n_bytes"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("content_digest"))
+    rows = saved(df.select(F.col(key).alias("doc_id"), utf8_bytes(F.col(text)).alias("n_bytes"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("content_digest")))
+    asked = saved(rows.select("content_digest").distinct())  # of a cache, however large, only these are grouped
     schema = "content_digest string, tokenizer_digest string, n_tokens bigint"
     try:
-        stored = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer_digest") == version).select("content_digest").distinct()
-        stored.schema  # noqa: B018
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        stored = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer_digest") == version).join(asked, "content_digest", "left_semi").select("content_digest").distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         stored = None
     texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("content_digest", F.sha2("_text", 256))
@@ -179,12 +181,12 @@ def count_tokens(df: DataFrame, cache: str, key: str = "doc_id", text: str = "te
                 found += count(batch["_text"].iloc[i : i + TEXTS_AT_ONCE].tolist())
             yield pd.DataFrame({"content_digest": batch["content_digest"], "tokenizer_digest": version, "n_tokens": np.array(found, dtype=np.int64)})
 
-    misses.mapInPandas(encode, schema).write.mode("append").parquet(cache)
+    misses.mapInPandas(encode, schema).write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
     # Saved, so that the join below deals both sides out itself and can split a digest that many rows share.
-    counts = saved(spark.read.schema(schema).parquet(cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.first("n_tokens").alias("n_tokens")))
+    counts = saved(spark.read.schema(schema).parquet(cache).where(F.col("tokenizer_digest") == version).join(asked, "content_digest", "left_semi").groupBy("content_digest").agg(F.first("n_tokens").alias("n_tokens")))
     return rows.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts for all documents over a cache that begins empty."""
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_table(spark, "token-counts"))
+    return count_tokens(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), shared_table(spark, "token-counts"))
