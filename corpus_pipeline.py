@@ -13,6 +13,7 @@ from lectern.llm.mix import mixed_rows
 from lectern.llm.neardup import one_of_each
 from lectern.llm.pack import pack
 from lectern.llm.repetition import without_repetition
+from lectern.operators.lineage import spread
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -54,7 +55,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each one's rows are written to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for i, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES):

@@ -122,6 +122,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of ours, formatted and read back; null text: empty, turns that repeat a number stay, an empty table gives ours alone."""
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     return read_back(format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").union(own)))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import WORD, bands_for, gapless, hash_of, maybe_among, saved, text_digest, without_dropped
+from lectern.operators.lineage import spread
 
 FIND = re.compile(WORD).findall
 #: Texts that are hashed together, by characters.
@@ -262,4 +263,4 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **option
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and links of all documents; a null or empty text is a class of its own, repeated rows link to each other, no rows of an empty table."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links", "n_texts")
+    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "class_id", "n_links", "n_texts")

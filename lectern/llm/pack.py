@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import gapless, saved
 from lectern.llm.tokens import byte_ids
+from lectern.operators.lineage import spread
 
 END_ID = 1
 #: Context sizes, each with sequences of its own.
@@ -168,4 +169,4 @@ def pack(df: DataFrame, tiers: tuple[int, ...] = TIERS, key: str = "doc_id", tex
 
 def op7_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 128, 512 and 2,048 tokens, one row per piece; null text: empty, repeated rows each packed, no rows of an empty table."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

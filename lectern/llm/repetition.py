@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.common import WORD
+from lectern.operators.lineage import spread
 
 FIND = re.compile(WORD).findall
 HAS_WORD = re.compile(WORD).search
@@ -162,5 +163,6 @@ def without_repetition(df: DataFrame, text: str = "text", window: int = 8, least
 
 
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repetition_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Counts and verdicts of all documents; null and empty texts have no words and fail, repeated rows are judged each, no rows of an empty table."""
+    found = repetition_rules(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "repeat_words", "longest_repeat")
