@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.functions import text as X
 from lectern.operators import exams as E
 from lectern.operators import lessons as L
 from lectern.operators import metrics as M
 from lectern.plans.base import Tables, query
-from lectern.plans.ingest import benchmark_chunks, benchmark_search
+from lectern.plans.ingest import KEY, benchmark_chunks, benchmark_search, benchmark_sql
+from lectern.plans.relational import LABELLED_SQL, LABELS_SQL, described_search
 from lectern.plans.teaching import DAMAGED_SQL, EXAM_SQL, SLIDE_SQL, _damaged, _lessons, exam_blueprints
 
 
@@ -53,15 +53,14 @@ def d21_eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.groupBy("case_kind").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.size("citation_chunk_ids") > 0, 1)).alias("n_cited"), F.count(F.when(F.col("ok"), 1)).alias("n_ok"))
 
 
-@query("""WITH t AS (SELECT doc_id, source, lower(text) AS c, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents), q AS (SELECT DISTINCT source, 'the' AS a, 'and' AS b FROM documents),
-r AS (SELECT q.source, rank, contains(c, a) AND contains(c, b) AS hit FROM q JOIN t ON t.source = q.source AND rank <= 8),
-m AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE hit) AS h, coalesce(1 / min(rank) FILTER (WHERE hit), 0) AS rr, sum(CASE WHEN hit THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM r GROUP BY ALL)
-SELECT round(avg((h > 0)::int), 6) AS recall_at_k, round(avg((h > 0)::int), 6) AS hit_at_k, round(avg(rr), 6) AS mrr, round(avg(CASE WHEN h = 0 THEN 0 ELSE dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, h + 1) AS s(i)) END), 6) AS ndcg, round(avg(h / n), 6) AS context_precision FROM m""")
+METRICS_SQL = """measured AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE hit) AS h, coalesce(1 / min(rank) FILTER (WHERE hit), 0) AS rr, sum(CASE WHEN hit THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM hits GROUP BY ALL)
+SELECT round(avg((h > 0)::int), 6) AS recall_at_k, round(avg((h > 0)::int), 6) AS hit_at_k, round(avg(rr), 6) AS mrr, round(avg(CASE WHEN h = 0 THEN 0 ELSE dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, h + 1) AS s(i)) END), 6) AS ndcg, round(avg(h / n), 6) AS context_precision FROM measured"""
+
+
+@query(f"WITH {LABELLED_SQL}, {METRICS_SQL}")
 def i05_evaluate_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = Tables(spark, sf_dir).documents
-    results = docs.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rank <= 8").select(F.col("source").alias("query_id"), "rank", F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
-    cases = docs.select(F.col("source").alias("query_id")).distinct().select("query_id", F.col("query_id").alias("query"), F.array(F.lit("The"), F.lit("and")).alias("terms"))
-    r = M.evaluate_results(results, cases)
+    """A search of all vectors, labelled by terms of what it found and measured."""
+    r = M.evaluate_results(*described_search(Tables(spark, sf_dir)))
     return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
 
 
@@ -70,7 +69,12 @@ def _benchmark_cases(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), X.keywords(F.col("text"), 2).alias("terms"))
 
 
-@query()
+SEARCHED_SQL = rf"""WITH RECURSIVE {benchmark_sql()}, k AS (SELECT item_id, unnest(regexp_extract_all(text, '{KEY}')) AS w, generate_subscripts(regexp_extract_all(text, '{KEY}'), 1) AS i FROM benchmark),
+terms AS (SELECT item_id, list(lower(w) ORDER BY i)[1:2] AS terms FROM (SELECT item_id, w, min(i) AS i FROM k GROUP BY ALL) GROUP BY item_id),
+hits AS (SELECT item_id AS query_id, rank, len(list_filter(coalesce(terms, []), lambda w: NOT contains(lower(content), w))) = 0 AS hit FROM found JOIN ids USING (id) LEFT JOIN terms USING (item_id))"""
+
+
+@query(f"{SEARCHED_SQL} {LABELS_SQL}")
 def b07_labels_of_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of what a search over the chunks of all documents retrieves."""
     t = Tables(spark, sf_dir)
@@ -78,7 +82,7 @@ def b07_labels_of_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", F.size("retrieved").cast("long").alias("n_retrieved"), F.size("expected").cast("long").alias("n_expected"), F.exists("expected", lambda x: x.startswith("__missing__:")).alias("missing"))
 
 
-@query()
+@query(f"{SEARCHED_SQL}, {METRICS_SQL}")
 def i05_evaluate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval over the chunks of all documents, labels and metrics."""
     t = Tables(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -104,7 +104,7 @@ def h10_names_and_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query("""SELECT event_id, sha256('{"k":' || (props ->> 'k') || '}') AS request_hash, sha256('{"k":"' || (props ->> 'k') || '"}') AS fingerprint FROM events""")
 def h12_request_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).events.select("event_id", X.request_hash(F.col("props")).alias("request_hash"), X.fingerprint(F.col("props"), ("timeout",)).alias("fingerprint"))
 
@@ -194,23 +194,6 @@ def i04_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "document_id", "course_id", "source_type", "verified", F.round("score", 6).alias("score"))
 
 
-@query(rf"""WITH RECURSIVE {CHUNKS_SQL}, src AS (SELECT doc_id || ':' || chunk_pos AS id, content AS body FROM chunks UNION ALL SELECT 'q' || item_id, text FROM benchmark), {EMBED_SQL},
-n AS (SELECT c.id, source, q.qid FROM (SELECT doc_id || ':' || chunk_pos AS id, source FROM chunks WHERE source = 'src0') c, (SELECT 'q' || item_id AS qid FROM benchmark) q),
-dots AS (SELECT a.id, b.id AS qid, sum(a.weight * b.weight) AS dot FROM e a JOIN e b ON a.slot = b.slot WHERE b.id LIKE 'q%' AND a.id NOT LIKE 'q%' GROUP BY ALL),
-s AS (SELECT n.qid, n.id, (SELECT count(*) FROM e WHERE e.id = n.id) > 0 AS ca, coalesce(dot, 0) AS dot FROM n LEFT JOIN dots USING (id, qid)),
-x AS (SELECT qid, id, round(2 - 2 * dot, 9) AS distance FROM s),
-r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank, distance FROM x)
-SELECT substr(qid, 2)::bigint AS query_id, rank, round(1 / (1 + greatest(distance, 0)), 5) AS score FROM r WHERE rank <= 8""")
-def i03_knowledge_base_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one course to chunks to vectors, and benchmark texts as queries against it; :func:`i03_search_all_documents` searches all."""
-    t = Tables(spark, sf_dir)
-    chunks = chunk_sections(t.sections().where("course_id = 'src0'")).withColumn("verified", F.lit(False))
-    chunks = chunks.withColumn("chunk_id", F.concat_ws(":", F.col("document_id").cast("string"), F.col("chunk_pos").cast("string")))
-    queries = embed(t.benchmark, "text").select(F.col("item_id").alias("query_id"), F.lit("src0").alias("course_id"), F.lit("").alias("chapter"), F.lit("").alias("source_type"), F.lit(None).cast("boolean").alias("verified_only"), "embedding")
-    found = search(embed(chunks), queries, 8, digits=9)
-    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
-
-
 @query(rf"""WITH RECURSIVE {CHUNKS_SQL}, n AS (SELECT doc_id, count(*) AS n, sum(length(content))::bigint AS n_chars FROM chunks WHERE doc_id % 17 <> 0 GROUP BY ALL)
 SELECT doc_id AS document_id, source AS course_id, CASE WHEN n IS NULL THEN 'failed' ELSE 'built' END AS parse_status, coalesce(n, 0) AS chunk_count,
 CASE WHEN doc_id % 17 = 0 THEN 'unreadable' WHEN n IS NULL THEN 'No text chunks were extracted from this document' END AS error_message, coalesce(n.n_chars, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END) AS n_chars
@@ -231,15 +214,33 @@ def benchmark_chunks(t: Tables) -> DataFrame:
     return embed(chunks.withColumn("chunk_id", F.concat_ws(":", F.col("document_id").cast("string"), F.col("chunk_pos").cast("string"))))
 
 
-def benchmark_search(t: Tables, k: int = 8) -> DataFrame:
-    """Every benchmark text as a query against the chunks of all documents: the k nearest of each."""
-    queries = embed(t.benchmark, "text").select(F.col("item_id").alias("query_id"), F.lit("all").alias("course_id"), F.lit("").alias("chapter"), F.lit("").alias("source_type"), F.lit(None).cast("boolean").alias("verified_only"), "embedding")
+def benchmark_search(t: Tables, k: int = 8, source_type: Column | None = None) -> DataFrame:
+    """Every benchmark text as a query against the chunks of all documents (of its ``source_type``, if it has one): the k nearest of each."""
+    wanted = F.lit("") if source_type is None else source_type
+    queries = embed(t.benchmark, "text").select(F.col("item_id").alias("query_id"), F.lit("all").alias("course_id"), F.lit("").alias("chapter"), wanted.alias("source_type"), F.lit(None).cast("boolean").alias("verified_only"), "embedding")
     return search(benchmark_chunks(t), queries, k, digits=9)
 
 
-@query()
+def benchmark_sql(on: str = "true") -> str:
+    """SQL of :func:`benchmark_search`: the pairs (item, chunk) that are compared hold ``on``."""
+    return rf"""{CHUNKS_SQL}, ids AS MATERIALIZED (SELECT doc_id || ':' || chunk_pos AS id, lang, content FROM chunks), src AS (SELECT id, content AS body FROM ids UNION ALL SELECT 'q' || item_id, text FROM benchmark), {EMBED_SQL},
+known AS (SELECT DISTINCT id FROM e),
+dots AS (SELECT a.id, b.id AS qid, sum(a.weight * b.weight) AS dot FROM e a JOIN e b ON a.slot = b.slot WHERE b.id LIKE 'q%' AND a.id NOT LIKE 'q%' GROUP BY ALL),
+x AS (SELECT item_id, ids.id, round((c.id IS NOT NULL)::int + (s.id IS NOT NULL)::int - 2 * coalesce(dot, 0), 9) AS distance
+FROM ids JOIN benchmark ON {on} LEFT JOIN dots ON dots.id = ids.id AND dots.qid = 'q' || item_id LEFT JOIN known c ON c.id = ids.id LEFT JOIN known s ON s.id = 'q' || item_id),
+found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, id) AS rank FROM x) WHERE rank <= 8)"""
+
+
+@query(f"WITH RECURSIVE {benchmark_sql("item_id % 2 = 1 OR lang = 'en'")} SELECT item_id AS query_id, rank, id AS chunk_id, round(1 / (1 + greatest(distance, 0)), 5) AS score FROM found")
+def i03_knowledge_base_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents to chunks to vectors; every second benchmark text asks all chunks, the others those of English documents."""
+    found = benchmark_search(Tables(spark, sf_dir), source_type=F.when(F.col("item_id") % 2 == 0, "en").otherwise(""))
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 5).alias("score"))
+
+
+@query(f"WITH RECURSIVE {benchmark_sql()} SELECT item_id AS query_id, rank, round(1 / (1 + greatest(distance, 0)), 5) AS score FROM found")
 def i03_search_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: the chunks of all documents, searched by every benchmark text.  DuckDB would pair all chunks with all queries, so a test holds it against brute force."""
+    """Flagship: the chunks of all documents, searched by every benchmark text."""
     return benchmark_search(Tables(spark, sf_dir)).select("query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 

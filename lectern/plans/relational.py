@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.functions import text as X
 from lectern.operators import metrics as M
 from lectern.operators import tables as T
+from lectern.operators.lineage import settled
+from lectern.operators.search import search
 from lectern.plans.base import Tables, query
 
 
@@ -154,11 +157,12 @@ def c09_vector_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.vector_stats(t.nation.select(F.col("n_nationkey").alias("collection_id"), F.lit(256).alias("dimension")), segments, t.orders.select(F.col("o_custkey").alias("segment_id"))).drop("dimension")
 
 
-@query("SELECT doc_id AS entry_id, left(text, 50) AS text FROM documents WHERE source = 'src3'")
+@query("SELECT conv_id || '.' || turn AS entry_id, text FROM conversations WHERE role = 'user'")
 def c10_eav_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("entry_id"), "source", F.left("text", F.lit(50)).alias("text"))
-    meta = docs.select("entry_id", F.explode(F.create_map(F.lit("course_id"), F.col("source"), F.lit("document"), F.col("text"))).alias("key", "string_value"))
-    return T.eav_to_rows(docs, meta, "course_id", "document", "src3")
+    """Of all turns, kept as entries with metadata, those that the user says."""
+    turns = Tables(spark, sf_dir).conversations.select(F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("entry_id"), "role", "text")
+    meta = turns.select("entry_id", F.explode(F.create_map(F.lit("role"), F.col("role"), F.lit("document"), F.col("text"))).alias("key", "string_value"))
+    return T.eav_to_rows(turns, meta, "role", "document", "user")
 
 
 @query("SELECT doc_id AS entry_id, text FROM documents")
@@ -205,12 +209,13 @@ def d03_chunk_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.chunk_size_stats(Tables(spark, sf_dir).documents.select(F.col("source").alias("course_id"), F.col("text").alias("content")))
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS pos FROM orders ORDER BY pos LIMIT 20")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS pos FROM orders")
 def f02_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report's 20 newest rows."""
-    top = T.newest_first(Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").limit(20)
-    rows = top.agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("d"), "o_orderkey"))).alias("r"))
-    return rows.select(F.posexplode("r").alias("p", "x")).select("x.o_orderkey", (F.col("p") + 1).cast("long").alias("pos"))
+    """All orders with their place: each sorted partition numbers its own rows, behind the counts of those before it."""
+    rows = settled(T.newest_first(Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).alias("_part")
+    before = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n")).withColumn("_before", F.sum("n").over(Window.orderBy("_part")) - F.col("n"))  # one row per partition
+    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").select("o_orderkey", (F.col("_before") + F.col("_at") - F.shiftleft("_part", 33) + 1).alias("pos"))
 
 
 RETRIEVAL_SQL = """q AS (SELECT vec_id AS query_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0),
@@ -223,8 +228,6 @@ RETRIEVAL_SQL = RETRIEVAL_SQL.replace("(label = want)", "(WHERE top.label = want
 
 @query(f"""WITH {RETRIEVAL_SQL} SELECT round(avg(h / n), 6) AS recall_at_k, avg((h > 0)::int) AS hit_at_k, round(avg(rr), 6) AS mrr, round(avg(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, 8) + 1) AS t(i))), 6) AS ndcg, round(avg(h / 8), 6) AS context_precision FROM m""")
 def d07_retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lectern.operators.search import search
-
     chunks = Tables(spark, sf_dir).vectors().withColumn("course_id", F.lit("all"))
     queries = chunks.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "course_id", F.lit("").alias("chapter"), F.lit("").alias("source_type"), F.lit(None).cast("boolean").alias("verified_only"), "embedding", F.col("label").alias("want"))
     found = search(chunks, queries, 8).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved"))
@@ -234,17 +237,22 @@ def d07_retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
 
 
-@query("""WITH t AS (SELECT doc_id, lower(text) AS c FROM documents WHERE source IN ('src1', 'src2')), q AS (SELECT * FROM (VALUES (1, 'the', 'and'), (2, 'zzz', 'qqq'), (3, 'die', 'und')) AS q(query_id, a, b)),
-r AS (SELECT query_id, doc_id, a, b, c, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM q, t), top AS (SELECT * FROM r WHERE rank <= 8)
-SELECT query_id, count(*) AS n_retrieved, greatest(1, count(*) FILTER (WHERE contains(c, a) AND contains(c, b))) AS n_expected, count(*) FILTER (WHERE contains(c, a) AND contains(c, b)) = 0 AS missing FROM top GROUP BY ALL""")
-def b07_relevance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
+LABELLED_SQL = f"{RETRIEVAL_SQL}, hits AS (SELECT query_id, rank, contains('label ' || label || '.', 'label ' || want || '.') AND vec_id % 2 = 1 AS hit FROM top)"
+LABELS_SQL = "SELECT query_id, count(*) AS n_retrieved, greatest(1, count(*) FILTER (WHERE hit)) AS n_expected, count(*) FILTER (WHERE hit) = 0 AS missing FROM hits GROUP BY ALL"
+
 
-    docs = Tables(spark, sf_dir).documents.where("source in ('src1', 'src2')")
-    cases = spark.sql("SELECT * FROM VALUES (1, 'one', array('The', 'and')), (2, 'two', array('zzz', 'QQQ')), (3, 'three', array('DIE', 'und')) AS t(query_id, query, terms)")
-    top = docs.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("doc_id"))).where("rank <= 8")
-    results = cases.select("query_id").crossJoin(top.select("rank", F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content")))
-    out = M.relevance_labels(results, cases)
+def described_search(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(results, cases): the 8 nearest of all vectors to every 50th, each described by its label and kind; a relevant one has the query's label and is odd."""
+    chunks = t.vectors().withColumn("course_id", F.lit("all")).withColumn("content", F.concat(F.lit("Label "), F.col("label").cast("string"), F.lit(". "), "source_type"))
+    asked = chunks.where("vec_id % 50 = 0").withColumn("query_id", F.col("vec_id"))
+    queries = asked.select("query_id", "course_id", F.lit("").alias("chapter"), F.lit("").alias("source_type"), F.lit(None).cast("boolean").alias("verified_only"), "embedding")
+    return search(chunks, queries, 8), asked.select("query_id", F.col("content").alias("query"), F.array(F.concat(F.lit("LABEL "), F.col("label").cast("string"), F.lit(".")), F.lit("Odd")).alias("terms"))
+
+
+@query(f"WITH {LABELLED_SQL} {LABELS_SQL}")
+def b07_relevance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of what a search of all vectors finds."""
+    out = M.relevance_labels(*described_search(Tables(spark, sf_dir)))
     return out.select("query_id", F.size("retrieved").cast("long").alias("n_retrieved"), F.size("expected").cast("long").alias("n_expected"), F.exists("expected", lambda x: x.startswith("__missing__:")).alias("missing"))
 
 

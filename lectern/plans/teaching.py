@@ -332,12 +332,24 @@ def i06_write_back_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {EXAM_SQL}, o AS (SELECT *, CASE question_type WHEN 'single_choice' THEN chr(10) || 'A. Core meaning of ' || point || chr(10) || 'B. Unrelated concept' || chr(10) || 'C. Random guess' || chr(10) || 'D. Incorrect statement' WHEN 'multiple_choice' THEN chr(10) || 'A. Understand ' || point || chr(10) || 'B. Apply ' || point || chr(10) || 'C. Unrelated' || chr(10) || 'D. Clearly wrong' ELSE '' END AS options,
-CASE question_type WHEN 'single_choice' THEN 'A' WHEN 'multiple_choice' THEN 'A,B' ELSE 'true' END AS answer FROM qs WHERE question_type <> 'short_answer')
-SELECT 'review-' || exam_id || '.' || pos || '-question-' || exam_id || '.' || pos AS chunk_id, question_type AS section, point AS title, question_text || chr(10) || 'Answer: ' || answer AS head, options FROM o""")
+CASE question_type WHEN 'single_choice' THEN 'A' WHEN 'multiple_choice' THEN 'A,B' WHEN 'judgement' THEN 'true' ELSE 'A complete answer should define ' || point || ', describe its use, and include one course example.' END AS answer,
+CASE question_type WHEN 'single_choice' THEN 'The course context identifies ' || point || ' as the assessed knowledge point.' WHEN 'multiple_choice' THEN 'A and B cover understanding and application of ' || point || '.' WHEN 'judgement' THEN 'The retrieved course context provides material related to ' || point || '.' ELSE 'The answer should cover definition, application scenario, and source-grounded example.' END AS why FROM qs)
+SELECT 'review-' || exam_id || '.' || pos || '-question-' || exam_id || '.' || pos AS chunk_id, question_type AS section, point AS title, question_text || chr(10) || 'Answer: ' || answer || chr(10) || 'Explanation: ' || why || options AS content FROM o""")
 def i06_write_back_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    q = E.generate_questions(exam_blueprints(t)).where("question_type <> 'short_answer'").withColumn("question_id", F.concat_ws(".", F.col("exam_id").cast("string"), F.col("pos").cast("string"))).withColumn("course_id", F.lit("c"))
+    q = E.generate_questions(exam_blueprints(t)).withColumn("question_id", F.concat_ws(".", F.col("exam_id").cast("string"), F.col("pos").cast("string"))).withColumn("course_id", F.lit("c"))
     reviews = q.select(F.col("question_id").alias("review_id"), F.lit("question").alias("target_type"), F.col("question_id").alias("target_id"), "course_id", F.lit("approved").alias("review_status"))
     lessons = _lessons(t).where("false")
     w = L.write_back(reviews, lessons, L.outline_slides(lessons), q)
-    return w.select("chunk_id", "section", "title", F.substring_index("content", "\nExplanation: ", 1).alias("head"), F.regexp_extract("content", r"(?s)\nExplanation: [^\n]*(.*)$", 1).alias("options"))
+    return w.select("chunk_id", "section", "title", "content")
+
+
+@query(f"""WITH {SLIDE_SQL} SELECT 'review-' || slides.e || '-slide-' || slide_index AS chunk_id, 'reviewed_ppt' AS source_type, 'slide-' || slide_index AS section, slides.title,
+l.course || chr(10) || l.ch || chr(10) || slides.title || chr(10) || array_to_string(CASE kind WHEN 'title' THEN [l.total || ' sessions'] WHEN 'activity' THEN ['Discuss a course example.', 'Summarize source-backed reasoning.'] WHEN 'references' THEN list_transform(refs2[1:8], lambda r: 'source chunk=' || r)
+WHEN 'objectives' THEN list_transform(sp[1:3], lambda x: 'Explain ' || x) ELSE sp END, chr(10)) AS content
+FROM slides JOIN lessons l ON l.e = slides.e JOIN refl ON refl.e = slides.e LEFT JOIN sessions ON sessions.e = slides.e AND sessions.s = slides.s WHERE slides.e % 2 = 0""")
+def i06_write_back_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lessons = _lessons(Tables(spark, sf_dir))
+    reviews = lessons.select(F.col("lesson_id").alias("review_id"), F.lit("ppt_outline").alias("target_type"), F.col("lesson_id").alias("target_id"), "course_id", F.when(F.col("lesson_id") % 2 == 0, "approved").otherwise("rejected").alias("review_status"))
+    questions = spark.createDataFrame([], "question_id string, course_id string, question_type string, knowledge_point string, question_text string, correct_answer string, explanation string, options array<struct<key:string,value:string>>")
+    return L.write_back(reviews, lessons, L.outline_slides(lessons), questions).select("chunk_id", "source_type", "section", "title", "content")
