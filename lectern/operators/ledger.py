@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +14,34 @@ from lectern.functions.text import is_future
 TERMINAL = ("completed", "needs_review", "failed")
 
 
+class Ledger:
+    """The ledger row of one (operation, key): what its last execution is known to do, and when (in microseconds) it ends and its lease runs out."""
+
+    def __init__(self, lease_us: int, known=None, outcome=None, done_us=None, lease=None, attempt=0):
+        self.lease_us, self.known, self.outcome, self.done_us, self.lease, self.attempt = lease_us, known, outcome, done_us, lease, attempt
+
+    def row(self) -> tuple:
+        return self.known, self.outcome, self.done_us, self.lease, self.attempt
+
+    def decide(self, request_hash: str | None, at_us: int | None, outcome: str | None, done_us: int | None) -> str:
+        """The decision on the next request; one that executes changes the row."""
+        ended = self.done_us is not None and at_us is not None and self.done_us <= at_us
+        if self.attempt == 0:
+            decision = "execute"
+        elif self.known is not None and request_hash is not None and self.known != request_hash:
+            decision = "conflict"
+        elif ended:
+            decision = "replay" if self.outcome == "succeeded" else "reclaim"
+        else:
+            decision = "busy" if self.lease is not None and at_us is not None and self.lease > at_us else "reclaim"
+        if self.known is None:
+            self.known = request_hash
+        if decision in ("execute", "reclaim"):
+            self.outcome, self.done_us, self.attempt = outcome, done_us, self.attempt + 1
+            self.lease = None if at_us is None else at_us + self.lease_us
+        return decision
+
+
 def decide_requests(requests: DataFrame, lease_seconds: int = 300) -> DataFrame:
     """Requests (request_id, operation, idempotency_key, request_hash, at, outcome, done_at) with decision and attempt.
 
@@ -18,29 +49,27 @@ def decide_requests(requests: DataFrame, lease_seconds: int = 300) -> DataFrame:
     hash is a conflict; a success replays, or is reclaimed if its outcome was resource_failed; while
     a lease runs the key is busy; anything else is reclaimed.  outcome and done_at are what happens
     if the request does execute (null: it never ends, and its lease runs out).
+
+    Each task reads its sorted requests in Arrow batches and holds one ledger row, however many requests a key has.
     """
-    ended = F.coalesce("done_at", F.lit(None).cast("timestamp"))
-    keyed = requests.where("idempotency_key is not null")
-    item = F.struct("at", "request_id", "request_hash", "outcome", ended.alias("done_at"))
-    first = F.struct(F.lit(None).cast("string").alias("hash"), F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("timestamp").alias("done_at"), F.lit(None).cast("timestamp").alias("lease"), F.lit(0).alias("attempt"), F.array().cast("array<struct<request_id:bigint,decision:string,attempt:int>>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        ended_before = s["done_at"].isNotNull() & (s["done_at"] <= r["at"])
-        decision = (
-            F.when(s["attempt"] == 0, "execute").when(s["hash"] != r["request_hash"], "conflict")
-            .when(ended_before & (s["outcome"] == "succeeded"), "replay").when(ended_before, "reclaim")
-            .when(s["lease"] > r["at"], "busy").otherwise("reclaim")
-        )
-        runs = decision.isin("execute", "reclaim")
-        attempt = s["attempt"] + F.when(runs, 1).otherwise(0)
-        return F.struct(
-            F.coalesce(s["hash"], r["request_hash"]).alias("hash"), F.when(runs, r["outcome"]).otherwise(s["outcome"]).alias("outcome"), F.when(runs, r["done_at"]).otherwise(s["done_at"]).alias("done_at"),
-            F.when(runs, r["at"] + F.make_interval(secs=F.lit(lease_seconds))).otherwise(s["lease"]).alias("lease"), attempt.cast("int").alias("attempt"),
-            F.concat(s["out"], F.array(F.struct(r["request_id"].alias("request_id"), decision.alias("decision"), attempt.cast("int").alias("attempt")))).alias("out"))
-
-    folded = keyed.groupBy("operation", "idempotency_key").agg(F.array_sort(F.collect_list(item)).alias("_r")).select("operation", "idempotency_key", F.explode(F.aggregate("_r", first, step)["out"]).alias("_o"))
+    keyed = requests.where("idempotency_key is not null").select("operation", "idempotency_key", "request_id", "request_hash", F.unix_micros("at").alias("at_us"), "outcome", F.unix_micros(F.col("done_at").cast("timestamp")).alias("done_us"))
+    ordered = keyed.repartition("operation", "idempotency_key").sortWithinPartitions("operation", "idempotency_key", "at_us", "request_id")
+    schema = keyed.select("operation", "idempotency_key", "request_id").schema.add("decision", "string").add("attempt", "integer")
+    lease_us = lease_seconds * 1_000_000
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ledger = None, Ledger(lease_us)
+        for batch in batches:
+            decisions, attempts = [], []
+            for op, key, request_hash, at_us, outcome, done_us in zip(*(batch.column(c).to_pylist() for c in ("operation", "idempotency_key", "request_hash", "at_us", "outcome", "done_us"))):
+                if (op, key) != at:
+                    at, ledger = (op, key), Ledger(lease_us)
+                decisions.append(ledger.decide(request_hash, at_us, outcome, done_us))
+                attempts.append(ledger.attempt)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("operation", "idempotency_key", "request_id")), pa.array(decisions, pa.string()), pa.array(attempts, pa.int32())], names=schema.names)
+
     free = requests.where("idempotency_key is null").select("operation", "idempotency_key", "request_id", F.lit("execute").alias("decision"), F.lit(0).alias("attempt"))
-    return folded.select("operation", "idempotency_key", "_o.*").unionByName(free)
+    return ordered.mapInArrow(decided, schema).unionByName(free)
 
 
 def retryable_records(records: DataFrame, tasks: DataFrame) -> DataFrame:

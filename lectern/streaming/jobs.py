@@ -13,6 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.window import Window
 
 from lectern.operators.chunking import chunk_sections
+from lectern.operators.ledger import Ledger
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -98,24 +99,12 @@ class RequestLedger(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(list(rows)).sort_values(["at_us", "request_id"])
-        known, outcome, done, lease, attempt = self.state.get() if self.state.exists() else (None, None, None, None, 0)
+        ledger = Ledger(self.lease_us, *(self.state.get() if self.state.exists() else ()))
         out = []
         for r in batch.itertuples(index=False):
-            ended = done is not None and done <= r.at_us
-            if attempt == 0:
-                decision = "execute"
-            elif known != r.request_hash:
-                decision = "conflict"
-            elif ended:
-                decision = "replay" if outcome == "succeeded" else "reclaim"
-            else:
-                decision = "busy" if lease > r.at_us else "reclaim"
-            if decision in ("execute", "reclaim"):
-                known = known if known is not None else r.request_hash
-                outcome, done = r.outcome, None if pd.isna(r.done_us) else int(r.done_us)
-                lease, attempt = int(r.at_us) + self.lease_us, attempt + 1
-            out.append((key[0], key[1], int(r.request_id), decision, attempt))
-        self.state.update((known, outcome, done, lease, attempt))
+            decision = ledger.decide(r.request_hash, int(r.at_us), r.outcome, None if pd.isna(r.done_us) else int(r.done_us))
+            out.append((key[0], key[1], int(r.request_id), decision, ledger.attempt))
+        self.state.update(ledger.row())
         yield pd.DataFrame(out, columns=["operation", "idempotency_key", "request_id", "decision", "attempt"])
 
     def close(self) -> None:
