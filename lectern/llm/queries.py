@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm.bpe import op13_byte_bpe
 from lectern.llm.chat import op1_chat_format
 from lectern.llm.dedup import OP9_SQL, op9_exact_dedup
 from lectern.llm.mix import op3_mix_sources
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repetition_rules": op8_repetition_rules,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
