@@ -25,26 +25,23 @@ WORDS_AT_ONCE = 300_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "repeat_words", "longest_repeat", "n_maximal")
 
 
-def longest_repeats(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each position, the length of the longest run of words from there that begins elsewhere in the same text too.
+def suffix_ranks(words: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """For each k the ranks of all positions by the 2**k words from there, up to the first k at which none are tied.
 
     ``words`` holds the word ids of several texts in a row, ``ends`` for each position the end of its
-    text.  The suffix array comes from prefix doubling that sorts only what is still tied, the
-    common prefix of neighbours from the ranks of all doublings.
+    text.  Texts don't tie with each other.  A rank is the number of positions that come before its
+    tie, so the last ranks give the suffix array.  Doubling sorts only what is still tied.
     """
     n = len(words)
-    if not n:
-        return np.zeros(0, dtype=np.int64)
-    at = np.arange(n)
-    width = int(words.max()) + 1
-    key = ends.astype(np.int64) * width + words  # texts don't tie with each other
+    width = int(words.max(initial=0)) + 1
+    key = ends.astype(np.int64) * width + words
     order = np.argsort(key, kind="stable")
-    fresh = np.r_[True, key[order][1:] != key[order][:-1]]
+    fresh = np.r_[True, key[order][1:] != key[order][:-1]][:n]
     starts = np.flatnonzero(fresh)
     rank = np.empty(n, dtype=np.int32)
     rank[order] = starts[np.cumsum(fresh) - 1]
     levels, k = [rank], 1
-    tied = np.sort(order[~(fresh & np.r_[fresh[1:], True])])
+    tied = np.sort(order[~(fresh & np.r_[fresh[1:], True][:n])])
     while len(tied):
         ahead = tied + k
         follow = np.where(ahead < ends[tied], rank[np.minimum(ahead, n - 1)].astype(np.int64) + 1, 0)
@@ -60,8 +57,20 @@ def longest_repeats(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
         tied = tied[~(part & np.r_[part[1:], True])]
         levels.append(rank)
         k *= 2
+    return levels
+
+
+def longest_repeats(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each position, the length of the longest run of words from there that begins elsewhere in the same text too.
+
+    The common prefix of neighbours in the suffix array comes from the ranks of all doublings.
+    """
+    n = len(words)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    levels = suffix_ranks(words, ends)
     order = np.empty(n, dtype=np.int64)
-    order[rank] = at
+    order[levels[-1]] = np.arange(n)
     a, b = order[:-1], order[1:]
     same = ends[a] == ends[b]
     a, b = a[same], b[same]
