@@ -18,9 +18,9 @@ MULTI = "byte_bpe_multi_50k.tiktoken"
 #: Words of the documents that make a block; a longer document is a block of its own.
 BLOCK_WORDS = 1 << 22
 #: Words that are put together at a time.
-WORDS_AT_ONCE = 1 << 19
+WORDS_AT_ONCE = 1 << 18
 #: Distinct words whose ids a task remembers; beyond that it begins anew.
-WORDS_KEPT = 1 << 21
+WORDS_KEPT = 1 << 19
 
 
 #: Begins a stretch that the library splits itself.  It is unassigned for ever, so no piece of a text without unassigned characters holds it.
@@ -55,6 +55,10 @@ def ranks_encoding(name: str):
 
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers in 7 bits a byte, lowest first, the high bit set on all but a number's last byte."""
+    return b"".join(_packed(numbers[i : i + WORDS_AT_ONCE]) for i in range(0, len(numbers), WORDS_AT_ONCE))
+
+
+def _packed(numbers: np.ndarray) -> bytes:
     n = numbers.astype(np.uint64)
     size = np.ones(len(n), dtype=np.int64)
     for k in range(1, 10):
@@ -68,15 +72,18 @@ def packed(numbers: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
+def unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
     """What :func:`packed` was given."""
-    b = np.frombuffer(data, dtype=np.uint8)
-    if not len(b):
-        return np.zeros(0, dtype=np.int64)
-    ends = np.flatnonzero(b < 128)
-    starts = np.r_[0, ends[:-1] + 1]
-    place = np.arange(len(b)) - np.repeat(starts, ends - starts + 1)
-    return np.add.reduceat((b & 127).astype(np.int64) << (7 * place), starts)
+    b, out, at = np.frombuffer(data, dtype=np.uint8), [np.zeros(0, dtype=kind)], 0
+    while at < len(b):
+        part = b[at : at + WORDS_AT_ONCE + 10]
+        ends = np.flatnonzero(part < 128)  # the last number of a part may be cut off
+        starts = np.r_[0, ends[:-1] + 1]
+        part = part[: ends[-1] + 1]
+        place = np.arange(len(part)) - np.repeat(starts, ends - starts + 1)
+        out.append(np.add.reduceat((part & 127).astype(np.int64) << (7 * place), starts).astype(kind))
+        at += len(part)
+    return np.concatenate(out)
 
 
 def small(*parts: bytes) -> bytes:
@@ -96,26 +103,22 @@ def large(data: bytes) -> list[bytes]:
     return out
 
 
-def _block(number: int, keys: list[pa.Array], sizes: list[np.ndarray], pieces: list[pa.Array], targets: int) -> Iterator[tuple]:
+def _block(number: int, keys: list[pa.Array], sizes: list[np.ndarray], pieces: list[pa.DictionaryArray], targets: int) -> Iterator[tuple]:
     """The rows of a block: its distinct words by where they go, then its documents as sequences of word numbers."""
-    coded = pa.chunked_array(pieces, pa.string()).combine_chunks().dictionary_encode()
-    words = coded.dictionary.cast(pa.binary())
-    if len(words):
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")  # frequent words get small numbers
-        rank = np.empty(len(words), dtype=np.int64)
-        rank[order] = np.arange(len(words))
-        sequence = packed(rank[index])
-        bucket = np.fromiter((zlib.crc32(w) % targets for w in words.to_pylist()), dtype=np.int64, count=len(words))[order]
-        by = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-        for mine in np.split(by, edges[1:]):
+    coded = pa.chunked_array(pieces, pieces[0].type).unify_dictionaries()
+    words = coded.chunk(0).dictionary.cast(pa.binary())
+    order = np.argsort(-sum(np.bincount(x.indices, minlength=len(words)) for x in coded.chunks), kind="stable")  # frequent words get small numbers
+    rank = np.empty(len(words), dtype=np.int32)
+    rank[order] = np.arange(len(words))
+    sequence = b"".join(packed(rank[x.indices]) for x in coded.chunks)
+    bucket = np.fromiter((zlib.crc32(w) % targets for w in words.to_pylist()), dtype=np.int64, count=len(words))[order]
+    by = np.argsort(bucket, kind="stable")
+    for mine in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+        if len(mine):
             own = words.take(pa.array(order[mine]))
             offsets = np.frombuffer(own.buffers()[1], dtype=np.int32, count=len(own) + 1)
             text = own.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]]
             yield int(bucket[mine[0]]), number, None, small(packed(np.diff(mine, prepend=0)), packed(np.diff(offsets)), text), None
-    else:
-        sequence = b""
     yield number % targets, number, pa.concat_arrays(keys), small(sequence), np.concatenate(sizes)
 
 
@@ -162,7 +165,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: str =
                     part = batch.slice(at, end - at)
                     held[0].append(part.column(0))
                     held[1].append(sizes[at:end])
-                    held[2].append(part.column(1).flatten())
+                    held[2].append(part.column(1).flatten().dictionary_encode())
                     words += int(sizes[at:end].sum())
                     at = end
                 if at < len(sizes):
@@ -202,17 +205,17 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: str =
             for i, value in enumerate(batch.column("packed").to_pylist()):
                 if batch.column("docs").is_valid()[i].as_py():
                     docs, sizes = batch.column("docs")[i].values, batch.column("sizes")[i].values.to_numpy()
-                    sequence = unpacked(large(value)[0]) if value else None
+                    sequence = unpacked(large(value)[0], np.int32)
                 else:
                     parts.append(large(value))
         numbers = [np.cumsum(unpacked(n)) for n, _, _ in parts]
-        count = np.zeros(sum(map(len, numbers)), dtype=np.int64)
+        count = np.zeros(sum(map(len, numbers)), dtype=np.int32)
         for n, (_, c, _) in zip(numbers, parts, strict=True):
             count[n] = unpacked(c)
-        begin = np.cumsum(count) - count
+        begin = np.cumsum(count, dtype=np.int64) - count
         ids = np.zeros(int(count.sum()), dtype=np.int32)
         for n, (_, _, flat) in zip(numbers, parts, strict=True):
-            ids[_spans(begin[n], count[n])] = unpacked(flat)
+            ids[_spans(begin[n], count[n])] = unpacked(flat, np.int32)
         out, edges, at = [], np.r_[0, np.cumsum(sizes)], 0
         while at < len(sizes):
             end = max(at + 1, int(np.searchsorted(edges, edges[at] + WORDS_AT_ONCE, side="right")) - 1)
@@ -230,8 +233,8 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: str =
 
 def _spans(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The positions of all spans, one after the other."""
-    total = int(count.sum())
-    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(total)
+    ends = np.cumsum(count, dtype=np.int64)
+    return np.repeat(begin - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def token_bytes(name: str = MULTI) -> pa.Array:
