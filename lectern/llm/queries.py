@@ -13,6 +13,7 @@ from lectern.llm.mix import op3_mix_sources
 from lectern.llm.neardup import op6_ngram_jaccard
 from lectern.llm.pack import op7_tiered_packing
 from lectern.llm.periodic import OP12_SQL, op12_periodic_runs
+from lectern.llm.ranked import OP11_SQL, op11_ranked_search
 from lectern.llm.repetition import op8_repetition_rules
 from lectern.llm.shard import op2_rendezvous_shards
 from lectern.llm.tokens import op10_token_counts
@@ -30,7 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repetition_rules": op8_repetition_rules,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_ranked_search": op11_ranked_search,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_byte_bpe": op13_byte_bpe,
 }
-SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op12_periodic_runs": OP12_SQL}
+SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op11_ranked_search": OP11_SQL, "op12_periodic_runs": OP12_SQL}
