@@ -258,20 +258,20 @@ def decode(df: DataFrame, ids: str = "ids", ranks: str = MULTI) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(ranks)
         for batch in batches:
-            lists, out, at = batch.column(1), [], 0
-            sizes = np.diff(lists.offsets.to_numpy())
-            edges = np.r_[0, np.cumsum(sizes)]
+            lists, at = batch.column(1), 0
+            edges = np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))]
             flat = lists.flatten()
-            while at < len(sizes):
+            while at < len(lists):
                 end = max(at + 1, int(np.searchsorted(edges, edges[at] + 4 * WORDS_AT_ONCE, side="right")) - 1)
                 found = table.take(flat[edges[at] : edges[end]])
                 if found.null_count:
                     raise ValueError("an id is not in the vocabulary")
-                offsets = np.frombuffer(found.buffers()[1], dtype=np.int32, count=len(found) + 1) if len(found) else np.zeros(1, dtype=np.int32)
-                cut = offsets[edges[at : end + 1] - edges[at]]
-                out.append(pa.Array.from_buffers(pa.binary(), end - at, [None, pa.py_buffer(np.ascontiguousarray(cut, dtype=np.int32)), found.buffers()[2] or pa.py_buffer(b"")]) if len(found) else pa.array([b""] * (end - at), pa.binary()))
+                decoded = pa.array([b""] * (end - at), pa.binary())
+                if len(found):
+                    cut = np.frombuffer(found.buffers()[1], dtype=np.int32, count=len(found) + 1)[edges[at : end + 1] - edges[at]]
+                    decoded = pa.Array.from_buffers(pa.binary(), end - at, [None, pa.py_buffer(np.ascontiguousarray(cut)), found.buffers()[2]])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), decoded], schema.names)
                 at = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.concat_arrays(out) if out else pa.array([], pa.binary())], schema.names)
 
     return carried.mapInArrow(run, schema).select("_row.*", "decoded")
 
