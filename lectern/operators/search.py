@@ -5,10 +5,14 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,10 +20,13 @@ from pyspark.sql.window import Window
 
 from lectern.functions.text import TOKEN, hash_tokens, strip
 from lectern.functions.vectors import distance_to_score, l2_squared, token_slot
+from lectern.operators.lineage import settled
 
 MOST = 20
 #: A queries table of at most so many rows, and bytes of vectors, is sent to every task.
 QUERIES_SENT, BYTES_SENT = 4_000, 32 << 20
+#: Rows of a tile on either side, and blocks of chunks that share a salt.
+CHUNK_BLOCK, QUERY_BLOCK, SALT_BLOCKS = 1024, 256, 64
 _ASKED = ("query_id", "course_id", "chapter", "source_type", "verified_only", "embedding")
 
 
@@ -72,10 +79,10 @@ def embed(df: DataFrame, text: str = "content", output: str = "embedding", dim:
     return df.withColumn(output, vectors(F.col(text)))
 
 
-def small_side(df: DataFrame, most: int = QUERIES_SENT, most_bytes: int = BYTES_SENT) -> bool:
-    """Whether a queries table is so small that it can be sent to every task: in rows and in bytes of its vectors."""
-    n, numbers = df.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
-    return n <= most and 8 * numbers <= most_bytes
+def small_side(df: DataFrame) -> bool:
+    """Whether a queries table, which is saved, is so small that it can be sent to every task: in rows and in bytes of its vectors."""
+    n, numbers = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
+    return n <= QUERIES_SENT and 8 * numbers <= BYTES_SENT
 
 
 def _nearest(rows: pd.DataFrame, asked: pd.DataFrame, k: int, digits: int | None) -> pd.DataFrame:
@@ -117,13 +124,16 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 5, distance: Callable
 
     A queries table of bounded rows and bytes is sent to the chunks: each task compares Arrow batches
     of its chunks with it and passes on its own k nearest of each query, so however large a course
-    is, only those are shuffled.  A larger table, or another distance, is joined by course.
+    is, only those are shuffled.  A larger table meets the chunks in tiles (:func:`_tiled`).  With
+    another distance the two are joined by course.
     """
     if not 1 <= k <= MOST:
         raise ValueError(f"k must be between 1 and {MOST}")
     own = "top_k" in queries.columns
-    if distance is None and small_side(queries := queries.select(*_ASKED, *["top_k"] * own)):
-        found = _compared(chunks, queries if own else queries.withColumn("top_k", F.lit(k)), MOST if own else k, digits)
+    if distance is None:
+        asked = queries.select(*_ASKED, *["top_k"] * own).where("embedding is not null")
+        asked = settled(asked if own else asked.withColumn("top_k", F.lit(k)))  # counted, then sent or cut into blocks
+        found = (_compared if small_side(asked) else _tiled)(chunks, asked, MOST if own else k, digits)
     else:
         joined = chunks.alias("c").join(queries.alias("q"), kb_filter())
         far = (distance or l2_squared)(F.col("c.embedding"), F.col("q.embedding"))
@@ -135,7 +145,7 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 5, distance: Callable
 
 def _compared(chunks: DataFrame, queries: DataFrame, k: int, digits: int | None) -> DataFrame:
     """The k nearest chunks of each query within each task."""
-    asked = queries.where("embedding is not null").toPandas()  # bounded by small_side
+    asked = queries.toPandas()  # bounded by small_side
     asked["embedding"] = [np.asarray(x, dtype=np.float64) for x in asked["embedding"]]
     sent = chunks.sparkSession.sparkContext.broadcast(asked)
     carried = [c for c in chunks.columns if c not in ("query_id", "top_k", "distance")]
@@ -157,6 +167,90 @@ def _compared(chunks: DataFrame, queries: DataFrame, k: int, digits: int | None)
     return chunks.mapInPandas(run, schema)
 
 
+def _blocks(df: DataFrame, rows: int) -> DataFrame:
+    """(course_id, block, rows): the rows of each course packed into arrays of at most ``rows`` structs, within each task, so nothing is shuffled."""
+    df = df.where("course_id is not null and embedding is not null")
+    item = T.StructType([f for f in df.schema])
+    schema = T.StructType([df.schema["course_id"], T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(item))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, held, waiting = TaskContext.get().partitionId() << 33, defaultdict(list), 0
+        for batch in chain(batches, (None,)):
+            if batch is not None and len(batch):
+                table = pa.Table.from_batches([batch])
+                for course, at in pd.Series(batch.column("course_id").to_pylist()).groupby(batch.column("course_id").to_pylist()).indices.items():
+                    held[course].append(table.take(pa.array(at)))
+                waiting += len(batch)
+            for course in list(held) if batch is None or waiting > 64 * rows else [c for c, parts in held.items() if sum(map(len, parts)) >= rows]:
+                whole = pa.concat_tables(held.pop(course)).combine_chunks()
+                waiting -= len(whole)
+                for at in range(0, len(whole), rows):
+                    part = whole.slice(at, rows).combine_chunks()
+                    packed = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns], names=part.column_names)
+                    lists = pa.ListArray.from_arrays(pa.array([0, len(packed)], pa.int32()), packed)
+                    yield pa.RecordBatch.from_arrays([pa.array([course], part.schema.field("course_id").type), pa.array([number], pa.int64()), lists], names=schema.names)
+                    number += 1
+
+    return df.mapInArrow(run, schema)
+
+
+def _tiled(chunks: DataFrame, queries: DataFrame, k: int, digits: int | None) -> DataFrame:
+    """The k nearest chunks of each query within each tile: a block of chunks against a block of queries of their course.
+
+    A tile takes one matrix product; those that it can't tell from the k-th are measured exactly.
+    Blocks of a large course are salted, and its query blocks copied to each salt, so no task
+    has a whole course; within a task the join gives one tile after the other.
+    """
+    carried = [c for c in chunks.columns if c not in ("query_id", "top_k", "distance")]
+    cut = settled(_blocks(chunks.select(carried), CHUNK_BLOCK))
+    large = cut.groupBy("course_id").agg(F.ceil(F.count(F.lit(1)) / SALT_BLOCKS).cast("long").alias("_salts")).where("_salts > 1")
+    salts = F.coalesce("_salts", F.lit(1))
+    left = cut.join(large, "course_id", "left").select("course_id", F.pmod(F.xxhash64("block"), salts).alias("salt"), F.col("rows").alias("c"))
+    right = _blocks(queries, QUERY_BLOCK).join(large, "course_id", "left").select("course_id", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.col("rows").alias("q"))
+    kinds = {f.name: f.dataType for f in queries.schema}
+    schema = T.StructType([f for f in chunks.select(carried).schema if f.name != "embedding"]).add("query_id", kinds["query_id"]).add("top_k", kinds["top_k"]).add("distance", "double")
+
+    def vectors(rows: pa.StructArray) -> np.ndarray:
+        flat = rows.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return flat.reshape(len(rows), -1)
+
+    def matching(c: pa.StructArray, q: pa.StructArray) -> np.ndarray:
+        fits = np.ones((len(q), len(c)), dtype=bool)
+        for name, asked in (("chapter", "chapter"), ("source_type", "source_type"), ("verified", "verified_only")):
+            have, want = c.field(name).to_pylist(), q.field(asked).to_pylist()
+            code = {v: i for i, v in enumerate(dict.fromkeys([*have, *want]))}
+            free = np.array([w is None or w == "" for w in want])
+            fits &= free[:, None] | (np.array([code[w] for w in want])[:, None] == np.array([code[h] for h in have])[None, :])
+        return fits
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                c, q = batch.column(0)[i].values, batch.column(1)[i].values
+                c = c.take(pc.array_sort_indices(c.field("chunk_id")))
+                x, y = vectors(c), vectors(q)
+                xx, yy = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+                fits = matching(c, q)
+                near = np.where(fits, xx[None, :] + yy[:, None] - 2 * (y @ x.T), np.inf)
+                slack = 1e-9 * (1 + yy + xx.max(initial=0)) + (0 if digits is None else 10.0**-digits)
+                last = np.partition(near, min(k, len(c)) - 1, axis=1)[:, min(k, len(c)) - 1]
+                a, b = np.nonzero(fits & (near <= (last + slack)[:, None]))
+                gap = x[b] - y[a]
+                distance = np.einsum("ij,ij->i", gap, gap)
+                if digits is not None:
+                    distance = np.round(distance, digits)
+                by = np.lexsort((b, distance, a))
+                a, b, distance = a[by], b[by], distance[by]
+                begin = np.flatnonzero(np.diff(a, prepend=-1))
+                best = np.arange(len(a)) - np.repeat(begin, np.diff(np.r_[begin, len(a)])) < k
+                rows, asked = c.take(pa.array(b[best])), q.take(pa.array(a[best]))
+                yield pa.RecordBatch.from_arrays([*[rows.field(n) for n in schema.names[:-3]], asked.field("query_id"), asked.field("top_k"), pa.array(distance[best])], names=schema.names)
+
+    return left.join(right, ["course_id", "salt"]).select("c", "q").mapInArrow(compare, schema)
+
+
 def search_result(found: DataFrame) -> DataFrame:
     """What a search shows of its chunks: missing ids empty, unverified unless said."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.window import Window
 
 from lectern.operators.chunking import chunk_sections
+from lectern.operators.kb import build_kb, document_digests
 from lectern.operators.ledger import Ledger
+from lectern.operators.lineage import settled
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,60 +28,106 @@ def latest_documents(documents: DataFrame) -> DataFrame:
 
 def build_chunks(documents: DataFrame) -> DataFrame:
     """Batch form: chunks of the last version of each document."""
-    rows = latest_documents(documents).withColumn("section_pos", F.lit(0)).withColumn("page", F.lit(None).cast("int")).withColumn("title", F.lit(None).cast("string"))
-    return chunk_sections(rows)
+    return chunk_sections(as_sections(latest_documents(documents)))
+
+
+def as_sections(documents: DataFrame) -> DataFrame:
+    """Documents as one section each."""
+    return documents.withColumn("section_pos", F.lit(0)).withColumn("page", F.lit(None).cast("int")).withColumn("title", F.lit(None).cast("string"))
 
 
 def read_kb(spark: SparkSession, table: str) -> DataFrame:
-    """The chunks of a table that :func:`stream_build_kb` keeps."""
-    return spark.read.parquet(table).where("chunk_id is not null")
+    """The chunks that :func:`stream_build_kb` keeps in the folder ``table``."""
+    return spark.read.parquet(f"{table}/chunks").where("chunk_id is not null").drop("bucket")
+
 
+def read_report(spark: SparkSession, table: str) -> DataFrame:
+    """The report that :func:`stream_build_kb` keeps in the folder ``table``: a row for each document."""
+    return spark.read.parquet(f"{table}/report").drop("bucket")
 
-def _stored(spark: SparkSession, table: str, like: DataFrame) -> DataFrame | None:
-    """The table, or nothing if it isn't there yet."""
+
+def _stored(spark: SparkSession, table: str, like: DataFrame, buckets: list[int]) -> DataFrame:
+    """These buckets of a table; nothing if it isn't there yet."""
     try:
-        return spark.read.schema(like.schema).parquet(table)
+        return spark.read.schema(like.schema).parquet(table).where(F.col("bucket").isin(buckets))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return None
+        return like.limit(0)
+
 
+def _path(spark: SparkSession, name: str):
+    """(file system, path) of a folder that driver and executors share."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
-def stream_build_kb(stream: DataFrame, table: str, checkpoint: str, buckets: int = 64, available_now: bool = True) -> StreamingQuery:
-    """Keep ``table`` (a Parquet folder partitioned by bucket of document; see :func:`read_kb`) at the chunks of the last version of each document.
 
-    A batch touches only the buckets that its documents fall in: their rows are read, replaced by
-    version, written beside the old ones and put in their place by dynamic partition overwrite, so
-    a batch that is replayed gives the same table.  A document whose last version has no chunk leaves
-    a row without chunk_id, which keeps its version.
+def put_in_place(spark: SparkSession, staged: str, table: str) -> None:
+    """The buckets of a staged table in place of those of ``table``; again and again it gives the same."""
+    spark.read.parquet(staged).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+
+
+def stage_batch(documents: DataFrame, table: str, staged: str, buckets: int, embedder: Callable[[Column], Column] | None = None) -> bool:
+    """Write what a batch makes of the buckets that it touches beside the tables; false if it touches none.
+
+    Of documents (course_id, document_id, source_type, content, version, and error if it can't be
+    read) the last version counts, if it is not older than the one in the report.  Those whose content
+    has the digest that the report has keep their chunks, with the version that made them.
+    """
+    spark = documents.sparkSession
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
+    rows = documents if "error" in documents.columns else documents.withColumn("error", F.lit(None).cast("string"))
+    last = settled(latest_documents(rows).withColumn("bucket", bucket))
+    touched = [r["bucket"] for r in last.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return False
+    digests = document_digests(last).select("document_id", "content_digest")
+    empty = F.lit(None).cast
+    shape = last.limit(0).select("document_id", "course_id", empty("string").alias("parse_status"), empty("bigint").alias("chunk_count"), empty("string").alias("error_message"), "version", empty("string").alias("content_digest"), "bucket")
+    report = _stored(spark, f"{table}/report", shape, touched)
+    known = report.select("document_id", F.col("version").alias("_v"), F.col("content_digest").alias("_d"))
+    fresh = settled(last.join(digests, "document_id").join(known, "document_id", "left").where("_v is null or version >= _v"))
+    todo = fresh.where("_d is null or _d <> content_digest")
+    sections = as_sections(todo.select(*last.columns))
+    built, made = build_kb(sections, embedder=embedder)
+    read = todo.where("error is null")
+    emptied = read.join(built.select("document_id").distinct(), "document_id", "left_anti")
+    said = {"course_id", "document_id", "source_type", "version", "bucket"}
+    emptied = emptied.select(*[F.col(c) if c in said else F.lit(None).cast(k).alias(c) for c, k in built.dtypes])
+    old = _stored(spark, f"{table}/chunks", built, touched).join(read.select("document_id"), "document_id", "left_anti")
+    old.select(*built.columns).unionByName(built).unionByName(emptied).write.mode("overwrite").parquet(f"{staged}/chunks")
+    new = made.select("document_id", "parse_status", F.col("chunk_count").cast("long").alias("chunk_count"), "error_message")
+    same = report.select("document_id", "parse_status", "chunk_count", "error_message").join(fresh.where("_d = content_digest").select("document_id"), "document_id", "left_semi")
+    now = new.unionByName(same).join(fresh.select("document_id", "course_id", "version", "content_digest", "bucket"), "document_id")
+    report.join(fresh.select("document_id"), "document_id", "left_anti").unionByName(now.select(*shape.columns)).write.mode("overwrite").parquet(f"{staged}/report")
+    return True
+
+
+def stream_build_kb(stream: DataFrame, table: str, checkpoint: str, buckets: int = 64, available_now: bool = True, embedder: Callable[[Column], Column] | None = None) -> StreamingQuery:
+    """Keep the folder ``table`` at what ``build_kb`` makes of the last version of each document: chunks with vectors (:func:`read_kb`) and a report with a row for each document, failures too (:func:`read_report`).
+
+    A batch touches only the buckets that its documents fall in.  Their rows of both tables are
+    written beside the old ones; when both are whole, a marker says so, and they take the place of
+    the old ones by dynamic partition overwrite.  A batch that is replayed without a marker starts
+    anew from tables that it hasn't touched, and one with a marker puts the same rows in place again:
+    so both tables come to the same state wherever it died.  Only between the two overwrites a
+    reader can see chunks that are newer than the report.
+
+    Documents whose content didn't change are not chunked again.  One that can't be read keeps its
+    chunks; one that was emptied loses them, and leaves a row without chunk_id in the table.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        last = latest_documents(batch)
-        chunks = build_chunks(batch)
-        said = {"course_id", "document_id", "source_type", "version"}
-        emptied = last.join(chunks.select("document_id").distinct(), "document_id", "left_anti").select(*[F.col(c) if c in said else F.lit(None).cast(k).alias(c) for c, k in chunks.dtypes])
-        new = chunks.unionByName(emptied).withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")).persist()
-        staged = f"{checkpoint}/staged/{batch_id}"
-        try:
-            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-            if not touched:
+        files, folder = _path(spark, staged := f"{checkpoint}/staged/{batch_id}")
+        _, marker = _path(spark, f"{staged}/_whole")
+        if not files.exists(marker):
+            if not stage_batch(batch, table, staged, buckets, embedder):
                 return
-            out = new
-            if (old := _stored(spark, table, new)) is not None:
-                old = old.where(F.col("bucket").isin(touched))
-                seen = new.groupBy("document_id").agg(F.max("version").alias("_v"))
-                kept = old.join(seen, "document_id", "left").where("_v is null or version > _v").drop("_v")
-                newer = old.groupBy("document_id").agg(F.max("version").alias("_v"))
-                fresh = new.join(newer, "document_id", "left").where("_v is null or version >= _v").drop("_v")
-                kept.unionByName(fresh).select(*new.columns).write.mode("overwrite").parquet(staged)
-                out = spark.read.schema(new.schema).parquet(staged)
-            out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
-        finally:
-            new.unpersist()
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            files.create(marker, True).close()
+        for name in ("chunks", "report"):
+            put_in_place(spark, f"{staged}/{name}", f"{table}/{name}")
+        files.delete(folder, True)
 
     writer = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{checkpoint}/stream")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
