@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lectern.functions.text import KEYWORD, dominant, filled, first_distinct, normal_judgement, split_answers
 from lectern.operators.lineage import once, settled
-from lectern.operators.search import sparse_embeddings
+from lectern.operators.search import hashing_vectors
 
+#: Items of a block of a large group; cells of at most FEW items are compared together.
+CELL, FEW = 1024, 16
 REFERENCE = "struct<chunk_id:string,source_type:string,chapter:string,page:int>"
 # Fixed values.
 CHOICES = ("single_choice", "multiple_choice")
@@ -112,43 +118,69 @@ def repair_questions(blueprints: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def duplicate_pairs(items: DataFrame, group: str = "exam_id", pos: str = "pos", text: str = "question_text", threshold: float = 0.85, dim: int = 256, embeddings: str | None = None) -> DataFrame:
-    """(group, i, j) of the items of a group, numbered from 1, whose embeddings' dot product reaches the threshold.
+    """(group, i, j, similarity) of the items of a group, numbered from 1, whose embeddings' dot product reaches the threshold, which is above 0.
 
     ``embeddings`` names a column of vectors to take in place of the hashing embedding of the text.
-    An item's slots are ordered from rare to common.  Those behind which less than the threshold of
-    its length is left can't reach it alone, so two items meet only in the slots before, and only in
-    the first that they share.
+    Each text is shuffled once, to the cell of its group, and becomes a vector there; only pairs that
+    reach the threshold leave a cell.  A group of more than CELL items is cut into blocks of about
+    that many, each two of which have a cell, so no task holds a large group.  Items without group
+    or vector have no pairs.
     """
-    vectors = _slots(items, group, pos, text, dim, embeddings)
-    common = vectors.groupBy("slot").agg(F.count(F.lit(1)).alias("_n"))  # a row for each dimension
-    # Every item's vector as arrays in the order of its slots, which is the same for all.
-    listed = settled(
-        vectors.join(F.broadcast(common), "slot").groupBy(group, "_p")
-        .agg(F.array_sort(F.collect_list(F.struct("_n", "slot", "weight"))).alias("_v"))
-        .select(group, "_p", F.transform("_v", lambda x: x["slot"]).alias("_slots"), F.transform("_v", lambda x: x["weight"]).alias("_weights"), F.map_from_arrays(F.transform("_v", lambda x: x["slot"]), F.transform("_v", lambda x: x["weight"])).alias("_map"))
-    )
-    squares = F.transform("_weights", lambda w: w * w)
-    whole = F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)
-    # How much of the squared length lies behind each slot decides how many come before; vectors need not have length 1.
-    listed = listed.withColumn("_whole", whole)
-    longest = listed.groupBy(group).agg(F.max("_whole").alias("_longest"))
-    listed = listed.join(longest, group).withColumn("_least", F.lit(float(threshold) ** 2 * (1 - 1e-8)) / F.col("_longest"))
-    behind = F.aggregate(squares, F.struct(F.col("_whole").alias("left"), F.lit(0).alias("n")), lambda a, x: F.struct((a["left"] - x).alias("left"), F.when(a["left"] >= F.col("_least"), a["n"] + 1).otherwise(a["n"]).alias("n")))["n"]
-    rows = listed.select(group, "_p", "_map", F.slice("_slots", F.lit(1), behind).alias("_first"))
-    rows = rows.select("*", F.explode("_first").alias("slot"))
-    a = rows.select(group, "slot", F.col("_p").alias("i"), F.col("_map").alias("_a"), F.col("_first").alias("_x"))
-    b = rows.select(group, "slot", F.col("_p").alias("j"), F.col("_map").alias("_b"), F.col("_first").alias("_y"))
-    met = a.join(b, [group, "slot"]).where("i < j").where(F.element_at(F.array_intersect("_x", "_y"), 1) == F.col("slot"))
-    product = F.aggregate(F.map_keys("_a"), F.lit(0.0), lambda s, k: s + F.coalesce(F.element_at("_a", k) * F.element_at("_b", k), F.lit(0.0)))
-    return met.withColumn("similarity", product).where(F.round("similarity", 9) >= threshold).select(group, "i", "j", "similarity")
-
-
-def _slots(items: DataFrame, group: str, pos: str, text: str, dim: int, embeddings: str | None) -> DataFrame:
-    """(group, _p, slot, weight) rows of the items' vectors, without zeros."""
-    if embeddings:
-        return items.select(group, F.col(pos).alias("_p"), F.posexplode(F.col(embeddings)).alias("slot", "_w")).where("_w <> 0").select(group, "_p", "slot", F.col("_w").cast("double").alias("weight"))
-    keyed = items.select(F.struct(group, pos).alias("_k"), F.col(text).alias("_t"))
-    return sparse_embeddings(keyed, "_k", "_t", dim).select(F.col(f"_k.{group}").alias(group), F.col(f"_k.{pos}").alias("_p"), "slot", "weight")
+    if threshold <= 0:
+        raise ValueError("the threshold must be above 0")
+    rows = items.select(F.col(group).alias("g"), F.col(pos).alias("p"), F.col(embeddings or text).alias("x")).where("g is not null")
+    rows = settled(rows.where("x is not null") if embeddings else rows)
+    large = settled(rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("_n")).where("_n > 1"))
+    if large.isEmpty():
+        cells = rows.select("g", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("b"), "p", "x")
+    else:
+        blocks = rows.join(large, "g", "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("p"), F.col("_n")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+        cells = blocks.withColumn("_o", other).select("g", F.least("b", "_o").alias("lo"), F.greatest("b", "_o").alias("hi"), "b", "p", "x")
+    at = rows.schema["p"].dataType
+    schema = T.StructType([T.StructField(group, rows.schema["g"].dataType), T.StructField("i", at), T.StructField("j", at), T.StructField("similarity", T.DoubleType())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, (None,)):
+            parts = [t for t in (held, batch and pa.Table.from_batches([batch])) if t is not None and len(t)]
+            if not parts:
+                continue
+            table = pa.concat_tables(parts).combine_chunks()
+            cell = np.stack([table.column("g").combine_chunks().dictionary_encode().indices.to_numpy(), table.column("lo").to_numpy(), table.column("hi").to_numpy()])
+            begin = np.flatnonzero(np.r_[True, (cell[:, 1:] != cell[:, :-1]).any(axis=0)])
+            whole = len(table) if batch is None else int(begin[-1])  # the last cell may go on
+            held, table = table.slice(whole), table.slice(0, whole)
+            if whole:
+                i, j, similarity = _similar(table, np.r_[begin[begin < whole], whole], threshold, None if embeddings else dim)
+                pick = lambda c, at: table.column(c).combine_chunks().take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pick("g", i), pick("p", i), pick("p", j), pa.array(similarity)], names=schema.names)
+
+    return cells.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", "p").mapInArrow(compare, schema)
+
+
+def _similar(table: pa.Table, edges: np.ndarray, threshold: float, dim: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, dot product) of the rows of each cell that reach the threshold.  Cells of a few rows are compared all at once, by distance between the rows; a larger one is one matrix product."""
+    x, block, place = table.column("x").combine_chunks(), table.column("b").to_numpy(), table.column("p").combine_chunks().dictionary_encode().indices.to_numpy()
+    vectors = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1) if dim is None else hashing_vectors(x.to_pylist(), dim)
+    crossed = table.column("lo").to_numpy() != table.column("hi").to_numpy()
+    sizes = np.diff(edges)
+    few = np.repeat(sizes <= FEW, sizes)
+    left = np.repeat(edges[1:], sizes) - np.arange(len(few))  # rows from here to the cell's end
+    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+    for d in range(1, int(sizes[sizes <= FEW].max(initial=0))):
+        i = np.flatnonzero(few & (left > d))
+        found.append((i, i + d))
+    for n in np.flatnonzero(sizes > FEW):
+        own = vectors[edges[n] : edges[n + 1]]
+        i, j = np.nonzero(np.triu(own @ own.T >= threshold - 1e-6, 1))
+        found.append((i + edges[n], j + edges[n]))
+    i, j = (np.concatenate([f[side] for f in found]) for side in (0, 1))
+    fits = (place[i] != place[j]) & (~crossed[i] | (block[i] != block[j]))
+    i, j = i[fits], j[fits]
+    similarity = np.concatenate([np.einsum("ij,ij->i", vectors[i[at : at + 65536]], vectors[j[at : at + 65536]]) for at in range(0, len(i), 65536)] or [np.zeros(0)])
+    reach = np.round(similarity, 9) >= threshold
+    return i[reach], j[reach], similarity[reach]
 
 
 def duplicate_rate(items: DataFrame, pairs: DataFrame, group: str = "exam_id") -> DataFrame:

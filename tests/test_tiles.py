@@ -30,3 +30,22 @@ def test_tiles_are_the_small_path(spark, monkeypatch, own, digits, block):
     assert "salt" in plan and len(want) > 100
     assert sorted(map(tuple, got.select(columns).collect())) == want
     assert S.search(c.limit(0), q, 5).count() == 0 and S.search(c, q.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize(("cell", "few"), [(1024, 16), (16, 4), (8, 1)])
+def test_duplicate_pairs_of_small_and_large_groups(spark, monkeypatch, cell, few):
+    from lectern.operators import exams as E
+
+    monkeypatch.setattr(E, "CELL", cell)
+    monkeypatch.setattr(E, "FEW", few)
+    rng = np.random.default_rng(2)
+    words = lambda: " ".join(f"w{i}" for i in rng.integers(0, 9, 6))
+    items = [(g, p, words() if p % 11 else None) for g, n in ((1, 70), (2, 3), (3, 1), (4, 5), (None, 4)) for p in range(n)]
+    df = spark.createDataFrame(items, "exam_id bigint, pos int, question_text string").selectExpr("*", "1 as g", "2 as p", "3 as b").repartition(3)
+    vectors = S.hashing_vectors([t for _, _, t in items], 256)
+    want = {(g, p, q): float(v @ w) for (g, p, _), v in zip(items, vectors, strict=True) for (h, q, _), w in zip(items, vectors, strict=True) if g is not None and g == h and p < q and round(float(v @ w), 9) >= 0.7}
+    got = {(r.exam_id, r.i, r.j): r.similarity for r in E.duplicate_pairs(df, threshold=0.7).collect()}
+    assert got.keys() == want.keys() and len(want) > 50 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert E.duplicate_pairs(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        E.duplicate_pairs(df, threshold=0)
