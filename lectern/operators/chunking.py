@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import heading, keywords, paragraphs, strip
+from lectern.functions.vectors import let
 
+#: Paragraphs that are folded into one array of chunks.
+PIECE = 1024
 _CHUNK = "struct<content:string,chapter:string,section:string,title:string>"
 
 
@@ -37,10 +40,15 @@ def chunk_array(content: Column, title: Column, size: int = 1000, overlap: int =
         )
 
     empty = F.array().cast(f"array<{_CHUNK}>")
-    return F.aggregate(
-        F.transform(F.coalesce(paragraphs(content, size, overlap), F.array().cast("array<string>")), lambda p: F.struct(p.alias("p"), heading(p).alias("token"))), state(F.lit(""), title.cast("string"), none, none, empty), step,
-        lambda a: F.when(a["b"] != "", F.concat(a["o"], chunk(a))).otherwise(a["o"]),
+    found = F.transform(F.coalesce(paragraphs(content, size, overlap), F.array().cast("array<string>")), lambda p: F.struct(p.alias("p"), heading(p).alias("token")))
+    # Appending copies the array, so pieces of the paragraphs are folded each into an array of its own, and those are joined at the end.
+    pieces = let(found, lambda xs: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(xs) - 1) / PIECE)).cast("int")), lambda i: F.slice(xs, i * PIECE + 1, F.lit(PIECE))))
+    whole = F.aggregate(
+        pieces, state(F.lit(""), title.cast("string"), none, none, F.array().cast(f"array<array<{_CHUNK}>>")),
+        lambda a, piece: F.aggregate(piece, state(a["b"], a["t"], a["c"], a["s"], empty), step, lambda x: state(x["b"], x["t"], x["c"], x["s"], F.concat(a["o"], F.array(x["o"])))),
+        lambda a: F.concat(a["o"], F.array(F.when(a["b"] != "", chunk(a)).otherwise(empty))),
     )
+    return F.flatten(whole)
 
 
 def chunk_sections(df: DataFrame, size: int = 1000, overlap: int = 150, points: int = 10, extractor: Callable[[Column, int], Column] = keywords) -> DataFrame:

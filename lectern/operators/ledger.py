@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.text import is_future
+from lectern.operators.tables import with_rank
 
 TERMINAL = ("completed", "needs_review", "failed")
 
@@ -86,8 +87,10 @@ def task_state(tasks: DataFrame, now: Column) -> DataFrame:
 
 
 def claim_order(tasks: DataFrame, now: Column, *by: str) -> DataFrame:
-    """The claimable tasks with claim_rank, the oldest first within ``by``."""
+    """The claimable tasks with claim_rank, the oldest first within ``by``, or of all."""
     ready = task_state(tasks, now).where("claimable")
+    if not by:
+        return with_rank(ready, "claim_rank", F.col("created_at"), F.col("task_id"))
     return ready.withColumn("claim_rank", F.row_number().over(Window.partitionBy(*by).orderBy("created_at", "task_id")))
 
 

@@ -59,6 +59,25 @@ def retrieval_metrics(cases: DataFrame) -> DataFrame:
     return cases.agg(mean(recall(e, r)).alias("recall_at_k"), mean(hit(e, r)).alias("hit_at_k"), mean(reciprocal_rank(e, r)).alias("mrr"), mean(ndcg(e, r)).alias("ndcg"), mean(precision(e, r)).alias("context_precision"))
 
 
+def rank_metrics(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row, as :func:`retrieval_metrics`, from rows instead of lists.
+
+    ``retrieved``: query_id, rank from 1, chunk_id and whether it is a hit; ``expected``: query_id and
+    n_expected, how many distinct ids it expects, however many those are.  A query without results counts 0.
+    """
+    gain = lambda place: 1 / F.log2(place + 1.0)
+    hits = F.col("hit")
+    found = retrieved.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("chunk_id").alias("d"), F.count_distinct(F.when(hits, F.col("chunk_id"))).alias("h"), F.min(F.when(hits, F.col("rank"))).alias("first"), F.sum(F.when(hits, gain(F.col("rank"))).otherwise(0.0)).alias("gains"))
+    cases = expected.join(found, "query_id", "left").fillna(0, ["n", "d", "h", "gains"])
+    best = F.least("n_expected", "n").cast("int")
+    ideal = F.aggregate(F.sequence(F.lit(0), best), F.lit(0.0), lambda a, i: a + F.when(i > 0, gain(i)).otherwise(0.0))
+    zero = lambda value, over: F.when(over > 0, value).otherwise(0.0)
+    return cases.agg(
+        mean(zero(F.col("h") / F.col("n_expected"), F.col("n_expected"))).alias("recall_at_k"), mean(F.col("h") > 0).alias("hit_at_k"), mean(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"),
+        mean(zero(F.col("gains") / ideal, best)).alias("ndcg"), mean(zero(F.col("h") / F.col("d"), F.col("d"))).alias("context_precision"))
+
+
 def share(df: DataFrame, condition: Column, name: str) -> DataFrame:
     """One row: the share of the rows for which the condition holds."""
     return df.agg(mean(F.coalesce(condition, F.lit(False))).alias(name))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from graphlib import TopologicalSorter
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.text import export_name, suffix, token_estimate
+from lectern.operators.lineage import settled
 
 # Fixed values.
 ALLOWED = (".pdf", ".docx", ".txt", ".md", ".markdown", ".xlsx")
@@ -105,6 +110,36 @@ def cascade(parents: DataFrame, children: dict[str, tuple[DataFrame, str]], ids:
     return out | {name: df.join(gone, df[c] == F.col("_gone"), "left_anti") for name, (df, c) in children.items()}
 
 
+def cascade_all(tables: dict[str, tuple[DataFrame, str]], edges: list[tuple[str, str, str, str]], gone: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables (each with its key column) after the rows in ``gone`` (key sets by table) are deleted.
+
+    Edges are foreign keys (parent, child, the child's column, "delete" or "null"): rows of the child
+    that name a deleted row are deleted too, with all that hangs on them, or keep a null.  Tables are
+    taken parents first, so each one's keys are collected once, in a saved set that all its children
+    use.  Deletes in a circle are refused.
+    """
+    parents = {name: [] for name in tables}
+    for parent, child, column, action in edges:
+        if action not in ("delete", "null"):
+            raise ValueError("an edge deletes or nulls")
+        parents[child].append((parent, column, action))
+    order = list(TopologicalSorter({name: [p for p, _, action in found if action == "delete"] for name, found in parents.items()}).static_order())
+    keys: dict[str, DataFrame] = {}
+    for name in order:
+        df, key = tables[name]
+        lost = [ids.select(F.col(ids.columns[0]).alias("_gone")) for table, ids in gone.items() if table == name]
+        lost += [df.join(keys[p], df[column] == F.col("_gone"), "left_semi").select(F.col(key).alias("_gone")) for p, column, action in parents[name] if action == "delete" and p in keys]
+        if lost:
+            keys[name] = settled(reduce(DataFrame.unionByName, lost).distinct())
+    out = {}
+    for name, (df, key) in tables.items():
+        out[name] = df.join(keys[name], df[key] == F.col("_gone"), "left_anti") if name in keys else df
+        for p, column, action in parents[name]:
+            if action == "null" and p in keys:
+                out[name] = set_null(out[name], column, keys[p], "_gone")
+    return out
+
+
 def set_null(df: DataFrame, column: str, gone: DataFrame, key: str) -> DataFrame:
     """Rows with ``column`` null where it names a row that is gone."""
     g = gone.select(F.col(key).alias("_gone")).distinct()
@@ -120,6 +155,21 @@ def newest_first(df: DataFrame, at: str, key: str) -> DataFrame:
     return df.orderBy(F.col(at).desc(), F.col(key))
 
 
+def with_rank(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Add ``name``: each row's place from 1 in ``order`` over the whole table.
+
+    Range partitions are sorted and number their own rows, behind the counts of those before them;
+    only a number for each partition meets in one place.  Rows that tie are in any order.
+    """
+    rows = settled(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    counts = sorted(map(tuple, rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1))).collect()))  # one row for each partition
+    before = list(accumulate((n for _, n in counts), initial=0))
+    begins = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "_part bigint, _before bigint")
+    placed = rows.withColumn("_part", part).join(F.broadcast(begins), "_part")
+    return placed.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_before", "_at")
+
+
 def counts_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("chunk_count"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,13 +119,25 @@ def l03_task_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.task_state(tasks, F.col("now")).select("task_id", "status", F.col("attempt_count").cast("long").alias("attempt_count"), "claimable", "terminal")
 
 
+def claims(t: Tables) -> tuple[DataFrame, Column]:
+    """Orders as tasks, and the time."""
+    k, now = F.col("o_orderkey"), F.to_timestamp(F.lit("2020-01-01"))
+    status = F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "O", "running").otherwise("completed")
+    return t.orders.select(k.alias("task_id"), "o_orderpriority", F.col("o_orderdate").alias("created_at"), status.alias("status"), F.when(k % 2 == 0, now - F.expr("interval 1 hour")).otherwise(now + F.expr("interval 1 hour")).alias("locked_until")), now
+
+
 @query("""SELECT o_orderkey AS task_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS claim_rank FROM orders WHERE o_orderstatus = 'P' OR (o_orderstatus = 'O' AND o_orderkey % 2 = 0)""")
 def e04_claim_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, now = F.col("o_orderkey"), F.to_timestamp(F.lit("2020-01-01"))
-    tasks = Tables(spark, sf_dir).orders.select(k.alias("task_id"), "o_orderpriority", F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "O", "running").otherwise("completed").alias("status"), F.when(k % 2 == 0, now - F.expr("interval 1 hour")).otherwise(now + F.expr("interval 1 hour")).alias("locked_until"))
+    tasks, now = claims(Tables(spark, sf_dir))
     return G.claim_order(tasks, now, "o_orderpriority").select("task_id", F.col("claim_rank").cast("long").alias("claim_rank"))
 
 
+@query("""SELECT o_orderkey AS task_id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS claim_rank FROM orders WHERE o_orderstatus = 'P' OR (o_orderstatus = 'O' AND o_orderkey % 2 = 0)""")
+def e04_claim_order_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One queue of all tasks."""
+    return G.claim_order(*claims(Tables(spark, sf_dir))).select("task_id", "claim_rank")
+
+
 def steps(t: Tables) -> DataFrame:
     from pyspark.sql.window import Window
 

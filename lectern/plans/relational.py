@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.functions import text as X
 from lectern.operators import metrics as M
 from lectern.operators import tables as T
-from lectern.operators.lineage import settled
 from lectern.operators.search import search
 from lectern.plans.base import Tables, query
 
@@ -99,13 +97,11 @@ UNION ALL SELECT 'lineitem', count(*), sum(l_orderkey)::bigint FROM lineitem WHE
 UNION ALL SELECT 'nulled', count(*), count(CASE WHEN o_custkey NOT IN (FROM gone) THEN 1 END) FROM orders""")
 def b12_delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    gone = t.customer.where("c_nationkey = 3")
-    lost = t.orders.join(gone, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    kept = T.cascade(t.customer, {"orders": (t.orders, "o_custkey")}, gone, "c_custkey")
-    lines = T.cascade(t.orders, {"lineitem": (t.lineitem, "l_orderkey")}, lost, "o_orderkey")["lineitem"]
-    total = lambda df, name, c: df.agg(F.lit(name).alias("tbl"), F.count(F.lit(1)).alias("n"), F.sum(c).alias("s"))
-    nulled = T.set_null(t.orders, "o_custkey", gone, "c_custkey").agg(F.lit("nulled").alias("tbl"), F.count(F.lit(1)).alias("n"), F.count("o_custkey").alias("s"))
-    return total(kept[""], "customer", "c_custkey").union(total(kept["orders"], "orders", "o_orderkey")).union(total(lines, "lineitem", "l_orderkey")).union(nulled)
+    tables = {"customer": (t.customer, "c_custkey"), "orders": (t.orders, "o_orderkey"), "lineitem": (t.lineitem, "l_orderkey"), "nulled": (t.orders, "o_orderkey")}
+    edges = [("orders", "lineitem", "l_orderkey", "delete"), ("customer", "orders", "o_custkey", "delete"), ("customer", "nulled", "o_custkey", "null")]
+    left = T.cascade_all(tables, edges, {"customer": t.customer.where("c_nationkey = 3").select("c_custkey")})
+    total = lambda name, how: left[name].agg(F.lit(name).alias("tbl"), F.count(F.lit(1)).alias("n"), how.alias("s"))
+    return total("customer", F.sum("c_custkey")).union(total("orders", F.sum("o_orderkey"))).union(total("lineitem", F.sum("l_orderkey"))).union(total("nulled", F.count("o_custkey")))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderstatus = 'F' THEN 'questions_generated' ELSE 'needs_review' END ELSE CASE WHEN o_orderstatus = 'F' THEN 'draft' ELSE 'needs_review' END END AS status FROM orders""")
@@ -212,10 +208,8 @@ def d03_chunk_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS pos FROM orders")
 def f02_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders with their place: each sorted partition numbers its own rows, behind the counts of those before it."""
-    rows = settled(T.newest_first(Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33).alias("_part")
-    before = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n")).withColumn("_before", F.sum("n").over(Window.orderBy("_part")) - F.col("n"))  # one row per partition
-    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").select("o_orderkey", (F.col("_before") + F.col("_at") - F.shiftleft("_part", 33) + 1).alias("pos"))
+    orders = Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderdate")
+    return T.with_rank(orders, "pos", F.desc("o_orderdate"), F.asc("o_orderkey")).select("o_orderkey", "pos")
 
 
 RETRIEVAL_SQL = """q AS (SELECT vec_id AS query_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0),
@@ -230,10 +224,10 @@ RETRIEVAL_SQL = RETRIEVAL_SQL.replace("(label = want)", "(WHERE top.label = want
 def d07_retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = Tables(spark, sf_dir).vectors().withColumn("course_id", F.lit("all"))
     queries = chunks.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "course_id", F.lit("").alias("chapter"), F.lit("").alias("source_type"), F.lit(None).cast("boolean").alias("verified_only"), "embedding", F.col("label").alias("want"))
-    found = search(chunks, queries, 8).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved"))
-    expected = chunks.groupBy("label").agg(F.collect_list("chunk_id").alias("expected"))
-    cases = queries.select("query_id", "want").join(expected, F.col("want") == F.col("label")).join(found, "query_id")
-    r = M.retrieval_metrics(cases)
+    asked = queries.select("query_id", "want")
+    retrieved = search(chunks, queries, 8).join(asked, "query_id").withColumn("hit", F.col("label") == F.col("want"))
+    n_expected = chunks.groupBy("label").agg(F.count_distinct("chunk_id").alias("n_expected"))
+    r = M.rank_metrics(retrieved, asked.join(n_expected, F.col("want") == F.col("label")))
     return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
 
 
