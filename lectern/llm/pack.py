@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.common import gapless, saved
 from lectern.llm.tokens import byte_ids
@@ -22,27 +24,30 @@ LONGEST = 1 << 13
 PIECES = "doc_id {key}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-def cut(df: DataFrame, window: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pieces of each row's token ids: whole windows, then the tail.
+def cut(df: DataFrame, window: int, key: str = "doc_id", text: str = "text", carried: dict[str, Column] | None = None) -> DataFrame:
+    """The pieces of each row's token ids: whole windows, then the tail; ``carried`` are further columns, which each piece repeats.
 
     Ids are those of byte_bpe_50k (a special string inside a text counts as its special id), then
     END_ID; so an empty or null text has one.
     """
-    kind = df.select(F.col(key)).schema[0].dataType.simpleString()
+    rows = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *[c.alias(n) for n, c in (carried or {}).items()])
+    others = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema[2:])
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            docs, rows = [], []
-            for doc, body in zip(batch["doc_id"], batch["_text"], strict=True):
+            owner, rows = [], []
+            for n, body in enumerate(batch.pop("_text")):
                 ids = np.append(byte_ids(body, specials=True), END_ID).astype("<u4")
                 for at in range(0, len(ids), window):
                     piece = ids[at : at + window]
-                    docs.append(doc)
+                    owner.append(n)
                     rows.append((at, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
             numbers = np.array(rows, dtype=np.int64).reshape(-1, 4)
-            yield pd.DataFrame({"doc_id": pd.Series(docs, dtype=batch["doc_id"].dtype)} | {c: numbers[:, i] for i, c in enumerate(("start", "length", "ids_crc32", "doc_tokens"))})
+            own = batch.take(owner).reset_index(drop=True)
+            made = {"doc_id": own.pop("doc_id")} | {c: numbers[:, i] for i, c in enumerate(("start", "length", "ids_crc32", "doc_tokens"))}
+            yield pd.DataFrame(made | {c: own[c] for c in own.columns})
 
-    return df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInPandas(encode, PIECES.format(key=kind))
+    return rows.mapInPandas(encode, PIECES.format(key=rows.schema["doc_id"].dataType.simpleString()) + others)
 
 
 class Layout:
@@ -167,6 +172,61 @@ def pack(df: DataFrame, tiers: tuple[int, ...] = TIERS, key: str = "doc_id", tex
     return ranked.select(*names, "_rank").mapInPandas(place, PIECES.format(key=kind) + ", sequence_id bigint, offset bigint, tier bigint, sequence_size bigint, step bigint")
 
 
+def pack_in_order(df: DataFrame, unit: Column, at: Column, tiers: tuple[int, ...] = TIERS, key: str = "doc_id", text: str = "text", group: int = 64) -> DataFrame:
+    """As :func:`pack`, but each ``unit`` by itself, with its pieces in the order of ``at``, and never two copies of a piece in one sequence.
+
+    Of the pieces of one length, those that come first go to the first places.  Copies of a piece
+    (same document and place in it, same ids) are told apart by their order; all first ones of a unit
+    are packed together, then all second ones, and so on, so copies never share a sequence.  A unit
+    is one task's work and should have a bounded number of rows; the driver gets two numbers of each.
+    """
+    tiers = tuple(tiers)
+    Layout({}, tiers, group)
+    pieces = cut(df, tiers[-1], key, text, {"_unit": unit, "_at": at})
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    places = "sequence_id bigint, offset bigint, tier bigint, sequence_size bigint, step bigint"
+    sizes = np.array(tiers)
+
+    def place(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_at", "start"], kind="stable", ignore_index=True)
+        wave = rows.groupby(["doc_id", "start", "ids_crc32"], dropna=False, sort=False).cumcount()
+        out, sequences, steps = [], 0, 0
+        for _, own in rows.groupby(wave.to_numpy(), sort=True):
+            layout = Layout(own["length"].value_counts().to_dict(), tiers, group)
+            length = own["length"].to_numpy()
+            sequence, offset, size, step = layout.place(length, own.groupby("length", sort=False).cumcount().to_numpy())
+            out.append(own.drop(columns="_at").assign(sequence_id=sequence + sequences, offset=offset, tier=sizes[np.searchsorted(sizes, length)], sequence_size=size, step=step + steps))
+            sequences, steps = sequences + layout.sequences, steps + layout.steps
+        return pd.concat(out, ignore_index=True)
+
+    packed = saved(pieces.groupBy("_unit").applyInPandas(place, PIECES.format(key=kind) + f", _unit {pieces.schema['_unit'].dataType.simpleString()}, {places}"))
+    ends = sorted(packed.groupBy("_unit").agg(F.max("sequence_id") + 1, F.max("step") + 1).collect())
+    begins, sequences, steps = [], 0, 0
+    for name, more, turns in ends:
+        begins.append((name, sequences, steps))
+        sequences, steps = sequences + more, steps + turns
+    first = df.sparkSession.createDataFrame(begins, T.StructType([pieces.schema["_unit"], T.StructField("_sequences", T.LongType()), T.StructField("_steps", T.LongType())]))
+    moved = packed.join(F.broadcast(first), "_unit").withColumns({"sequence_id": F.col("sequence_id") + F.col("_sequences"), "step": F.col("step") + F.col("_steps")})
+    return moved.drop("_unit", "_sequences", "_steps")
+
+
+#: Rows of a file that are packed together.
+UNIT_ROWS = 1 << 16
+
+
+def pack_files(df: DataFrame, **how) -> DataFrame:
+    """:func:`pack_in_order` for a table read from Parquet: each file in its order, UNIT_ROWS rows at a time; :func:`pack` for any other table.
+
+    So what was dealt to a file and shuffled in it stays together, in that order.
+    """
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return pack(df, **how)
+    row = F.col("_metadata.row_index")
+    return pack_in_order(df, F.concat_ws(":", "_metadata.file_path", F.shiftright(row, UNIT_ROWS.bit_length() - 1).cast("string")), row, **how)
+
+
 def op7_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 128, 512 and 2,048 tokens, one row per piece; null text: empty, repeated rows each packed, no rows of an empty table."""
     return pack(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

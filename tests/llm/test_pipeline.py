@@ -1,7 +1,7 @@
 """Each stage of the pipeline on its own input, and the whole."""
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from lectern.llm.common import shared_table
@@ -43,3 +43,34 @@ def test_stages_take_odd_rows(spark):
     assert corpus_pipeline.STAGES[0][1](spark, docs, "").count() == 4
     assert corpus_pipeline.STAGES[1][1](spark, docs, "").count() == 4
     assert corpus_pipeline.STAGES[2][1](spark, docs, "").count() <= 5
+
+
+def test_packing_keeps_the_shards_and_their_order(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    stages["mixing"](spark, docs, sf_dir).write.parquet(str(tmp_path / "mix"))
+    mix = spark.read.parquet(str(tmp_path / "mix"))
+    place = defaultdict(list)  # of each document's copies: file and row
+    for r in mix.select("doc_id", "_metadata.file_name", "_metadata.row_index").collect():
+        place[r.doc_id].append((r.file_name, r.row_index))
+    assert len({f for rows in place.values() for f, _ in rows}) == corpus_pipeline.SHARDS
+    rows = stages["packing"](spark, mix, sf_dir).collect()
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append(r)
+    assert sorted(sequences) == list(range(len(sequences)))
+    for own in sequences.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))] and sum(r.length for r in own) <= own[0].sequence_size
+        pieces = [(r.doc_id, r.start, r.ids_crc32) for r in own]
+        assert len(pieces) == len(set(pieces))  # no two copies of a piece
+        assert set.intersection(*({f for f, _ in place[r.doc_id]} for r in own))  # one shard
+    assert Counter(r.doc_id for r in rows if r.start == 0) == {d: len(p) for d, p in place.items()}
+    again = stages["packing"](spark, mix.repartition(3, "doc_id"), sf_dir)
+    assert again.count() == len(rows)
+    # Among the documents of a file that it has once, pieces of one length lie in sequences alike in the order of the file.
+    other = stages["packing"](spark, spark.read.parquet(str(tmp_path / "mix")), sf_dir).collect()
+    assert sorted(map(str, other)) == sorted(map(str, rows))
+    once = sorted((place[r.doc_id][0], r.sequence_id, r.offset) for r in rows if r.length == 2048 and len(place[r.doc_id]) == 1)
+    for (f, _), s, _ in [(a[0], a, b) for a, b in zip(once, once[1:], strict=False) if a[0][0] == b[0][0] and a[1] > b[1]]:
+        raise AssertionError(f"{f}: {s} out of order")
