@@ -11,7 +11,7 @@ from lectern.llm.common import shared_table
 from lectern.llm.dedup import without_copies
 from lectern.llm.mix import mixed_rows
 from lectern.llm.neardup import one_of_each
-from lectern.llm.pack import pack
+from lectern.llm.pack import pack_files
 from lectern.llm.repetition import without_repetition
 from lectern.operators.lineage import spread
 
@@ -33,18 +33,30 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one_of_each(docs)
 
 
+#: Shards of the mix.
+SHARDS = 16
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of its source's weight takes it, shard by shard, shuffled within a shard.
 
-    Null is a source of its own; a text without words goes with its block; repeated rows are drawn each.
+    A shard is written in files of its own, which are ranges of its shuffled order.  Null is a source
+    of its own; a text without words goes with its block; repeated rows are drawn each.
     """
-    part = F.shiftrightunsigned("place", 52)  # a shard is written in parts, each in order
-    return mixed_rows(docs).withColumn("part", part).repartition("shard", "part").sortWithinPartitions("shard", "part", "place").select("row.*")
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS)
+    part = F.shiftright(F.shiftrightunsigned("place", 40) * files, 24)  # the place's highest bits
+    dealt = mixed_rows(docs, shards=SHARDS).withColumn("_file", (F.col("shard") * files + part).cast("int"))
+    return dealt.repartitionById(SHARDS * files, "_file").sortWithinPartitions("_file", "place").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mix, each in its training sequence.  Null counts as empty, which is one token; repeated rows are packed each."""
-    return pack(docs)
+    """The pieces of the mix, each in its training sequence.
+
+    Each file, which is of one shard, is packed in its order, and no sequence has two copies of a
+    piece.  Null counts as empty, which is one token; repeated rows are packed each.  A table that
+    isn't read from files is packed as a whole.
+    """
+    return pack_files(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing", mixed), ("packing", packed)]
