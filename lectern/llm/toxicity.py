@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,6 +25,14 @@ SHAPES = [(0, *inner, span - 1) for size, most in ((3, 5), (4, 6)) for span in r
 DECAY = 0.65
 #: A longer word gives windows of WINDOW characters, so any 20 characters of it lie in one whole.
 WINDOW, STEP = 28, 8
+#: What is learned from a document: so many of its sentences, those whose checksum is lowest, in stretches of so many words.
+SENTENCES, SENTENCE_WORDS = 200, 100
+#: A phrase is two or three words in order among so many words of a sentence that follow each other.
+REACH = 4
+#: A phrase is learned if so many toxic documents, and so large a share of them, have it, if each of its words is harmless (its log odds at most HARMLESS), and if it surely says that much more than they do.
+PHRASE_DOCUMENTS, PHRASE_SHARE, PHRASE_GAIN, HARMLESS = 8, 0.02, 2.0, 1.0
+#: Clean phrases of the same words that are examples, and how like one of these words another must be to make a phrase with it.
+NEAR_MISSES, ALIKE = 20_000, 0.5
 KEPT_WORDS = 300_000
 TABLE_BITS = 20
 
@@ -44,6 +54,22 @@ def strings(text: str) -> set[str]:
     return found
 
 
+def spoken(text: str) -> list[list[str]]:
+    """The words of each sentence in order; those that are too long for one window are in no phrase."""
+    return [words for s in _SENTENCE.split(text.lower()) if (words := [w for w in _TOKEN.findall(s) if len(w) <= WINDOW])]
+
+
+def phrases(words: list[str], fits: Callable[[str], bool]) -> set[str]:
+    """The phrases of a sentence whose words all fit."""
+    at = [i for i, w in enumerate(words) if fits(w)]
+    found = set()
+    for n, i in enumerate(at):
+        near = [j for j in at[n + 1 : n + REACH] if j - i < REACH]
+        found.update(f"{words[i]} {words[j]}" for j in near)
+        found.update(f"{words[i]} {words[j]} {words[k]}" for j, k in combinations(near, 2))
+    return found
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word index, subsequence code, weight) of each subsequence, and each word's norm.
 
@@ -125,11 +151,52 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, r
     return theta
 
 
-def fit(documents: list[tuple[int, list[set[str]]]], landmarks: int = LANDMARKS, rounds: int = 4, seed: int = 4) -> dict:
-    """A model from (label, the strings of each sentence) of documents.
+class Gate:
+    """Which words are like a word of a learned phrase; only these make phrases.  It bounds the kernel with each of them from above, so no phrase that is alike is missed."""
 
-    The examples are sentences; a sentence's score is that of its highest scoring string.  A
-    document's label says of a toxic one only that some sentence is toxic, so of each toxic
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.weigh = Weights(codes, values) if len(codes) else None
+        self.memo: dict[str, bool] = {}
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.memo) > KEPT_WORDS:
+            self.memo.clear()
+        fresh = [w for w in words if w not in self.memo]
+        self.memo.update(zip(fresh, (self.weigh(fresh) >= ALIKE).tolist(), strict=True))
+
+    def phrases(self, said: list[list[str]]) -> set[str]:
+        """The phrases of sentences, given their words in order."""
+        if self.weigh is None:
+            return set()
+        self.learn(list({w for words in said for w in words}))
+        return set().union(*(phrases(words, self.memo.__getitem__) for words in said))
+
+
+def _learned_phrases(toxic: list[list[list[str]]], clean: list[list[list[str]]], evidence: dict[str, float]) -> tuple[Counter, Counter]:
+    """(toxic documents, clean documents) of each phrase that says more than its words, which are harmless: its log odds pass theirs even if either count is two standard deviations worse."""
+    least = max(PHRASE_DOCUMENTS, int(np.ceil(PHRASE_SHARE * len(toxic))))
+    often = Counter(w for said in toxic for w in {w for words in said for w in words})
+    often = {w for w, n in often.items() if n >= least and evidence.get(w, 0.0) <= HARMLESS}  # a phrase is no more frequent than its words
+    all_of = lambda said: set().union(*(phrases(words, often.__contains__) for words in said))
+    table = np.zeros(1 << 22, dtype=np.int32)  # counts by checksum first, so only what may be frequent is kept
+    for said in toxic:
+        np.add.at(table, np.unique(np.fromiter((zlib.crc32(p.encode()) & (len(table) - 1) for p in all_of(said)), dtype=np.int64)), 1)
+    bad = Counter(p for said in toxic for p in all_of(said) if table[zlib.crc32(p.encode()) & (len(table) - 1)] >= least)
+    bad = Counter({p: n for p, n in bad.items() if n >= least})
+    words = {w for p in bad for w in p.split(" ")}
+    good = Counter(p for said in clean for p in set().union(*(phrases(s, words.__contains__) for s in said)) if p in bad)
+    odds = lambda p: np.log((max(0.0, bad[p] - 2 * bad[p] ** 0.5) + 0.5) / (len(toxic) + 1)) - np.log((good[p] + 2 * good[p] ** 0.5 + 0.5) / (len(clean) + 1))
+    kept = {p for p in bad if odds(p) > max(0.0, *(evidence.get(w, 0.0) for w in p.split(" "))) + PHRASE_GAIN}
+    return Counter({p: bad[p] for p in kept}), Counter({p: good[p] for p in kept})
+
+
+def fit(documents: list[tuple[int, list[set[str]], list[list[str]]]], landmarks: int = LANDMARKS, rounds: int = 4, seed: int = 4) -> dict:
+    """A model from (label, the strings of each sentence, the words of each sentence in order) of documents.
+
+    The examples are sentences; a sentence's score is that of its highest scoring string or phrase.
+    Phrases, which are words of a sentence near each other, in order, are learned where harmless words
+    make an insult together; clean sentences with other phrases of the same words are examples too.
+    A document's label says of a toxic one only that some sentence is toxic, so of each toxic
     document the highest scoring sentence is taken as toxic, and of clean ones all sentences are
     clean.  The first scores are log odds of subsequences and of the strings themselves; then the
     choice of sentences and strings and the machine are fitted in turn.  A string that is no more
@@ -139,15 +206,26 @@ def fit(documents: list[tuple[int, list[set[str]]]], landmarks: int = LANDMARKS,
     the machine and fixes the slope from its margin to a probability.
     """
     rng = np.random.default_rng(seed)
-    labels = np.array([y for y, _ in documents])
-    bags = [set().union(*s) if s else set() for _, s in documents]
+    labels = np.array([y for y, _, _ in documents])
+    bags = [set().union(*s) if s else set() for _, s, _ in documents]
     prior = (labels.sum() + 1) / (len(labels) + 2)
-    constant = {"codes": [], "values": [], "bias": 0.0, "slope": 0.0, "shift": float(np.log(prior / (1 - prior)))}
+    constant = {"codes": [], "values": [], "bias": 0.0, "slope": 0.0, "shift": float(np.log(prior / (1 - prior))), "gate_codes": [], "gate_values": []}
     kept = np.array([i % 5 == 4 for i in range(len(documents))]) if len(documents) >= 100 else np.zeros(len(documents), dtype=bool)
     toxic, clean = np.flatnonzero((labels == 1) & ~kept), np.flatnonzero((labels == 0) & ~kept)
     words = sorted({w for i in (*toxic, *clean) for w in bags[i]})
     if not len(toxic) or not len(clean) or not words:
         return constant
+    log_odds = lambda bad, good: np.log((bad + 0.5) / (len(toxic) + 1)) - np.log((good + 0.5) / (len(clean) + 1))
+    counts = [Counter(w for i in side for w in bags[i]) for side in (toxic, clean)]
+    said_by = lambda side: [documents[i][2] for i in side]
+    learned, also = _learned_phrases(said_by(toxic), said_by(clean), {w: log_odds(n, counts[1][w]) for w, n in counts[0].items()})
+    parts = {w for p in learned for w in p.split(" ")}
+    made = {i: [phrases(s, parts.__contains__) for s in documents[i][2]] for i in (*toxic, *clean)} if parts else {}
+    misses = sorted({p for i in clean for found in made.get(i, ()) for p in found if p not in learned}, key=lambda p: (zlib.crc32(p.encode()), p))[:NEAR_MISSES]
+    known_phrases = {*learned, *misses}
+    for i, found in made.items():
+        bags[i] = bags[i].union(*found) & {*bags[i], *known_phrases}
+    words += sorted(known_phrases.difference(words))
     place = {w: i for i, w in enumerate(words)}
     members = {i: np.array([place[w] for w in bags[i]], dtype=np.int64) for i in (*toxic, *clean)}
     bad, good = np.zeros(len(words)), np.zeros(len(words))
@@ -167,10 +245,10 @@ def fit(documents: list[tuple[int, list[set[str]]]], landmarks: int = LANDMARKS,
     for i in range(0, len(words), 20_000):
         index, codes, weights, norm = features(words[i : i + 20_000])
         scores[i : i + len(norm)] = np.bincount(index, weights=odds[of(codes)] * weights, minlength=len(norm)) / norm
-    evidence = np.log((bad + 0.5) / (len(toxic) + 1)) - np.log((good + 0.5) / (len(clean) + 1))
+    evidence = log_odds(bad, good)
     scores += evidence
-    spoken = [np.array([place[w] for w in said], dtype=np.int64) for i in clean for said in documents[i][1] if said]
-    spoken = [spoken[i] for i in np.sort(rng.choice(len(spoken), min(CLEAN_SENTENCES, len(spoken)), replace=False))]
+    sentences = [np.array([place[w] for w in said], dtype=np.int64) for i in clean for said in (*documents[i][1], *(f & known_phrases for f in made.get(i, ()))) if said]
+    sentences = [sentences[i] for i in np.sort(rng.choice(len(sentences), min(CLEAN_SENTENCES, len(sentences)), replace=False))]
     ordinary = np.flatnonzero(good > 0)
     drawn = rng.choice(ordinary, min(CLEAN_STRINGS, len(ordinary)), replace=False)
     threshold, model = -np.inf, None
@@ -180,7 +258,7 @@ def fit(documents: list[tuple[int, list[set[str]]]], landmarks: int = LANDMARKS,
         if not chosen:
             break
         positive, times = np.unique(chosen, return_counts=True)
-        hard = np.setdiff1d([m[np.argmax(scores[m])] for m in spoken], positive)
+        hard = np.setdiff1d([m[np.argmax(scores[m])] for m in sentences], positive)
         negative = np.setdiff1d(np.union1d(hard, drawn), positive)
         if not len(negative):
             break
@@ -202,14 +280,20 @@ def fit(documents: list[tuple[int, list[set[str]]]], landmarks: int = LANDMARKS,
         threshold = -0.5
     if model is None:
         return constant
+    gate_codes, gate_values = np.zeros(0, dtype=np.uint64), np.zeros(0)
+    if any(scores[place[p]] > threshold for p in learned):
+        gate_codes, basis, _ = kernel(sorted(parts), sorted(parts))
+        gate_values = basis.max(axis=0)
+    gate = Gate(gate_codes, gate_values)
     ruled = np.flatnonzero(kept) if labels[kept].sum() >= 10 else np.arange(len(labels))
     memo: dict[str, float] = {}
     for i in ruled:
+        bags[i] = set().union(*documents[i][1], gate.phrases(documents[i][2]))
         fresh = [w for w in bags[i] if w not in memo]
         memo.update(zip(fresh, (model(fresh) + bias).tolist(), strict=True))
     margin = np.array([max((memo[w] for w in bags[i]), default=-2.0) for i in ruled])
     line = _logistic(np.clip(margin, -3, 3), labels[ruled])
-    return {"codes": model.codes.view(np.int64).tolist(), "values": model.values.tolist(), "bias": float(bias), "slope": line[0], "shift": line[1]}
+    return {"codes": model.codes.view(np.int64).tolist(), "values": model.values.tolist(), "bias": float(bias), "slope": line[0], "shift": line[1], "gate_codes": gate_codes.view(np.int64).tolist(), "gate_values": gate_values.tolist()}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -227,40 +311,61 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def learn(df: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", learned: int = LEARNED) -> dict:
     """A model from a table of texts and one of labels by the same key (0 or 1; others and null teach nothing).
 
-    At most ``learned`` labels of each kind are used: those whose ids hash lowest.  Only ids are
-    sorted, and the chosen ones, so bounded, are sent to where the texts are; sentences are cut
-    there, and one task, whose input is so bounded, fits.
+    At most ``learned`` ids of each label are used: those that hash lowest; of the texts of one id
+    that which hashes lowest.  Only ids are sorted, and the chosen ones, so bounded, are sent to where
+    the texts are.  Of each text at most SENTENCES sentences of SENTENCE_WORDS words go on, so one
+    task, whose input is bounded in rows and words, fits.
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     order = F.xxhash64(F.col(key).cast("string"))
-    ids = [rows.where(F.col(label) == y).select(F.col(key).alias("_id"), order.alias("_order"), F.col(label).cast("int").alias("_y")).orderBy("_order", "_id").limit(learned) for y in (0, 1)]
+    ids = [rows.where(F.col(label) == y).select(F.col(key).alias("_id"), order.alias("_order"), F.col(label).cast("int").alias("_y")).distinct().orderBy("_order", "_id").limit(learned) for y in (0, 1)]
     chosen = F.broadcast(ids[0].union(ids[1]))
-    sample = df.select(F.col(key), F.col(text)).join(chosen, F.col(key) == F.col("_id")).select("_order", "_y", F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    sample = df.select(F.col(key), F.col(text)).join(chosen, F.col(key) == F.col("_id")).groupBy("_order", "_id", "_y").agg(F.min_by(body, F.xxhash64(body)).alias("_text"))
+    sample = sample.select("_order", "_y", "_text")
 
     def sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["_said"] = [[sorted(x) for s in _SENTENCE.split(t) if (x := strings(s))] for t in b.pop("_text")]
+            texts = [learned_part(t) for t in b.pop("_text")]
+            b["_strings"] = [[sorted(x) for s in _SENTENCE.split(t) if (x := strings(s))] for t in texts]
+            b["_words"] = [spoken(t) for t in texts]
             yield b
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_order", "_y"])
-        model = fit([(y, [set(s) for s in said]) for y, said in zip(rows["_y"], rows["_said"], strict=True)])
+        model = fit([(y, [set(s) for s in said], [list(s) for s in words]) for y, said, words in zip(rows["_y"], rows["_strings"], rows["_words"], strict=True)])
         return pd.DataFrame({k: [v] for k, v in model.items()})
 
     fitted = (
-        sample.mapInPandas(sentences, "_order bigint, _y int, _said array<array<string>>").withColumn("_all", F.lit(1)).groupBy("_all")
-        .applyInPandas(lambda g: train(g), "codes array<bigint>, values array<double>, bias double, slope double, shift double")
+        sample.mapInPandas(sentences, "_order bigint, _y int, _strings array<array<string>>, _words array<array<string>>").withColumn("_all", F.lit(1)).groupBy("_all")
+        .applyInPandas(lambda g: train(g), "codes array<bigint>, values array<double>, bias double, slope double, shift double, gate_codes array<bigint>, gate_values array<double>")
     ).collect()  # one row, as large as the landmarks
-    return fitted[0].asDict() if fitted else {"codes": [], "values": [], "bias": 0.0, "slope": 0.0, "shift": 0.0}
+    return fitted[0].asDict() if fitted else {"codes": [], "values": [], "bias": 0.0, "slope": 0.0, "shift": 0.0, "gate_codes": [], "gate_values": []}
+
+
+def learned_part(text: str) -> str:
+    """The sentences of a text that are learned from, one a line."""
+    parts = []
+    for s in _SENTENCE.split(text):
+        words = s.split()
+        parts += [" ".join(words[i : i + SENTENCE_WORDS]) for i in range(0, len(words), SENTENCE_WORDS)]
+    chosen = sorted(range(len(parts)), key=lambda i: (zlib.crc32(parts[i].encode("utf-8", "surrogatepass")), i))[:SENTENCES]
+    return "\n".join(parts[i] for i in sorted(chosen))
 
 
 def score(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) of each row: the probability from its highest scoring string.  Null and empty texts are as clean as can be.  Repeated rows stay; an empty table gives none."""
+    """(doc_id, score) of each row: the probability from the highest scoring string or phrase of its sentences.
+
+    Null and empty texts score as clean as a text can; where nothing could be learned every text has
+    the share of toxic labels.  Repeated rows stay; an empty table gives none.
+    """
     codes, values = np.array(model["codes"], dtype=np.int64).view(np.uint64), np.array(model["values"], dtype=np.float64)
     bias, slope, shift = model["bias"], model["slope"], model["shift"]
+    gate_codes, gate_values = np.array(model["gate_codes"], dtype=np.int64).view(np.uint64), np.array(model["gate_values"], dtype=np.float64)
     kind = df.select(F.col(key)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gate = Gate(gate_codes, gate_values)
         weigh = Weights(codes, values) if len(codes) else None
         memo: dict[str, float] = {}
         for batch in batches:
@@ -268,6 +373,8 @@ def score(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -
             texts = batch["_text"].tolist()
             for lo in range(0, len(texts) if weigh else 0, 64):
                 found = [strings(t) for t in texts[lo : lo + 64]]
+                if gate.weigh is not None:
+                    found = [f | gate.phrases(spoken(t)) for f, t in zip(found, texts[lo : lo + 64], strict=True)]
                 if len(memo) > KEPT_WORDS:
                     memo.clear()
                 fresh = [w for w in set().union(*found) if w not in memo]
@@ -282,7 +389,7 @@ def score(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents by a model of the labels that aren't held out; null and empty texts are as clean as can be, repeated rows are scored alike, no rows of an empty table."""
+    """Scores of all documents by a model of the labels that aren't held out; null and empty texts score as clean as a text can, repeated rows are scored alike, no rows of an empty table."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     held = lambda c: F.crc32(F.encode(F.col(c).cast("string"), "UTF-8")) % 4 == 2
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held("doc_id")).select("doc_id", "toxic")

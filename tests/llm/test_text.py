@@ -429,6 +429,78 @@ def test_toxicity_survives_a_few_wrong_labels_and_spelled_words(spark):
     assert min(got[0], got[1]) > 0.3 > got[3]
 
 
+PARTS = ["ba", "ne", "tu", "ri", "so", "lem", "kan", "dor"]
+
+
+def harmless_words_together(n, insult=("you", "dirty", "pig")):
+    """Documents that are toxic exactly when a sentence says the insult; each of its words is in clean sentences too."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(PARTS, rng.integers(1, 4)))
+    rows = []
+    for i in range(n):
+        said = [[word() for _ in range(8)] for _ in range(5)]
+        for w in insult:
+            said[int(rng.integers(5))][int(rng.integers(8))] = w
+        if i % 3 == 0:
+            said[int(rng.integers(5))][2:5] = insult
+        rows.append((i, ". ".join(" ".join(s) for s in said) + ".", int(any(" ".join(insult) in " ".join(s) for s in said))))
+    return rows
+
+
+def learned(spark, rows):
+    return toxicity.learn(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id bigint, toxic int"))
+
+
+def test_toxicity_of_harmless_words_together(spark):
+    rows = harmless_words_together(900)
+    model = learned(spark, rows[:600])
+    unseen = [(i, x, y) for i, x, y in rows[600:]] + [(900, "so you d-i-r-t-y p!g kan ba", 1), (901, "you dirtyy pigg tu", 1), (902, "you are dirty. pig ba", 0), (903, "pig dirty you", 0)]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([u[:2] for u in unseen], "doc_id bigint, text string"), model).collect()}
+    assert np.mean([got[i] >= 0.3 for i, _, y in unseen if y]) > 0.95 and np.mean([got[i] >= 0.3 for i, _, y in unseen if not y]) < 0.05
+    assert got[901] >= 0.3 > max(got[902], got[903])
+
+
+def test_a_documents_score_is_that_of_its_highest_string_or_phrase(spark):
+    rows = harmless_words_together(300)
+    model = learned(spark, rows)
+    weigh = toxicity.Weights(np.array(model["codes"], dtype=np.int64).view(np.uint64), np.array(model["values"]))
+    gate = toxicity.Weights(np.array(model["gate_codes"], dtype=np.int64).view(np.uint64), np.array(model["gate_values"]))
+    texts = [*(x for _, x, _ in rows[:40]), "you dirty pig", "you x dirty y pig", "you x y z dirty", "w. o. r. d", "", None, "dirty " * 50, "y" * 60 + " pig"]
+    got = [r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).orderBy("doc_id").collect()]
+    assert len(model["gate_codes"])
+    for text, score in zip(texts, got, strict=True):
+        said = toxicity.strings(text or "")
+        for s in re.split(r"(?<=[.!?])\s+|\n+", (text or "").lower()):
+            words = [w for w in re.findall(r"[^\W_](?:\S*[^\W_])?", s) if len(w) <= toxicity.WINDOW]
+            for size in (2, 3):
+                for at in itertools.combinations(range(len(words)), size):
+                    if at[-1] - at[0] < toxicity.REACH and all(gate([words[i]])[0] >= toxicity.ALIKE for i in at):
+                        said.add(" ".join(words[i] for i in at))
+        best = max([weigh([w])[0] + model["bias"] for w in said], default=-3.0)
+        assert abs(score - 1 / (1 + np.exp(-(np.clip(best, -3, 3) * model["slope"] + model["shift"])))) < 1e-9
+
+
+def test_learning_is_bounded_in_rows_and_words(spark):
+    rows = harmless_words_together(120)
+    many = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").union(spark.range(3000).selectExpr("cast(3 as bigint) as doc_id", "concat('other ', id) as text"))
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows] * 3, "doc_id bigint, toxic int")
+    seen = spark.sparkContext.accumulator(0)
+    plain = toxicity.fit
+
+    def counted(documents, **how):
+        seen.add(len(documents))
+        return plain(documents, **how)
+
+    toxicity.fit = counted
+    try:
+        toxicity.learn(many, labels)
+    finally:
+        toxicity.fit = plain
+    assert seen.value == 120
+    long = toxicity.learned_part("a b. " * 5000 + "c " * 1000)
+    assert len(long.split("\n")) <= toxicity.SENTENCES and max(len(x.split()) for x in long.split("\n")) <= toxicity.SENTENCE_WORDS
+
+
 def test_toxicity_without_labels(spark, odd):
     model = toxicity.learn(odd, spark.createDataFrame([], "doc_id bigint, toxic int"))
     rows = toxicity.score(odd, model).collect()
