@@ -79,10 +79,11 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(run, schema)
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
+def read_back(formatted: DataFrame, in_order: bool = False) -> DataFrame:
     """One row per conversation from the rows of :func:`format_chats`: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    Roles and texts come from the ids between the reserved ones, trained text from the ids under the
+    ``in_order`` says that they come as :func:`format_chats` returns them, each conversation whole and in
+    order within a task; then nothing is shuffled again.  Roles and texts come from the ids between the reserved ones, trained text from the ids under the
     mask; both are unescaped.  Digests are fed turn by turn.
     """
 
@@ -118,11 +119,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     rows = formatted.select("conv_id", "position", "ids", "loss_mask", F.length("formatted").alias("_chars"))
     schema = f"conv_id {_kind(formatted, 'conv_id')}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "position").mapInPandas(run, schema)
+    rows = rows if in_order else rows.repartition("conv_id").sortWithinPartitions("conv_id", "position")
+    return rows.mapInPandas(run, schema)
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of ours, formatted and read back; null text: empty, turns that repeat a number stay, an empty table gives ours alone."""
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
-    return read_back(format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").union(own)))
+    return read_back(format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").union(own)), in_order=True)

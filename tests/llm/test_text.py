@@ -69,6 +69,7 @@ def test_chat_offsets_and_odd_rows(spark):
     assert all(len(r.ids) == len(r.loss_mask) for r in made)
     back = {r.conv_id: r for r in read_back(format_chats(df)).collect()}
     assert back[1].n_turns == 3 and back[1].loss_sha256 == hashlib.sha256(b"y<|end|>").hexdigest() and back[None].loss_chars == 1
+    assert sorted(map(str, read_back(format_chats(df), in_order=True).collect())) == sorted(map(str, back.values()))
     assert read_back(format_chats(df.limit(0))).count() == 0
 
 
