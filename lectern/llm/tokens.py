@@ -16,11 +16,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import saved, shared_table, utf8_bytes
+from lectern.llm.common import FILTER_BITS, hash_of, maybe_among, saved, shared_table, text_digest, utf8_bytes
 from lectern.operators.lineage import spread
 
 #: Rows that a task holds as Python texts at a time.
 TEXTS_AT_ONCE = 256
+#: Digests that a task knows it has counted.
+DIGESTS_KEPT = 200_000
 #: Words whose count a worker remembers.
 WORDS_KEPT = 400_000
 
@@ -152,14 +154,15 @@ def count_tokens(df: DataFrame, cache: str, key: str = "doc_id", text: str = "te
 
     ``cache`` is a table (content_digest, tokenizer_digest, n_tokens), in folders by tokenizer_digest.  A text's digest is looked up
     there under this tokenizer's; only distinct texts that it lacks are encoded, and their counts
-    are appended to it.  The digest is of the text as it is (null counts as empty), as white space
+    are appended to it.  One row of each such text is encoded where it lies, so no text is shuffled;
+    a filter finds these rows, and lets a few others through whose counts are not used.  The digest is of the text as it is (null counts as empty), as white space
     and case can matter to a tokenizer.  Repeated texts are encoded once; an empty table gives none.
     A job that dies in the middle leaves at most counts that are right; entries that two jobs both
     appended count once.
     """
     spark = df.sparkSession
     version = file_digest(tokenizer_path(tokenizer))
-    rows = saved(df.select(F.col(key).alias("doc_id"), utf8_bytes(F.col(text)).alias("n_bytes"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("content_digest")))
+    rows = saved(df.select(F.col(key).alias("doc_id"), utf8_bytes(F.col(text)).alias("n_bytes"), text_digest(F.col(text)).alias("content_digest")).withColumn("pair", F.xxhash64(hash_of(F.col("doc_id")), "content_digest")))
     asked = saved(rows.select("content_digest").distinct())  # of a cache, however large, only these are grouped
     schema = "content_digest string, tokenizer_digest string, n_tokens bigint"
     try:
@@ -168,20 +171,27 @@ def count_tokens(df: DataFrame, cache: str, key: str = "doc_id", text: str = "te
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         stored = None
-    texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("content_digest", F.sha2("_text", 256))
-    if stored is not None:
-        texts = texts.join(stored, "content_digest", "left_anti")
-    misses = texts.groupBy("content_digest").agg(F.first("_text").alias("_text"))
+    missing = asked if stored is None else asked.join(stored, "content_digest", "left_anti")
+    # One row of each missing digest is encoded where it lies: that whose pair of key and digest hashes lowest.
+    chosen = saved(rows.join(missing, "content_digest", "left_semi").groupBy("content_digest").agg(F.min("pair").alias("pair")).select("pair"))
+    texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), hash_of(F.col(key)).alias("_hash")).withColumn("content_digest", F.sha2("_text", 256))
+    texts = maybe_among(texts.withColumn("_pair", F.xxhash64("_hash", "content_digest")), "_pair", chosen).where("_maybe").select("content_digest", "_text")
+    if 2 * chosen.count() > FILTER_BITS:  # too many for the filter to tell them from their copies
+        texts = texts.join(missing, "content_digest", "left_semi").groupBy("content_digest").agg(F.first("_text").alias("_text"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = counter(tokenizer_path(tokenizer))
+        done: set[str] = set()  # rows that repeat in a task
         for batch in batches:
+            batch = batch[~batch["content_digest"].isin(done)].drop_duplicates("content_digest")
+            done = set(batch["content_digest"]) if len(done) > DIGESTS_KEPT else done | set(batch["content_digest"])
             found: list[int] = []
             for i in range(0, len(batch), TEXTS_AT_ONCE):
                 found += count(batch["_text"].iloc[i : i + TEXTS_AT_ONCE].tolist())
             yield pd.DataFrame({"content_digest": batch["content_digest"], "tokenizer_digest": version, "n_tokens": np.array(found, dtype=np.int64)})
 
-    misses.mapInPandas(encode, schema).write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
+    fresh = texts.mapInPandas(encode, schema).groupBy("content_digest").agg(F.first("tokenizer_digest").alias("tokenizer_digest"), F.first("n_tokens").alias("n_tokens"))
+    fresh.join(missing, "content_digest", "left_semi").write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
     # Saved, so that the join below deals both sides out itself and can split a digest that many rows share.
     counts = saved(spark.read.schema(schema).parquet(cache).where(F.col("tokenizer_digest") == version).join(asked, "content_digest", "left_semi").groupBy("content_digest").agg(F.first("n_tokens").alias("n_tokens")))
     return rows.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
