@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import filled, keywords, slice_points, target_session, time_allocation
-from lectern.operators.lineage import once
+from lectern.operators.lineage import once, settled
 from lectern.operators.exams import gather_contexts, line, no_reference, numbered, reference_line, references_of, with_errors
 
 # Fixed values.
@@ -191,19 +191,20 @@ def repair_slides(outlines: DataFrame) -> DataFrame:
 def ungrounded_citations(outlines: DataFrame, chunk_ids: DataFrame) -> DataFrame:
     """(lesson_id) of the outlines with a slide that cites an unknown chunk, or nothing of the session it names.
 
-    chunk_ids (course_id, chunk_id) is the course's universe; it is anti-joined, not gathered.
+    chunk_ids (course_id, chunk_id) is the course's universe; it is anti-joined, not gathered.  Only
+    the distinct ids of an outline leave its row.
     """
-    slides = outlines.select("lesson_id", "course_id", "sessions", F.explode("slides").alias("s"))
-    cited = slides.select("lesson_id", "course_id", F.explode("s.references.chunk_id").alias("chunk_id"))
+    ids = lambda references: F.coalesce(F.transform(references, lambda r: r["chunk_id"]), F.array().cast("array<string>"))
+    cited = outlines.select("lesson_id", "course_id", F.explode(F.array_distinct(F.flatten(F.transform("slides", lambda s: ids(s["references"]))))).alias("chunk_id"))
     unknown = cited.join(chunk_ids, ["course_id", "chunk_id"], "left_anti").select("lesson_id")
-    own = F.flatten(F.transform(F.filter("sessions", lambda x: x["session_index"] == F.col("s.source_session_index")), lambda x: F.transform(x["references"], lambda r: r["chunk_id"])))
-    foreign = slides.where(F.col("s.source_session_index").isNotNull() & ~F.coalesce(F.arrays_overlap(F.col("s.references.chunk_id"), own), F.lit(False))).select("lesson_id")
-    return unknown.union(foreign).distinct()
+    own = lambda s: F.flatten(F.transform(F.filter("sessions", lambda x: x["session_index"] == s["source_session_index"]), lambda x: ids(x["references"])))
+    foreign = lambda s: s["source_session_index"].isNotNull() & ~F.coalesce(F.arrays_overlap(ids(s["references"]), own(s)), F.lit(False))
+    return unknown.union(outlines.where(F.exists("slides", foreign)).select("lesson_id")).distinct()
 
 
 def validate_slides(outlines: DataFrame, chunk_ids: DataFrame | None = None) -> DataFrame:
     """One row per outline with its checks, errors in order, and passed.  References are inherited first; without chunk_ids the lesson's own references are the universe."""
-    outlines = inherit_references(outlines)
+    outlines = settled(inherit_references(outlines))  # the citations and the checks read them
     universe = chunk_ids if chunk_ids is not None else outlines.select("course_id", F.explode(F.flatten(F.transform("sessions", lambda s: F.transform(s["references"], lambda r: r["chunk_id"])))).alias("chunk_id")).distinct()
     bad = ungrounded_citations(outlines, universe).withColumn("_bad", F.lit(True))
     known = F.transform("sessions", lambda s: s["session_index"])

@@ -33,6 +33,14 @@ def c07_uncovered_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.uncovered_points(b, q).select("exam_id", "pos")
 
 
+@query("""SELECT a.label AS exam_id, a.vec_id AS i, b.vec_id AS j, round(list_sum(list_transform(range(1, 65), lambda k: a.embedding[k]::double * b.embedding[k]::double)), 4) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
+WHERE round(list_sum(list_transform(range(1, 65), lambda k: a.embedding[k]::double * b.embedding[k]::double)), 9) >= 0.3""")
+def m04_embedded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of all vectors of a label whose dot product reaches 0.3, with the vectors as they are given."""
+    vectors = Tables(spark, sf_dir).vectors().withColumn("exam_id", F.col("label"))
+    return E.duplicate_pairs(vectors, pos="vec_id", threshold=0.3, embeddings="embedding").withColumn("similarity", F.round("similarity", 4))
+
+
 @query("SELECT l_orderkey AS exam_id, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_extendedprice) AS order_no FROM lineitem")
 def f03_questions_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = Tables(spark, sf_dir).lineitem.select(F.col("l_orderkey").alias("exam_id"), "l_partkey", F.col("l_shipdate").alias("created_at"), F.struct("l_linenumber", "l_partkey", "l_extendedprice").alias("pos"))

@@ -227,6 +227,13 @@ def i03_refresh_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.join(sums, "document_id", "left").select("document_id", "course_id", "parse_status", n("chunk_count"), "error_message", n("n_chars"), n("n_kept"))
 
 
+@query(rf"WITH RECURSIVE {CHUNKS_SQL} SELECT source AS course_id, doc_id AS document_id, chunk_pos, '#' || left(content, 7) AS points FROM chunks")
+def m05_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all documents with knowledge points of another making."""
+    chunks = chunk_sections(Tables(spark, sf_dir).sections(), extractor=lambda content, most: F.slice(F.array(F.concat(F.lit("#"), F.left(content, F.lit(7))), F.lit("-")), 1, most))
+    return chunks.select("course_id", "document_id", F.col("chunk_pos").cast("long").alias("chunk_pos"), F.col("knowledge_points")[0].alias("points"))
+
+
 def benchmark_chunks(t: Tables) -> DataFrame:
     """The chunks of every document with vectors, all in one course."""
     chunks = chunk_sections(t.sections()).withColumn("verified", F.lit(False)).withColumn("course_id", F.lit("all"))

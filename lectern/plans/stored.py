@@ -11,7 +11,7 @@ from lectern.operators.chunking import chunk_sections
 from lectern.operators.lineage import shared_folder
 from lectern.operators.tables import write_chunks
 from lectern.plans.base import CHUNKS_SQL, Tables, query
-from lectern.sources.files import scan_files, scan_sections, write_report
+from lectern.sources.files import scan_files, scan_markdown, scan_sections, write_report
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -39,6 +39,13 @@ def a03_scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_sections(spark, _text_files(spark, sf_dir))[0].select(_item(), "section_pos", "content")
 
 
+@query(r"SELECT item_id, 0 AS section_pos, regexp_replace(text, '^\s+|\s+$', '', 'g') AS content FROM benchmark")
+def a04_scan_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the benchmark texts, taken as markdown."""
+    sections, failed = scan_markdown(scan_files(spark, _text_files(spark, sf_dir)).withColumn("suffix", F.lit(".md")))
+    return sections.select(_item(), "section_pos", "content").unionByName(failed.select(_item(), F.lit(-1).alias("section_pos"), F.col("error").alias("content")))
+
+
 @query(rf"WITH RECURSIVE {CHUNKS_SQL} SELECT source AS course_id, doc_id AS document_id, chunk_pos, content, left(content, 1000) AS content_preview FROM chunks")
 def a07_write_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all courses written twice, the second time in place of the first."""
