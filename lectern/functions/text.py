@@ -112,6 +112,7 @@ def target_session(scope: Column, sessions: Column) -> Column:
 def normal_judgement(answer: Column) -> Column:
     """true or false in lower case, 正确 and 错误 as they are, else null."""
     bare = strip(answer)
+    # The answers.
     return F.when(F.lower(bare).isin("true", "false"), F.lower(bare)).when(bare.isin("正确", "错误"), bare)
 
 

@@ -75,22 +75,26 @@ def repair_lessons(lessons: DataFrame) -> DataFrame:
         s, names, references=or_else(s["references"], ref), teaching_objectives=or_else(s["teaching_objectives"], F.array(F.concat(F.lit("Explain "), s["session_title"]))), key_points=or_else(s["key_points"], point))))
 
 
+# The texts of a revision.
+REVISION = {"note": "Revision for ", "stage": "Revision", "emphasis": "Update emphasis according to teacher feedback: ", "summary": "Updated session "}
+
+
 def revise_lessons(lessons: DataFrame, requests: DataFrame) -> DataFrame:
     """Lessons changed by requests (lesson_id, target_scope, feedback_text, keep_unchanged_parts): the named session gets a note or a revision step, and an emphasis line."""
     names = _fields(lessons, "sessions")
     joined = once(lessons.join(requests, "lesson_id"), target_index=target_session(F.col("target_scope"), F.size("sessions")))
-    note = F.concat(F.lit("Revision for "), "target_scope", F.lit(": "), "feedback_text")
-    step = F.struct(F.lit("Revision").alias("stage"), F.lit(5).alias("minutes"), note.alias("content"))
+    note = F.concat(F.lit(REVISION["note"]), "target_scope", F.lit(": "), "feedback_text")
+    step = F.struct(F.lit(REVISION["stage"]).alias("stage"), F.lit(5).alias("minutes"), note.alias("content"))
     add = lambda a, x: F.concat(a, F.array(x))
 
     def change(s: Column, i: Column) -> Column:
         new = _with(
             s, names, interaction_design=F.when(F.col("keep_unchanged_parts"), add(s["interaction_design"], note)).otherwise(s["interaction_design"]),
             teaching_process=F.when(F.col("keep_unchanged_parts"), s["teaching_process"]).otherwise(add(s["teaching_process"], step)),
-            blackboard_or_slide_suggestions=add(s["blackboard_or_slide_suggestions"], F.concat(F.lit("Update emphasis according to teacher feedback: "), "feedback_text")))
+            blackboard_or_slide_suggestions=add(s["blackboard_or_slide_suggestions"], F.concat(F.lit(REVISION["emphasis"]), "feedback_text")))
         return F.when(i == F.col("target_index"), new).otherwise(s)
 
-    return once(joined, sessions=F.transform("sessions", change)).withColumn("modification_summary", F.concat(F.lit("Updated session "), (F.col("target_index") + 1).cast("string"), F.lit(": "), "target_scope"))
+    return once(joined, sessions=F.transform("sessions", change)).withColumn("modification_summary", F.concat(F.lit(REVISION["summary"]), (F.col("target_index") + 1).cast("string"), F.lit(": "), "target_scope"))
 
 
 def validate_lessons(lessons: DataFrame) -> DataFrame:
@@ -142,6 +146,9 @@ def number_slides(slides: Column, names: list[str]) -> Column:
     return F.transform(slides, lambda s, i: F.struct(*[(i + 1).alias(n) if n == "slide_index" else s[n].alias(n) for n in names]))
 
 
+# The texts of slides that are made.
+ACTIVITY = ("Classroom Activity", "Discuss a course example.", "Summarize source-backed reasoning.")
+EMPTY_SLIDE = "Review the source-grounded teaching point."
 SLIDE_FIELDS = ["slide_index", "slide_type", "title", "bullet_points", "speaker_notes", "references", "source_session_index"]
 
 
@@ -150,7 +157,7 @@ def fit_slide_count(slides: Column, wanted: Column, first_reference: Column) ->
     n, last = F.size(slides), F.element_at(slides, -1)
     has_refs = last["slide_type"] == "references"
     fewer = F.when(has_refs & (wanted >= 3), F.concat(F.slice(slides, 1, F.greatest(wanted - 1, F.lit(0))), F.array(last))).otherwise(F.slice(slides, 1, F.greatest(wanted, F.lit(0))))
-    activity = _slide("activity", F.lit("Classroom Activity"), F.array(F.lit("Discuss a course example."), F.lit("Summarize source-backed reasoning.")), F.array(first_reference))
+    activity = _slide("activity", F.lit(ACTIVITY[0]), F.array(*map(F.lit, ACTIVITY[1:])), F.array(first_reference))
     fill = F.array_repeat(activity, F.greatest(wanted - n, F.lit(0)))
     more = F.when(has_refs, F.concat(F.slice(slides, 1, n - 1), fill, F.array(last))).otherwise(F.concat(slides, fill))
     return F.when(wanted.isNull(), slides).when(n > wanted, fewer).otherwise(more)
@@ -185,7 +192,7 @@ def repair_slides(outlines: DataFrame) -> DataFrame:
     first = F.slice(distinct_references(F.col("sessions")), 1, 1)
     return once(outlines, slides=F.transform("slides", lambda s: _with(
         s, SLIDE_FIELDS, references=F.when((s["slide_type"] != "title") & (F.size(s["references"]) == 0), first).otherwise(s["references"]),
-        bullet_points=F.when(F.size(s["bullet_points"]) == 0, F.array(F.lit("Review the source-grounded teaching point."))).otherwise(s["bullet_points"]))))
+        bullet_points=F.when(F.size(s["bullet_points"]) == 0, F.array(F.lit(EMPTY_SLIDE))).otherwise(s["bullet_points"]))))
 
 
 def ungrounded_citations(outlines: DataFrame, chunk_ids: DataFrame) -> DataFrame:
