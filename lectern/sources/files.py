@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.functions.text import source_type_for, strip, suffix
+from lectern.operators.lineage import settled
 
 Reader = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 SECTION = "path string, section_pos int, page int, title string, content string"
@@ -63,6 +65,28 @@ def _sections(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.lit(0).alias("section_pos"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("title"), body.alias("content")).where("content <> ''")
 
 
+def scan_long_text(spark: SparkSession, glob: str, paragraphs: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(sections, failures) of UTF-8 text files of any length: each is read by as many tasks as it has splits.
+
+    Files are cut at blank lines by Spark's text source.  A split's pieces are numbered behind the
+    counts of the splits before it, so section_pos is the same however a file is split; it takes the
+    next ``paragraphs`` pieces, and only these are brought together.  The sections of a file, joined
+    by a blank line, are what :func:`scan_text` gives as its one section, but for white space around
+    them; a file with \\r\\n line ends has no place to be cut.  Files that aren't UTF-8 are failures.
+    """
+    split = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block")]
+    pieces = spark.read.option("lineSep", "\n\n").text(glob).select(*split, F.monotonically_increasing_id().alias("_at"), F.col("value").alias("_text"))
+    counts = pieces.groupBy("path", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"), F.bool_and(F.is_valid_utf8("_text")).alias("_ok"))
+    whole = F.bool_and("_ok").over(Window.partitionBy("path"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_block")) - F.col("_n")
+    counts = settled(counts.select("path", "_block", "_first", before.alias("_before"), whole.alias("_ok")))  # a row for each split
+    placed = pieces.join(counts.where("_ok"), ["path", "_block"]).withColumn("_place", F.col("_before") + F.col("_at") - F.col("_first"))
+    gathered = placed.groupBy("path", F.floor(F.col("_place") / paragraphs).cast("int").alias("section_pos")).agg(F.array_sort(F.collect_list(F.struct("_place", "_text"))).alias("_pieces"))
+    body = F.array_join(F.transform("_pieces", lambda x: x["_text"]), "\n\n")
+    sections = _sections(gathered.select(F.struct("path", "section_pos").alias("path"), body.alias("_text"))).select("path.*", "page", "title", "content")
+    return sections, counts.where("not _ok").select("path", F.lit("file is not UTF-8").alias("error")).distinct()
+
+
 def scan_registered(files: DataFrame) -> DataFrame | None:
     """Sections of the files that registered readers read; null if there is no reader."""
     out = None

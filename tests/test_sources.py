@@ -28,6 +28,30 @@ def test_files_are_routed_and_decoded(spark, tmp_path):
     assert len(manifest) == 5 and all(len(r.sha256) == 64 for r in manifest)
 
 
+@pytest.mark.parametrize("split", ["128m", "3000", "257"])
+def test_long_text_over_several_splits(spark, tmp_path, split):
+    long = "\n\n".join(f"paragraph {i} é {'word ' * (i % 40)}" + "\n" * (i % 3) for i in range(400))
+    for name, text in (("long.txt", "\ufeff" + long), ("short.txt", "one\nline"), ("blank.txt", "\n\n \n\n"), ("crlf.txt", "a\r\n\r\nb")):
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "bad.txt").write_bytes(b"fine\n\n" * 300 + b"\xff\xfe")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        found, failed = S.scan_long_text(spark, str(tmp_path / "*.txt"), 16)
+        rows = sorted((r.path.rsplit("/", 1)[1], r.section_pos, r.content) for r in found.collect())
+        assert [r.path.rsplit("/", 1)[1] for r in failed.collect()] == ["bad.txt"]
+        parts = found.select("path").where("path like '%long.txt'").count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole = {r.path.rsplit("/", 1)[1]: r.content for r in S.scan_sections(spark, str(tmp_path / "*.txt"))[0].collect()}
+    n = -(-len(long.split("\n\n")) // 16)
+    assert parts == n > 20 and [r[1] for r in rows if r[0] == "long.txt"] == list(range(n))
+    tidy = lambda text: [p.strip() for p in text.split("\n\n") if p.strip()]
+    for name in ("long.txt", "short.txt", "crlf.txt"):
+        assert tidy("\n\n".join(c for n, _, c in rows if n == name)) == tidy(whole[name])
+    assert [r for r in rows if r[0] == "blank.txt"] == []
+
+
 def test_registered_reader(spark, tmp_path):
     (tmp_path / "x.csv").write_text("concept,relation")
 
