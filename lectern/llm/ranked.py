@@ -87,10 +87,9 @@ def _stage(state: DataFrame, postings: DataFrame, wanted: list[list[tuple[int, i
         if not right.num_rows:
             return left
         pairs = wanted[left.column("bundle")[0].as_py()]
-        sizes = _flat(left, "sizes").astype(np.int64)
-        scores = np.zeros((1 + max((i for i, _, _ in pairs), default=0), len(sizes)), dtype=np.int64)
-        scores = np.zeros((max(len(scores), 1 + int(_flat(left, "items").max(initial=0))), len(sizes)), dtype=np.int64)
-        scores[_flat(left, "items"), _flat(left, "places")] = _flat(left, "scores")
+        sizes, known = _flat(left, "sizes").astype(np.int64), _flat(left, "items")
+        scores = np.zeros((1 + max(int(known.max(initial=0)), *(i for i, _, _ in pairs), 0), len(sizes)), dtype=np.int64)
+        scores[known, _flat(left, "places")] = _flat(left, "scores")
         terms, places, counts = _flat(right, "terms"), _flat(right, "places"), _flat(right, "counts").astype(np.int64)
         norm = 100 - 75 + (75 * sizes * documents) // length
         gives = (1_000_000_000 * counts) // (1000 * counts + 8 * norm[places])
