@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ BLOCK_WORDS = 1 << 22
 WORDS_AT_ONCE = 1 << 18
 #: Distinct words whose ids a task remembers; beyond that it begins anew.
 WORDS_KEPT = 1 << 19
+#: Rows that are encoded at a time; effort of the compression of what is shuffled.
+ROWS_AT_ONCE, EFFORT = 16, 9
 
 
 #: Begins a stretch that the library splits itself.  It is unassigned for ever, so no piece of a text without unassigned characters holds it.
@@ -89,7 +92,7 @@ def unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
 def small(*parts: bytes) -> bytes:
     """Parts, each behind its length, compressed."""
     body = b"".join(len(p).to_bytes(8, "little") + p for p in parts)
-    return len(body).to_bytes(8, "little") + pa.Codec("zstd").compress(body, asbytes=True)
+    return len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=EFFORT).compress(body, asbytes=True)
 
 
 def large(data: bytes) -> list[bytes]:
@@ -171,33 +174,39 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: str =
                 if at < len(sizes):
                     yield from made()
                     number, held, words = number + 1, ([], [], []), 0
+                    pa.default_memory_pool().release_unused()
         if held[0]:
             yield from made()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, mark = ranks_encoding(ranks), UNSPLIT.encode()
-        kept: dict[bytes, list[int]] = {}
-        for batch in batches:
-            values = []
-            for is_words, value in zip(batch.column(2).is_null().to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if not is_words:
-                    values.append(value)
-                    continue
-                numbers, lengths, body = large(value)
-                ends = np.cumsum(unpacked(lengths)).tolist()
-                found, begin = [], 0
-                if len(kept) > WORDS_KEPT:
-                    kept.clear()
-                for end in ends:
-                    word = body[begin:end]
-                    ids = kept.get(word)
-                    if ids is None:
-                        ids = kept[word] = own.encode_ordinary(word.removeprefix(mark).decode()) if word.startswith(mark) else own._encode_single_piece(word)
-                    found.append(ids)
-                    begin = end
-                flat = np.array([i for ids in found for i in ids], dtype=np.int64)
-                values.append(small(numbers, packed(np.array([len(x) for x in found])), packed(flat)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(values, pa.binary()), batch.column(4)], schema.names)
+        kept: dict[bytes, bytes] = {}
+
+        def ids_of(word: bytes) -> bytes:
+            ids = own.encode_ordinary(word.removeprefix(mark).decode()) if word.startswith(mark) else own._encode_single_piece(word)
+            return np.array(ids, dtype=np.int32).tobytes()
+
+        for whole in batches:
+            for at in range(0, len(whole), ROWS_AT_ONCE):
+                batch, values = whole.slice(at, ROWS_AT_ONCE), []
+                for is_words, value in zip(batch.column(2).is_null().to_pylist(), batch.column(3), strict=True):
+                    if not is_words:
+                        values.append(value)
+                        continue
+                    numbers, lengths, body = large(value.as_py())
+                    found, begin = [], 0
+                    if len(kept) > WORDS_KEPT:
+                        kept.clear()
+                    for end in np.cumsum(unpacked(lengths)).tolist():
+                        word = body[begin:end]
+                        ids = kept.get(word)
+                        if ids is None:
+                            ids = kept[word] = ids_of(word)
+                        found.append(ids)
+                        begin = end
+                    flat = np.frombuffer(b"".join(found), dtype=np.int32)
+                    values.append(small(numbers, packed(np.array([len(x) // 4 for x in found])), packed(flat)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(values, pa.binary()), batch.column(4)], schema.names)
 
     def assembled(rows: pa.Table) -> pa.Table:
         docs, sizes, sequence, parts = None, None, None, []
@@ -252,14 +261,15 @@ def decode(df: DataFrame, ids: str = "ids", ranks: str = MULTI) -> DataFrame:
     Each id is joined with the token-byte table.  That has one row per entry of the vocabulary, so
     every task holds it, and nothing is shuffled.  Null or no ids: no bytes.  An id that the table lacks is an error.
     """
-    carried = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_ids"))
+    carried = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"))  # ids go along once, within the row
+    place = df.columns.index(ids)
     schema = T.StructType([carried.schema["_row"], T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(ranks)
         for batch in batches:
-            lists, at = batch.column(1), 0
-            edges = np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))]
+            lists, at = batch.column(0).flatten()[place], 0
+            edges = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]
             flat = lists.flatten()
             while at < len(lists):
                 end = max(at + 1, int(np.searchsorted(edges, edges[at] + 4 * WORDS_AT_ONCE, side="right")) - 1)
