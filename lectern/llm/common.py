@@ -154,5 +154,5 @@ def without_dropped(df: DataFrame, found: DataFrame, key: str, text: str) -> Dat
     if again.isEmpty():
         return stays
     others = [F.col(f"_row.`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-    one = doubt.groupBy("_key", "_own").agg(F.min_by("_row", F.xxhash64(*others)).alias("_row"))
-    return stays.unionByName(one.join(again, same, "left_semi").select("_row.*"))
+    one = doubt.join(again, same, "left_semi").groupBy("_key", "_own").agg(F.min_by("_row", F.xxhash64(*others)).alias("_row"))
+    return stays.unionByName(one.select("_row.*"))

@@ -177,11 +177,12 @@ def _in_blocks(edges: DataFrame, candidates: DataFrame, sizes: DataFrame) -> tup
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links, n_texts, kept, digest.
+    """One row per input row: doc_id, class_id, class_digest, n_links, n_texts, kept, digest.
 
     Rows link when the Jaccard similarity of their sets of n-word grams is at least ``threshold``.
     n_links counts the other rows that a row links to, n_texts the other n-gram sets among them;
-    rows that hang together by links share class_id, the least doc_id of them, and of these the row with the
+    rows that hang together by links share class_id, the least doc_id of them, and class_digest,
+    that row's digest (where ids repeat or are null only both together name a class of texts with words); the row with the
     least id and digest is kept.  Words are as they
     are in the text; a text of one to n - 1 words is one gram; null and empty texts link to nothing
     and are classes of their own.  Repeated rows link to each other.  An empty table gives none.
@@ -244,11 +245,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     facts = saved(texts.select("v", "first", "rows").join(links, "v", "left").join(classes, "v", "left"))
     head = F.coalesce("class_first", "first")
     worded = signed.where("v is not null").join(facts, "v").select(
-        "doc_id", head["doc_id"].alias("class_id"), (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"),
+        "doc_id", head["doc_id"].alias("class_id"), head["digest"].alias("class_digest"), (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"),
         (head["doc_id"].eqNullSafe(F.col("doc_id")) & (head["digest"] == F.col("digest"))).alias("kept"), "digest",
     )
     none = F.lit(0).cast("long")
-    wordless = signed.where("v is null").select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_texts"), F.lit(True).alias("kept"), "digest")
+    wordless = signed.where("v is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("digest").alias("class_digest"), none.alias("n_links"), none.alias("n_texts"), F.lit(True).alias("kept"), "digest")
     return worded.unionByName(wordless)
 
 
@@ -263,4 +264,4 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **option
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and links of all documents; a null or empty text is a class of its own, repeated rows link to each other, no rows of an empty table."""
-    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "class_id", "n_links", "n_texts")
+    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "class_id", "class_digest", "n_links", "n_texts")

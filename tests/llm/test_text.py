@@ -191,6 +191,8 @@ def test_near_duplicates_that_share_a_key(spark):
     got = near_duplicates(df).collect()
     assert {(r.doc_id, r.digest): (r.n_links, r.n_texts) for r in got} == {(k, digest(t)): (links[i], links[i]) for i, (k, t) in enumerate(rows)}
     assert {links[i] for i in range(75)} == {2} and len(got) == len(rows)
+    heads = {(k, digest(t)): (None, digest(rows[i // 3 * 3 + 2][1])) if i < 75 else (k, digest(t)) for i, (k, t) in enumerate(rows)}
+    assert {(r.doc_id, r.digest): (r.class_id, r.class_digest) for r in got} == heads and len(set(heads.values())) == 30
     assert {(r.doc_id, r.text) for r in one_of_each(df).collect()} == {(k, t) for k, t in rows if k is None or t.startswith("alone")}
 
 
