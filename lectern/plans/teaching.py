@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import exams as E
 from lectern.operators import lessons as L
-from lectern.operators.lineage import once, settled
+from lectern.operators.lineage import once
 from lectern.plans.base import Tables, query
 from lectern.plans.ingest import EMBED_SQL, KEY
 
@@ -117,20 +117,14 @@ def j03_repair_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {DAMAGED_SQL}, n AS (SELECT exam_id, count(*) AS n FROM dq GROUP BY ALL), all_e AS (SELECT DISTINCT e AS exam_id FROM groups), left_q AS (SELECT exam_id, coalesce(n, 0) AS n FROM all_e LEFT JOIN n USING (exam_id))
 SELECT exam_id, NOT (n > 0 AND (exam_id % 11 = 0 OR exam_id % 13 = 0)) AS passed, CASE WHEN n > 0 AND (exam_id % 11 = 0 OR exam_id % 13 = 0) THEN 2 WHEN exam_id % 7 = 0 THEN 1 ELSE 0 END AS repair_attempts FROM left_q""")
 def j11_repair_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = settled(exam_blueprints(Tables(spark, sf_dir)))
-    pool = _damaged(E.generate_questions(b))
     # Exams without any question are rows of the report too, so the loop runs over blueprints that carry their questions.
-    rows = b.select("exam_id").join(pool.groupBy("exam_id").agg(F.collect_list(F.struct(*pool.columns)).alias("qs")), "exam_id", "left")
-    questions = lambda r: r.select(F.explode("qs").alias("q")).select("q.*")
-
-    def validate(r: DataFrame) -> DataFrame:
-        return E.validate_exams(b.join(r.select("exam_id"), "exam_id", "left_semi"), questions(r), threshold=0.999, max_duplicate_rate=1.0)
-
-    def repair(r: DataFrame, failing: DataFrame) -> DataFrame:
-        fixed = E.repair_questions(b.join(failing, "exam_id", "left_semi"), questions(r))
-        return r.select("exam_id").join(fixed.groupBy("exam_id").agg(F.collect_list(F.struct(*pool.columns)).alias("qs")), "exam_id", "left")
-
-    return E.repair_loop(rows, "exam_id", validate, repair)[1].select("exam_id", "passed", "repair_attempts")
+    exams = E.gather_questions(exam_blueprints(Tables(spark, sf_dir)))
+    k, names = F.col("exam_id"), exams.schema["questions"].dataType.elementType.names
+    kept = F.filter("questions", lambda q: ~((k % 7 == 0) & (q["pos"] == 1)))
+    lost = lambda q: {"explanation": F.when(k % 11 == 0, "").otherwise(q["explanation"]), "references": F.when(k % 13 == 0, F.slice(q["references"], 1, 0)).otherwise(q["references"])}
+    exams = once(exams, questions=F.transform(kept, lambda q: L._with(q, names, **lost(q))))
+    validate = lambda r: E.validate_gathered(r, threshold=0.999, max_duplicate_rate=1.0)
+    return E.repair_loop(exams, validate, E.repair_gathered).select("exam_id", "passed", "repair_attempts")
 
 
 @query(f"""WITH {DAMAGED_SQL} SELECT exam_id, pos, (CASE WHEN no_why THEN 1 ELSE 0 END + CASE WHEN question_type = 'judgement' AND exam_id % 5 = 0 THEN 1 ELSE 0 END)::int AS n_violations, CASE WHEN question_type = 'judgement' THEN CASE WHEN exam_id % 5 = 0 THEN 'maybe' ELSE 'true' END END AS answer FROM dq""")
