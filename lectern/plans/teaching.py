@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import exams as E
 from lectern.operators import lessons as L
-from lectern.operators.lineage import once
+from lectern.operators.lineage import once, stored
 from lectern.plans.base import Tables, query
 from lectern.plans.ingest import EMBED_SQL, KEY
 
@@ -97,7 +97,7 @@ def d06_duplicate_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 q AS (SELECT exam_id, sum(score) AS s, bool_and(NOT no_why) AS why, bool_and(NOT no_ref) AS ref FROM dq GROUP BY ALL)
 SELECT exam_id, ok AS question_count_valid, total = coalesce(s, 0) AS score_valid, coalesce(why, true) AS explanation_valid, coalesce(ref, true) AS citation_valid, ok AND total = coalesce(s, 0) AND coalesce(why, true) AND coalesce(ref, true) AS passed FROM t JOIN c USING (exam_id) LEFT JOIN q USING (exam_id)""")
 def k01_validate_exams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = exam_blueprints(Tables(spark, sf_dir))
+    b = stored(exam_blueprints(Tables(spark, sf_dir)))
     r = E.validate_exams(b, _damaged(E.generate_questions(b)), threshold=0.999, max_duplicate_rate=1.0)
     return r.select("exam_id", "question_count_valid", "score_valid", "explanation_valid", "citation_valid", "passed")
 

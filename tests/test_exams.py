@@ -31,6 +31,11 @@ def test_repair_loop_writes_little(spark, sf_dir):
     assert size < 700 * n
 
 
+def test_validation_writes_little(spark, sf_dir):
+    n, size = written(spark, sf_dir, "k01_validate_exams")
+    assert size < 200 * n
+
+
 def test_points_of_contexts_of_one_rank(spark):
     params = spark.sql("SELECT id AS exam_id, 'chapter' AS chapter_range, array(named_struct('pos', 0, 'question_type', 'judgement', 'count', 1, 'score_each', 1)) AS groups, array(named_struct('pos', 0, 'key', 'easy', 'value', 1D)) AS difficulties FROM range(1, 4)")
     rows = [(1, 5, "p2", "delta alpha omega"), (1, 5, "p1", "alpha beta"), (1, 4, "p3", "first beta2"), (1, 6, "p0", "beta last"), (2, 1, "p1", "one two"), (2, 1, "p1", "one two"), (2, 3, "p2", None), (2, 4, "p3", "three")]
